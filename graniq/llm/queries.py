@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graniq.llm import media, warc
 from graniq.llm.chat_format import chat_windows, read_windows
 from graniq.llm.storage import materialize
 from graniq.llm.url_filter import url_filter
@@ -16,6 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archives, deduplicated, and read back from the deduplicated archives."""
+    first = warc.write_archives(_table(spark, sf_dir, "pages"))
+    heads = materialize(warc.headers(first), "warc-headers")
+    second = warc.deduplicate(first, heads, min_bytes=1000)
+    return warc.resolved(materialize(warc.headers(second), "warc-headers")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted, written, and read back."""
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -40,9 +54,34 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+_MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def op10_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as images in archives, read back through the data source."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for batch in batches:
+            rows = []
+            for member, image, error in zip(*(batch.column(c).to_pylist() for c in ("member", "media", "error"))):
+                if error:
+                    raise OSError(error)
+                samples, n = media.from_png(image)
+                name = member.rpartition("-")[0]
+                rows.append((None if name == "null" else int(name), n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(image), hashlib.sha256(image).hexdigest(), media.features(samples)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _MEDIA.split(", ")])
+
+    folder = media.write_media(_table(spark, sf_dir, "documents"))
+    return media.read_media(spark, folder).mapInArrow(digest, _MEDIA)
+
+
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op5_chat_format": op5_chat_format,
     "op7_url_filter": op7_url_filter,
+    "op10_media_archives": op10_media_archives,
 }
 
 ORACLES = {
