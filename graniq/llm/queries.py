@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from graniq.llm import media, warc
 from graniq.llm.chat_format import chat_windows, read_windows
 from graniq.llm.storage import materialize
+from graniq.llm.token_files import read_tokens, write_tokens
 from graniq.llm.url_filter import url_filter
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -48,6 +50,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as plane-shuffled files of token ids, read back from the files."""
+    return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules net/, example.net/en/, example.com/de/ and org/fr/ over all pages."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
@@ -80,6 +87,7 @@ def op10_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op5_chat_format": op5_chat_format,
+    "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
     "op10_media_archives": op10_media_archives,
 }
