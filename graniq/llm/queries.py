@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graniq.llm import media, warc
 from graniq.llm.chat_format import chat_windows, read_windows
+from graniq.llm.mixing import mix
 from graniq.llm.storage import materialize
 from graniq.llm.token_files import read_tokens, write_tokens
 from graniq.llm.url_filter import url_filter
@@ -61,6 +62,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed: weights 3, 1, 2, 150 % of all words, at most two copies."""
+    taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken, "source", "rate", "copies")
+
+
 _MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -89,6 +96,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
+    "op8_mixing": op8_mixing,
     "op10_media_archives": op10_media_archives,
 }
 
