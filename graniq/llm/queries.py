@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graniq.llm import media, warc
 from graniq.llm.chat_format import chat_windows, read_windows
+from graniq.llm.decontaminate import contaminated
 from graniq.llm.mixing import mix
 from graniq.llm.storage import materialize
 from graniq.llm.token_files import read_tokens, write_tokens
@@ -33,6 +34,11 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(materialize(warc.headers(second), "warc-headers")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain at least half of a benchmark item in tiles of four words or more."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), min_match=4, threshold=0.5)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted, written, and read back."""
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -93,6 +99,7 @@ def op10_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op4_decontaminate": op4_decontaminate,
     "op5_chat_format": op5_chat_format,
     "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,

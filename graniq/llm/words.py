@@ -19,6 +19,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators where punctuation doesn't count: all ASCII but letters and digits.
+_MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER] * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POW = np.array([pow(_BASE, i, 2**64) for i in range(256)], dtype=np.uint64)
@@ -60,34 +62,35 @@ def _powers(n: int) -> np.ndarray:
     return _POW
 
 
-def _cuts(raw: np.ndarray) -> list[int]:
+def _cuts(raw: np.ndarray, space: np.ndarray) -> list[int]:
     """Ends of segments of about SEGMENT bytes, each right after a separator where there is one."""
     cuts, at = [], 0
     while len(raw) - at > SEGMENT:
         end = at + SEGMENT
-        spaces = np.flatnonzero(_SPACE[raw[at:end]])
+        spaces = np.flatnonzero(space[raw[at:end]])
         if len(spaces):
             end = at + int(spaces[-1]) + 1
         else:
-            while end < len(raw) and not _SPACE[raw[end]]:
+            while end < len(raw) and not space[raw[end]]:
                 end += 1
         cuts.append(end)
         at = end
     return [*cuts, len(raw)]
 
 
-def word_hashes(column: pa.Array) -> Words:
-    """Hashes of the words of every row, whole texts."""
+def word_hashes(column: pa.Array, punctuation: bool = True) -> Words:
+    """Hashes of the words of every row, whole texts. Without ``punctuation``, ASCII marks separate words as spaces do."""
+    space = _SPACE if punctuation else _MARKS
     raw, offsets = text_buffers(column)
     starts_doc = np.zeros(len(raw) + 1, dtype=bool)
     starts_doc[offsets] = True
     found, firsts, at = [], [], 0
-    for end in _cuts(raw):
+    for end in _cuts(raw, space):
         part = raw[at:end]
-        inside = ~_SPACE[part]
+        inside = ~space[part]
         before = np.empty(len(part), dtype=bool)  # the byte before belongs to the same word
         if len(part):
-            before[0] = at > 0 and not _SPACE[raw[at - 1]] and not starts_doc[at]
+            before[0] = at > 0 and not space[raw[at - 1]] and not starts_doc[at]
             before[1:] = inside[:-1] & ~starts_doc[at + 1 : end]
         starts = np.flatnonzero(inside & ~before)
         if len(starts):
@@ -103,3 +106,12 @@ def word_hashes(column: pa.Array) -> Words:
     if not found:
         return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
     return Words(mix(np.concatenate(found)), np.searchsorted(np.concatenate(firsts), offsets, side="left"))
+
+
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, those across rows included."""
+    out = np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64)
+    for i in range(n):
+        out *= U64(0xD6E8FEB86659FD93)
+        out += hashes[i : i + len(out)]
+    return mix(out)
