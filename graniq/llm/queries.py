@@ -15,6 +15,7 @@ from graniq.llm import media, warc
 from graniq.llm.chat_format import chat_windows, read_windows
 from graniq.llm.decontaminate import contaminated
 from graniq.llm.mixing import mix
+from graniq.llm.quality import classify
 from graniq.llm.storage import materialize
 from graniq.llm.token_files import read_tokens, write_tokens
 from graniq.llm.url_filter import url_filter
@@ -34,6 +35,12 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(materialize(warc.headers(second), "warc-headers")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the co-trained classifier; keep is its decision."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "text_score", "page_score", "score", "keep")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain at least half of a benchmark item in tiles of four words or more."""
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), min_match=4, threshold=0.5)
@@ -99,6 +106,7 @@ def op10_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat_format": op5_chat_format,
     "op6_token_files": op6_token_files,

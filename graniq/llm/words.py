@@ -27,10 +27,14 @@ _POW = np.array([pow(_BASE, i, 2**64) for i in range(256)], dtype=np.uint64)
 
 
 class Words(NamedTuple):
-    """Hashes of all words of a batch; row i has those from offsets[i] to offsets[i + 1]."""
+    """Hashes of all words of a batch; row i has those from offsets[i] to offsets[i + 1].
+
+    begins has, for each asked length, the hashes of the words' first so many bytes.
+    """
 
     hashes: np.ndarray
     offsets: np.ndarray
+    begins: tuple[np.ndarray, ...] = ()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,13 +82,14 @@ def _cuts(raw: np.ndarray, space: np.ndarray) -> list[int]:
     return [*cuts, len(raw)]
 
 
-def word_hashes(column: pa.Array, punctuation: bool = True) -> Words:
+def word_hashes(column: pa.Array, punctuation: bool = True, begins: tuple[int, ...] = ()) -> Words:
     """Hashes of the words of every row, whole texts. Without ``punctuation``, ASCII marks separate words as spaces do."""
     space = _SPACE if punctuation else _MARKS
     raw, offsets = text_buffers(column)
     starts_doc = np.zeros(len(raw) + 1, dtype=bool)
     starts_doc[offsets] = True
     found, firsts, at = [], [], 0
+    short: list[list[np.ndarray]] = [[] for _ in begins]
     for end in _cuts(raw, space):
         part = raw[at:end]
         inside = ~space[part]
@@ -101,11 +106,14 @@ def word_hashes(column: pa.Array, punctuation: bool = True) -> Words:
             value = _BYTE[own]
             value *= _powers(int(place.max()) + 1)[place]
             found.append(np.add.reduceat(value, first))
+            for n, parts in zip(begins, short):
+                parts.append(np.add.reduceat(np.where(place < n, value, U64(0)), first))
             firsts.append(starts + at)
         at = end
     if not found:
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    return Words(mix(np.concatenate(found)), np.searchsorted(np.concatenate(firsts), offsets, side="left"))
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), tuple(np.zeros(0, np.uint64) for _ in begins))
+    rows = np.searchsorted(np.concatenate(firsts), offsets, side="left")
+    return Words(mix(np.concatenate(found)), rows, tuple(mix(np.concatenate(x)) for x in short))
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
