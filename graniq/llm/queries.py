@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graniq.llm import media, warc
 from graniq.llm.chat_format import chat_windows, read_windows
 from graniq.llm.decontaminate import contaminated
+from graniq.llm.jaccard_join import jaccard_components
 from graniq.llm.mixing import mix
 from graniq.llm.quality import classify
 from graniq.llm.storage import materialize
@@ -35,6 +36,11 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(materialize(warc.headers(second), "warc-headers")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by components of links: sets of 3-word shingles, Jaccard similarity of 0.9 or more."""
+    return jaccard_components(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by the co-trained classifier; keep is its decision."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -106,6 +112,7 @@ def op10_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat_format": op5_chat_format,

@@ -43,3 +43,10 @@ def bounded_batches(spark: SparkSession, max_bytes: int = 32 << 20) -> None:
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI or of an absolute path."""
     return fs.FileSystem.from_uri(path)
+
+
+def forget(table: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing will read again."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where, path = open_fs(folder)
+        where.delete_dir(path)
