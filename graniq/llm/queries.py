@@ -15,6 +15,7 @@ from graniq.llm import media, warc
 from graniq.llm.chat_format import chat_windows, read_windows
 from graniq.llm.decontaminate import contaminated
 from graniq.llm.jaccard_join import jaccard_components
+from graniq.llm.katz import katz
 from graniq.llm.mixing import mix
 from graniq.llm.quality import classify
 from graniq.llm.storage import materialize
@@ -87,6 +88,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken, "source", "rate", "copies")
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts scored by a model of those whose crc32(doc_id) mod 7 is not 2."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scores = katz(_table(spark, sf_dir, "documents"), ~held).scores
+    return scores.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 _MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -119,6 +127,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
+    "op9_katz": op9_katz,
     "op10_media_archives": op10_media_archives,
 }
 
