@@ -151,13 +151,18 @@ def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, c
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns.
 
-    Rows of equal doc_id, source and text share their copies: those of the k-th such row are
-    the k-th of theirs. A row without copies is left out.
+    Rows of equal doc_id, source and text share their copies, those with the least numbers
+    first; only such rows are numbered. A row without copies is left out.
     """
-    taken = mix(docs, **how)
-    nth = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
-    t = taken.filter("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("key").alias("k"), F.col("copies").cast("int").alias("__copies")).withColumn("__nth", nth(["d", "s", "k"]))
+    key = ["doc_id", "source", "key"]
+    taken = mix(docs, **how).groupBy(*key).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    t = materialize(taken.withColumnsRenamed({"doc_id": "__d", "source": "__s", "key": "__k"}), "mix-copies")
     own = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    own = own.withColumn("__row", nth(["doc_id", "source", "__key"]))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("__key") == F.col("k")) & (F.col("__row") == F.col("__nth"))
-    return own.join(t, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(c) for c in docs.columns])
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__k"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = own.join(t.filter("__rows = 1 AND __copies > 0"), same).select(*columns, "__copies")
+    equal = own.join(t.filter("__rows > 1 AND __copies > 0"), same)
+    number = F.row_number().over(Window.partitionBy("doc_id", "source", "__key").orderBy(F.lit(0)))
+    each = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
+    many = equal.withColumn("__nth", number).select(*columns, each.alias("__copies")).filter("__copies > 0")
+    return one.unionByName(many).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*columns)
