@@ -21,7 +21,7 @@ def normalise_weights(dimensions: Column) -> Column:
 
 def clamp(value: Column) -> Column:
     """A number from 0 to 100; 0 for what is none."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value.try_cast("double"))), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(value.try_cast("double"), F.lit(0.0))))
 
 
 def tier(total: Column, core: float = CORE, short: float = SHORT) -> Column:
