@@ -142,3 +142,51 @@ def evidence_cards(records: DataFrame, scores: DataFrame, links: DataFrame, limi
     cards = best.join(records, "record_id").join(lists, "record_id", "left")
     body = F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("title")), F.concat(F.lit("Total: "), F.format_number("total", 1), F.lit(" ("), F.col("tier"), F.lit(")")), F.concat(F.lit("## Links\n"), F.coalesce("links", F.lit("-"))))
     return cards.select("record_id", F.concat(T.safe_stem(F.col("title")), F.lit(".md")).alias("file"), body.alias("markdown"))
+
+
+def document_records(nodes: DataFrame, chunks: DataFrame, folder: str = "", first: int = 4) -> DataFrame:
+    """Records of the ready files below a folder: external_id (path), title (stem), summary (from the first chunks, 400 characters), no labels."""
+    inside = nodes.filter((F.col("kind") == "file") & (F.col("status") == "ready") & F.col("path").startswith(folder.rstrip("/") + "/"))
+    nth = F.row_number().over(Window.partitionBy("node_id").orderBy("ordinal"))
+    head = chunks.join(inside.select("node_id"), "node_id", "left_semi").withColumn("nth", nth).filter(F.col("nth") <= first)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"])
+    texts = head.groupBy("node_id").agg(F.array_join(ordered, " ").alias("text"))
+    stem = F.regexp_replace("name", r"\.[^.]*$", "")
+    out = inside.join(texts, "node_id", "left")
+    return out.select("node_id", F.substr("path", F.lit(1), F.lit(200)).alias("external_id"), stem.alias("title"), F.substr(T.one_line(F.coalesce("text", F.lit(""))), F.lit(1), F.lit(400)).alias("summary"), F.array().cast("array<string>").alias("labels"))
+
+
+def missing_attribute(records: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` records whose attribute is absent or empty, of the first 3 * limit by record_id."""
+    empty = F.coalesce(F.col("attributes")[key], F.lit("")) == ""
+    return records.orderBy("record_id").limit(3 * limit).filter(empty).orderBy("record_id").limit(limit)
+
+
+def single_default(rows: DataFrame, chosen: Column) -> DataFrame:
+    """Exactly the chosen row is the default."""
+    return rows.withColumn("is_default", F.coalesce(chosen, F.lit(False)))
+
+
+def choose_card(cards: DataFrame, wanted: int | None = None) -> DataFrame:
+    """The card of this id, else the default, else the first enabled one."""
+    rank = F.when(F.col("card_id") == F.lit(wanted), 0).when(F.col("is_default"), 1).when(F.col("enabled"), 2)
+    return cards.withColumn("rank", rank).filter("rank IS NOT NULL").orderBy("rank", "card_id").limit(1).drop("rank")
+
+
+def grouped_ids(bridge: DataFrame, key: str, other: str) -> DataFrame:
+    """The other side of an n-to-m bridge, as a sorted list for each key."""
+    return bridge.groupBy(key).agg(F.array_sort(F.collect_set(other)).alias(other))
+
+
+def replace_set(bridge: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The bridge with the keys of ``new`` bound to its rows alone."""
+    return bridge.join(new.select(key).distinct(), key, "left_anti").unionByName(new.distinct())
+
+
+def link_page(links: DataFrame, records: DataFrame, status: str | None = None, limit: int = 400) -> DataFrame:
+    """Links by score with both titles; an unknown record's title is empty."""
+    own = links if status is None else links.filter(F.col("status") == status)
+    best = own.orderBy(F.col("score").desc(), "from_id", "to_id").limit(min(limit, 400))
+    title = lambda side: records.select(F.col("record_id").alias(f"{side}_id"), F.col("title").alias(f"{side}_title"))
+    both = best.join(title("from"), "from_id", "left").join(title("to"), "to_id", "left")
+    return both.select("from_id", "to_id", F.coalesce("from_title", F.lit("")).alias("from_title"), F.coalesce("to_title", F.lit("")).alias("to_title"), "score")

@@ -11,8 +11,8 @@ from graniq.functions import text as T
 from graniq.functions import vectors as V
 from graniq.operators import browse, chunking, fusion, legs, matching, ops, records
 from graniq.plans import search as plans
-from graniq.sources import corpus, files
-from graniq.streaming import queue
+from graniq.sources import corpus, files, sinks
+from graniq.streaming import ingest, queue
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -498,3 +498,87 @@ SELECT job_id, dedupe_key FROM o UNION ALL SELECT job_id, dedupe_key FROM n WHER
 def job_dedupe(spark, d):
     jobs = _jobs(spark, d)
     return queue.enqueue(jobs.filter("job_id % 2 = 0"), jobs.filter("job_id % 2 = 1")).select("job_id", "dedupe_key")
+
+
+@query(rf"""WITH {Q.CHUNKS}, h AS (SELECT node_id, string_agg(text, ' ' ORDER BY ordinal) AS text FROM c WHERE ordinal < 4 GROUP BY 1)
+SELECT node_id, path AS external_id, regexp_replace(name, '\.[^.]*$', '') AS title, left(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 400) AS summary FROM nodes LEFT JOIN h USING (node_id) WHERE starts_with(path, '/src2/')""")
+def document_records(spark, d):
+    return records.document_records(corpus.nodes(spark, d), corpus.chunks(spark, d), "/src2").drop("labels")
+
+
+@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS event_types FROM events GROUP BY 1")
+def bridge_lists(spark, d):
+    return records.grouped_ids(_t(spark, d, "events"), "user_id", "event_type").select("user_id", F.array_join("event_type", ",").alias("event_types"))
+
+
+@query(f"WITH {_LINKS} SELECT from_id, to_id, coalesce(s_name, '') AS from_title, coalesce(c_name, '') AS to_title, score FROM (SELECT * FROM links ORDER BY score DESC, from_id, to_id LIMIT 400) LEFT JOIN supplier ON s_suppkey = from_id LEFT JOIN customer ON c_custkey = to_id")
+def link_page(spark, d):
+    best = _links(spark, d).orderBy(F.col("score").desc(), "from_id", "to_id").limit(400)
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("from_id"), F.col("s_name").alias("from_title"))
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("to_id"), F.col("c_name").alias("to_title"))
+    both = best.join(s, "from_id", "left").join(c, "to_id", "left")
+    return both.select("from_id", "to_id", F.coalesce("from_title", F.lit("")).alias("from_title"), F.coalesce("to_title", F.lit("")).alias("to_title"), "score")
+
+
+@query("SELECT user_id, count(*) AS n_searches, sum(event_id % 7)::BIGINT AS hits, max(value) AS top_score, bool_or(event_type = 'click') AS reranked FROM events GROUP BY 1")
+def turn_totals(spark, d):
+    log = _t(spark, d, "events").select("user_id", (F.col("event_id") % 7).alias("hits"), F.col("value").alias("score"), (F.col("event_type") == "click").alias("reranked"))
+    return ops.turn_totals(log, "user_id")
+
+
+@query("SELECT event_id, 'data: ' || '{\"type\":\"' || event_type || '\",\"user\":' || user_id || '}' || chr(10) || chr(10) AS frame FROM events")
+def event_frames(spark, d):
+    return _t(spark, d, "events").select("event_id", sinks.event_frame(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"))).alias("frame"))
+
+
+@query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    """An extension: hourly windows, the same expression for tables and streams."""
+    return ingest.event_counts(_t(spark, d, "events")).select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n")
+
+
+@query("""WITH a AS (SELECT vec_id // 10 AS search, vec_id % 10 AS place, vec_id % 37 AS node_id FROM embeddings), f AS (SELECT node_id, min(search * 1000 + place) AS k FROM a GROUP BY 1)
+SELECT row_number() OVER (ORDER BY k, node_id) AS number, node_id, k // 1000 AS search, k % 1000 AS place FROM f""")
+def citation_numbers(spark, d):
+    rows = _t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("search"), (F.col("vec_id") % 10).alias("place"), (F.col("vec_id") % 37).alias("node_id"), F.array(F.lit(0)).alias("ordinals"))
+    return fusion.citations(rows).drop("ordinals")
+
+
+@query("SELECT l_partkey AS key, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) GROUP BY 1 UNION ALL SELECT p_partkey, 1 FROM part WHERE p_size > 40")
+def replace_children(spark, d):
+    old = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("node_id"))
+    new = _t(spark, d, "part").filter("p_size > 40").select(F.col("p_partkey").alias("node_id"))
+    return records.replace_children(old, new).groupBy(F.col("node_id").alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang AS repository, count(*) AS n FROM documents WHERE source <> 'src3' GROUP BY 1")
+def subtree_delete(spark, d):
+    return browse.delete_subtree(corpus.nodes(spark, d), [], "/src3")[0].groupBy("repository").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS node_id FROM documents WHERE doc_id = 5")
+def resolve_node(spark, d):
+    nodes = corpus.nodes(spark, d)
+    name = nodes.filter("node_id = 5").select("name").first()[0]
+    return browse.resolve(nodes, name).select("node_id")
+
+
+@query(r"""SELECT doc_id, n, CASE WHEN n <= 8 THEN repeat('*', n) ELSE left(w, 4) || '…' || right(w, 4) END AS masked FROM (SELECT doc_id, left(regexp_replace(text, '\s', '', 'g'), 6 + doc_id::INT % 7) AS w, length(left(regexp_replace(text, '\s', '', 'g'), 6 + doc_id::INT % 7)) AS n FROM documents)""")
+def mask_secrets(spark, d):
+    w = F.substr(F.regexp_replace("text", r"\s", ""), F.lit(1), (6 + F.col("doc_id") % 7).cast("int"))
+    return _t(spark, d, "documents").select("doc_id", F.length(w).alias("n"), T.mask(w).alias("masked"))
+
+
+@query("SELECT n_name AS name, r_name AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 AS is_default FROM nation JOIN region ON r_regionkey = n_regionkey")
+def scoped_defaults(spark, d):
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    least = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("least"))
+    return records.single_default(n.join(least, "n_regionkey"), F.col("n_nationkey") == F.col("least")).select(F.col("n_name").alias("name"), F.col("r_name").alias("region"), "is_default")
+
+
+@query("SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS slug, count(*) AS n FROM pages GROUP BY 1")
+def visible_hosts(spark, d):
+    """Repositories that a user may see: here pages by host, all of them shared."""
+    host = F.lower(F.regexp_extract("url", "^https?://([^/?#:]+)", 1))
+    rows = _t(spark, d, "pages").select(host.alias("slug"), F.lit("someone").alias("owner_id"), F.lit("shared").alias("visibility"))
+    return browse.visible(rows, "nobody").groupBy("slug").agg(F.count("*").alias("n"))
