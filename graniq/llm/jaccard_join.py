@@ -14,10 +14,10 @@ Counting exchanges sorted blocks of hashes: a chunk of sets asks the owner of ea
 for the frequencies of its tokens, each token once a chunk, so that a token of a third of all
 sets costs one entry a chunk.
 
-Equal sets are one vertex. Candidates that share a key are linked in rounds: some members,
-chosen by hash, are compared with all others of the key; what is then connected needs no
-further comparison, and the number of chosen members grows until nothing is left open. So
-every link is found or implied by others, and groups of copies are not expanded into pairs.
+Equal sets are one vertex. Sets that keys connect are a family; similar sets are of one. A
+family is cut into blocks of a bounded number of tokens, and a task verifies two blocks
+against each other on the whole sets, by the lists of sets that share a token. It returns
+what the links connect, a row for each set at most; pairs are never rows.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from graniq.llm.words import U64, gram_hashes, mix, word_hashes
 
 #: Tokens of a chunk of sets, and of a bucket of the hash space.
 CHUNK, BUCKET = 400_000, 1_000_000
+#: Tokens of a block of sets that are verified together.
+BLOCK = 500_000
 #: Sets that share a token from which it is frequent, and tokens of a group in a prefix.
 FREQUENT, GROUP = 16, 6
 
@@ -251,53 +253,71 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, w: int) -> DataFrame:
     return found.groupBy("idx").agg(F.first("tokens").alias("tokens"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that are links."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = _u64(x), _u64(y)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(rule.den * same >= rule.num * (len(both) - same))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    joined = pairs.join(sets.select(F.col("idx").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("idx").alias("b"), F.col("tokens").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def _link(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
-    """idx, label of all sets that links connect. members: key, m (members of the key), idx, n."""
-    members = members.withColumn("u", F.pmod(F.xxhash64("idx", F.lit(77)), F.lit(1 << 52)) / float(1 << 52))
-    labels, before, chosen = None, 0, 2
-    while True:
-        mem = members.filter(F.col("m") > before)
-        mem = mem.withColumn("label", F.col("idx")) if labels is None else mem.join(labels, "idx", "left").withColumn("label", F.coalesce("label", "idx"))
-        open_ = mem.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("key")
-        mem = materialize(mem.join(open_, "key"), "join-open")
-        if mem.isEmpty():
-            return labels
-        one = mem.filter((F.col("u") >= before / F.col("m")) & (F.col("u") < chosen / F.col("m"))).select("key", F.col("idx").alias("x"), F.col("n").alias("xn"), F.col("u").alias("xu"), F.col("label").alias("xl"))
-        apart = (F.col("xl") != F.col("label")) & ((F.col("xu") < F.col("u")) | ((F.col("xu") == F.col("u")) & (F.col("x") < F.col("idx"))))
-        near = F.lit(rule.den) * F.least("n", "xn") >= F.lit(rule.num) * F.greatest("n", "xn")
-        pairs = one.join(mem.select("key", "idx", "n", "u", "label"), "key").filter(apart & near)
-        pairs = materialize(pairs.select(F.least("x", "idx").alias("a"), F.greatest("x", "idx").alias("b")).distinct(), "join-pairs")
-        links = materialize(_verify(pairs, sets, rule), "join-links")
-        if not links.isEmpty():
-            if labels is None:
-                labels = connect(links).select(F.col("v").alias("idx"), "label")
-            else:
-                own = labels.select(F.col("idx").alias("v"), F.col("label").alias("l"))
-                named = links.join(own.withColumnsRenamed({"v": "a", "l": "la"}), "a", "left").join(own.withColumnsRenamed({"v": "b", "l": "lb"}), "b", "left")
-                merged = connect(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b"))
-                old = labels.join(merged.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left").select("idx", F.coalesce("to", "label").alias("label"))
-                new = merged.select(F.col("v").alias("idx"), "label").join(labels.select("idx"), "idx", "left_anti")
-                labels = materialize(old.unionByName(new), "join-labels")
-        before, chosen = chosen, chosen * 4
+def linked(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """For each set the number of the first set that links connect it with, all sets compared by their shared tokens."""
+    sizes = np.array([len(x) for x in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, run, many = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = many[run] > 1
+    run, owner = run[shared], owner[shared]
+    own = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
+    posted = owner[np.argsort(run, kind="stable")]  # the sets of each token, one token after the other
+    many = np.where(many > 1, many, 0)
+    first = np.cumsum(many) - many
+    root = np.arange(len(sets))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(1, len(sets)):
+        mine = run[own[i] : own[i + 1]]
+        if not len(mine):
+            continue
+        n = many[mine]
+        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        same = np.bincount(posted[at], minlength=len(sets))[:i]
+        for j in np.flatnonzero(rule.den * same >= rule.num * (sizes[i] + sizes[:i] - same)).tolist():
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    return np.array([find(i) for i in range(len(sets))])
+
+
+def _members(keys: DataFrame) -> DataFrame:
+    """Rows of the keys that several sets have. Keys with the same members say the same; one of them is kept."""
+    same = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("idx")).alias("f"), F.bit_xor(F.xxhash64("idx", F.lit(5))).alias("g"), F.min("idx").alias("least")).filter("m > 1")
+    kept = same.groupBy("m", "f", "g").agg(F.min("key").alias("key"), F.min("least").alias("least"))
+    return materialize(keys.join(kept.select("key", "least"), "key").select("key", "least", "idx", "n"), "join-members")
+
+
+def _families(members: DataFrame) -> DataFrame:
+    """idx, n, family: sets that keys connect, be they similar or not; one edge for each row of the index."""
+    ties = connect(members.filter("idx <> least").select(F.col("least").alias("a"), F.col("idx").alias("b")).distinct())
+    return ties.select(F.col("v").alias("idx"), F.col("label").alias("family")).join(members.groupBy("idx").agg(F.max("n").alias("n")), "idx")
+
+
+def _link(families: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """idx, label of the sets that links connect. Each family is cut into blocks by hash, and a task compares two of its blocks (small families: some whole ones)."""
+    sizes = families.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.sum("n").alias("tokens"))
+    small = sizes.filter("blocks = 1").agg(F.sum("tokens")).first()[0] or 0
+    rows = families.join(sizes, "family")
+    block = F.pmod(F.xxhash64("idx", F.lit(11)), F.col("blocks"))
+    cut = rows.filter("blocks > 1").select("idx", "family", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    large = cut.select("idx", F.col("family").alias("t"), F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
+    bucket = F.pmod(F.xxhash64("family", F.lit(13)), F.lit(small // BLOCK + 1))
+    whole = rows.filter("blocks = 1").select("idx", F.lit(-1).cast("long").alias("t"), bucket.alias("u"), F.lit(0).cast("long").alias("v"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        idx = table["idx"].to_numpy()
+        root = linked([_u64(x) for x in table["tokens"].to_pylist()], rule)
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table([pa.array(idx[root[tied]]), pa.array(idx[tied])], names=["a", "b"])
+
+    tasks = large.unionByName(whole).join(sets, "idx").groupBy("t", "u", "v")
+    return connect(materialize(tasks.applyInArrow(run, "a long, b long"), "join-links")).select(F.col("v").alias("idx"), "label")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -321,22 +341,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     places = materialize(_places(chunks), "join-places")
     forget(chunks)
 
-    # Keys with the same members say the same; one of them is kept.
-    same = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("idx")).alias("f"), F.bit_xor(F.xxhash64("idx", F.lit(5))).alias("g")).filter("m > 1")
-    kept = same.groupBy("m", "f", "g").agg(F.min("key").alias("key")).select("key", "m")
-    members = materialize(keys.join(kept, "key").select("key", "m", "idx", "n"), "join-members")
+    families = materialize(_families(_members(keys)), "join-families")
+    forget(keys)
     by_set = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    wanted = members.select("idx").distinct().join(places.drop("n"), "idx").join(by_set.drop("n"), ["k1", "k2"]).select("idx", "k1", "k2", F.col("least").alias("wanted_id"))
+    wanted = families.select("idx").join(places.drop("n"), "idx").join(by_set.drop("n"), ["k1", "k2"]).select("idx", "k1", "k2", F.col("least").alias("wanted_id"))
     sets = materialize(_whole_sets(docs, materialize(wanted, "join-wanted"), shingle), "join-whole")
-    labels = _link(members, sets, rule)
-
-    classes = by_set.filter("n > 0")
-    if labels is None:
-        classes = classes.select("k1", "k2", F.col("least").alias("component_id"))
-    else:
-        named = classes.join(places.join(labels, "idx").select("k1", "k2", "label"), ["k1", "k2"], "left")
-        named = materialize(named.select("k1", "k2", "least", "label"), "join-classes")
-        least = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("lowest"))
-        classes = named.join(least, "label", "left").select("k1", "k2", F.coalesce("lowest", "least").alias("component_id"))
+    labels = _link(families, sets, rule)
+
+    named = by_set.filter("n > 0").join(places.join(labels, "idx").select("k1", "k2", "label"), ["k1", "k2"], "left")
+    named = materialize(named.select("k1", "k2", "least", "label"), "join-classes")
+    lowest = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("lowest"))
+    classes = named.join(lowest, "label", "left").select("k1", "k2", F.coalesce("lowest", "least").alias("component_id"))
     out = own.join(classes, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

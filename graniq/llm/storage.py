@@ -6,6 +6,7 @@ notebooks), a temporary folder of the driver is used and set for the session.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,10 @@ def forget(table: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         where, path = open_fs(folder)
         where.delete_dir(path)
+    release(table.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
