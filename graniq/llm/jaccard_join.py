@@ -37,6 +37,8 @@ from graniq.llm.words import U64, gram_hashes, mix, word_hashes
 
 #: Tokens of a chunk of sets, and of a bucket of the hash space.
 CHUNK, BUCKET = 400_000, 1_000_000
+#: Bits of the filter of wanted documents: 16 MB.
+FILTER_BITS = 1 << 27
 #: Tokens of a block of sets that are verified together.
 BLOCK = 500_000
 #: Sets that share a token from which it is frequent, and tokens of a group in a prefix.
@@ -236,6 +238,15 @@ def _places(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk", "k1", "k2", "n").mapInArrow(run, "idx long, k1 long, k2 long, n long")
 
 
+def _possible(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be wanted, so that few other texts are shuffled: a bitmap of hashes, of FILTER_BITS bits at most, is broadcast."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    maps = wanted.select(place("wanted_id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    rows = docs.withColumn("h", place("doc_id")).withColumn("bucket", F.bitmap_bucket_number("h"))
+    found = F.expr("(cast(conv(hex(substring(bits, cast(bitmap_bit_position(h) div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(bitmap_bit_position(h) % 8 as int))) <> 0")
+    return rows.join(F.broadcast(maps), "bucket").filter(found).select("doc_id", "text")
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, w: int) -> DataFrame:
     """idx, tokens of the wanted sets (idx, doc_id, k1, k2), from the whole texts."""
 
@@ -248,7 +259,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, w: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.binary())], names=["idx", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.expr("doc_id <=> wanted_id")).select("text", "idx", "k1", "k2")
+    rows = _possible(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted)
+    rows = rows.join(wanted.hint("merge"), F.expr("doc_id <=> wanted_id")).select("text", "idx", "k1", "k2")
     found = rows.mapInArrow(run, "idx long, tokens binary")
     return found.groupBy("idx").agg(F.first("tokens").alias("tokens"))
 

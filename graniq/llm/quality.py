@@ -96,13 +96,12 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def fit_text(v: Views, rows: np.ndarray, y: np.ndarray, steps: int = 120, penalty: float = 2e-4, least: int = 3) -> tuple[np.ndarray, float]:
     """Weights by slot and a bias: logistic regression on the presence of words in at least ``least`` rows."""
     sizes = np.diff(v.offsets)[rows]
-    where = np.repeat(v.offsets[rows] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    slots = v.slots[where]
-    of = np.repeat(np.arange(len(rows)), sizes)
+    slots = np.concatenate([v.slots[v.offsets[r] : v.offsets[r + 1]] for r in rows])
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     often = np.bincount(slots, minlength=1 << TEXT_BITS) >= least
     ok = often[slots]
-    known, slots = np.unique(slots[ok], return_inverse=True)
-    of = of[ok]
+    known, of = np.flatnonzero(often), of[ok]
+    slots = (np.cumsum(often, dtype=np.int32) - 1)[slots[ok]]
     at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(rows)))])
     w, bias = np.zeros(len(known)), 0.0
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -197,7 +196,7 @@ def _views_of(batch: pa.RecordBatch, first: int) -> Views:
     return views(*(batch.column(i) for i in range(first, first + 3)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 4000, rounds: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, max_pool: int = 2500, rounds: int = 3) -> Model:
     """labels: doc_id, quality, toxic. Good is quality 1 and not toxic; rows without quality or doc_id are not labels, and of several rows for a document the worst counts."""
     spark = docs.sparkSession
     bounded_batches(spark)
