@@ -2,26 +2,30 @@
 
 The text view has the words of a document and their beginnings, the page view what is known about it: language,
 source, length, and the shape of its characters and lines. Each view has a logistic model.
-Over rounds, each labels the rows of an unlabelled pool of which it is sure, for the other to
-learn. Then each view is calibrated on labelled rows that neither has learned, a combination
-of the two calibrated views is fitted there, and all documents are scored in one pass.
-
-Models are fitted on the driver, on at most ``max_labelled`` labelled and ``max_pool``
-unlabelled rows, taken in order of a hash of doc_id: a documented, bounded sample. Scoring
-covers every document.
+Over rounds, each labels all unlabelled rows of which it is sure, for the other to learn.
+Then each view is calibrated on labelled rows that neither has learned, a combination of the
+two calibrated views is fitted there, and all documents are scored in one pass.
+
+Labelled rows are fitted on the driver, at most ``max_labelled`` of them in order of a hash of
+doc_id: a documented, bounded sample. Unlabelled rows have no bound: their features are stored
+once, and each round is a pass over them that adds up what the models learn from. That is, for
+the text view, the rows of each class that hold a slot, whose log ratio is where its weights
+start and are drawn to; for the page view, the gradient and a bound of the second derivatives
+of the loss. Scoring covers every document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniq.llm.storage import bounded_batches
+from graniq.llm.storage import bounded_batches, forget, materialize
 from graniq.llm.words import U64, text_buffers, word_hashes
 
 TEXT_BITS = 20
@@ -30,6 +34,8 @@ BEGINS = (4, 6, 8)
 LANGS, SOURCES = 16, 64
 SHAPES = 14
 PAGE_SIZE = SHAPES + LANGS + SOURCES
+#: Documents of a stored block of features, and ranges of slots that are added up apart.
+BLOCK, RANGES = 1024, 16
 
 
 class Views(NamedTuple):
@@ -93,22 +99,56 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[offsets])
 
 
-def fit_text(v: Views, rows: np.ndarray, y: np.ndarray, steps: int = 120, penalty: float = 2e-4, least: int = 3) -> tuple[np.ndarray, float]:
-    """Weights by slot and a bias: logistic regression on the presence of words in at least ``least`` rows."""
+class Sums(NamedTuple):
+    """What a pass over the unlabelled rows found, by class 0 and 1 of the label that the other view gave.
+
+    words: of the rows for the text view, those that hold each slot; n_words: all of them. n_page: rows for the page view;
+    slope and curve: at the page weights of the pass, the sums of x (p - y) and of x x', x with a 1 at its end.
+    """
+
+    words: np.ndarray
+    n_words: np.ndarray
+    n_page: np.ndarray
+    slope: np.ndarray
+    curve: np.ndarray
+
+
+def no_sums() -> Sums:
+    d = PAGE_SIZE + 1
+    return Sums(np.zeros((2, 1 << TEXT_BITS), np.int64), np.zeros(2, np.int64), np.zeros(2, np.int64), np.zeros((2, d)), np.zeros((2, d, d)))
+
+
+def fit_text(v: Views, rows: np.ndarray, y: np.ndarray, sums: Sums, steps: int = 120, penalty: float = 2e-4, least: int = 3) -> tuple[np.ndarray, float]:
+    """Weights by slot and a bias: logistic regression on the presence of words in at least ``least`` rows.
+
+    Where unlabelled rows of both classes were learned, weights start at and are drawn to the log ratio of a slot's
+    shares of the classes, in the scale that fits the labelled rows; else to 0.
+    """
     sizes = np.diff(v.offsets)[rows]
     slots = np.concatenate([v.slots[v.offsets[r] : v.offsets[r + 1]] for r in rows])
     of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    often = np.bincount(slots, minlength=1 << TEXT_BITS) >= least
+    own = np.array([np.bincount(slots[(y[of] > 0.5) == c], minlength=1 << TEXT_BITS) for c in (0, 1)])
+    seen = own + sums.words
+    often = seen.sum(axis=0) >= least
     ok = often[slots]
     known, of = np.flatnonzero(often), of[ok]
     slots = (np.cumsum(often, dtype=np.int32) - 1)[slots[ok]]
     at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(rows)))])
     w, bias = np.zeros(len(known)), 0.0
+    if sums.n_words.all():
+        n = sums.n_words + [(y <= 0.5).sum(), (y > 0.5).sum()]
+        share = np.log((seen[:, known] + 0.5) / (n[:, None] + 1))
+        ratio = share[1] - share[0]
+        z = _sums(ratio[slots], at)
+        size = max(1.0, float(np.abs(z).mean()))
+        slope, bias = fit_dense(z[:, None] / size, y)
+        w, bias = max(0.0, slope) / size * ratio, float(bias)
+    middle = w.copy()
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
     for k in range(1, steps + 1):
         e = (sigmoid(_sums(w[slots], at) + bias) - y) * weight
-        g, gb = np.bincount(slots, weights=e[of], minlength=len(known)) + penalty * w, e.sum()
+        g, gb = np.bincount(slots, weights=e[of], minlength=len(known)) + penalty * (w - middle), e.sum()
         m, s, mb, sb = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
         fix1, fix2 = 1 - 0.9**k, 1 - 0.99**k
         w -= 0.1 * (m / fix1) / (np.sqrt(s / fix2) + 1e-8)
@@ -118,8 +158,8 @@ def fit_text(v: Views, rows: np.ndarray, y: np.ndarray, steps: int = 120, penalt
     return out, float(bias)
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 30, balanced: bool = True) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the bias."""
+def fit_dense(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 30, balanced: bool = True, more: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps; the last weight is the bias. more: a place, slope and curve of a quadratic loss that is added."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())) if balanced else np.full(len(y), 1 / max(1, len(y)))
@@ -127,6 +167,9 @@ def fit_dense(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int =
         p = sigmoid(x @ w)
         g = x.T @ ((p - y) * weight) + penalty * w
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
+        if more is not None:
+            g += more[1] + more[2] @ (w - more[0])
+            h += more[2]
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -161,42 +204,140 @@ class Model(NamedTuple):
         return sigmoid(a), sigmoid(b), sigmoid(_both(a, b) @ self.both[:-1] + self.both[-1])
 
 
-def co_train(v: Views, y: np.ndarray, rounds: int = 3, sure: float = 0.98) -> Model:
-    """y: 1, 0, or NaN for rows of the pool. Every third labelled row is kept for calibration."""
-    labelled, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
-    if len(np.unique(y[labelled])) < 2 or min((y[labelled] == 1).sum(), (y[labelled] == 0).sum()) < 6:
-        prior = float(y[labelled].mean()) if len(labelled) else 1.0
+def fit_page(v: Views, rows: np.ndarray, y: np.ndarray, sums: Sums, at: np.ndarray | None) -> np.ndarray:
+    """Page weights from labelled rows and the sums of unlabelled ones, taken at the weights ``at``.
+
+    The loss of unlabelled rows is its quadratic upper bound there. A class of them weighs no more than its labelled rows.
+    """
+    if at is None or not sums.n_page.any():
+        return fit_dense(v.pages[rows], y)
+    own = np.array([(y <= 0.5).sum(), (y > 0.5).sum()])
+    weight = 0.5 / own * np.minimum(1, own / np.maximum(1, sums.n_page))
+    return fit_dense(v.pages[rows], y, more=(at, weight @ sums.slope, np.tensordot(weight / 4, sums.curve, 1)))
+
+
+def co_train(v: Views, y: np.ndarray, learn_from: Callable[[list[Model]], Sums], rounds: int = 3) -> Model:
+    """v, y: labelled rows, of which every third is kept for calibration. learn_from: the sums of all unlabelled rows, by the models of the rounds so far."""
+    if len(np.unique(y)) < 2 or min((y == 1).sum(), (y == 0).sum()) < 6:
+        prior = float(y.mean()) if len(y) else 1.0
         return Model(np.zeros(1 << TEXT_BITS), 0.0, np.zeros(PAGE_SIZE + 1), np.ones((2, 2)), np.zeros(4), prior)
-    held = np.zeros(len(labelled), bool)
+    held = np.zeros(len(y), bool)
     for c in (0, 1):  # both classes in both parts
-        held[np.flatnonzero(y[labelled] == c)[::3]] = True
-    learn, check = labelled[~held], labelled[held]
-    known = [dict(zip(learn.tolist(), y[learn].tolist())) for _ in range(2)]
+        held[np.flatnonzero(y == c)[::3]] = True
+    learn, check = np.flatnonzero(~held), np.flatnonzero(held)
+    models, sums, page = [], no_sums(), None
     for k in range(rounds + 1):
-        rows = [np.array(sorted(x)) for x in known]
-        ys = [np.array([known[i][r] for r in rows[i].tolist()]) for i in range(2)]
-        words, bias = fit_text(v, rows[0], ys[0])
-        page = fit_dense(v.pages[rows[1]], ys[1])
+        words, bias = fit_text(v, learn, y[learn], sums)
+        page = fit_page(v, learn, y[learn], sums, page)
         model = Model(words, bias, page, np.ones((2, 2)), np.zeros(4))
         z = model.logits(v)
         scales = np.array([fit_dense(z[i][check][:, None] / 4, y[check], balanced=False) / [4, 1] for i in range(2)])
-        if k == rounds:
-            break
-        p = [sigmoid(s * x + t) for x, (s, t) in zip(z, scales)]
-        for i in range(2):
-            for c, surely in ((1, p[i] >= sure), (0, p[i] <= 1 - sure)):
-                for r in pool[surely[pool]].tolist():
-                    known[1 - i].setdefault(r, c)
+        models.append(model._replace(scales=scales))
+        if k < rounds:
+            sums = learn_from(models)
     a, b = (s * x[check] + t for x, (s, t) in zip(z, scales))
     both = fit_dense(_both(a, b), y[check], balanced=False)
-    return Model(words, bias, page, scales, both)
+    return models[-1]._replace(both=both)
+
+
+def _taught(v: Views, models: list[Model], sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the text and the page view, the label of each row by the other view: 1, 0, or -1 where it was never sure. The first round that was sure counts."""
+    labels = np.full((2, len(v.offsets) - 1), -1, np.int8)
+    for model in models:
+        for i, (z, (s, t)) in enumerate(zip(model.logits(v), model.scales)):
+            p, other = sigmoid(s * z + t), labels[1 - i]
+            other[(other < 0) & (p >= sure)] = 1
+            other[(other < 0) & (p <= 1 - sure)] = 0
+    return labels[0], labels[1]
+
+
+def add_up(v: Views, models: list[Model], sure: float) -> Sums:
+    """Page features and errors are rounded to binary fractions, so that sums are exact and come in any order."""
+    text, page = _taught(v, models, sure)
+    of = np.repeat(text, np.diff(v.offsets))
+    words = np.array([np.bincount(v.slots[of == c], minlength=1 << TEXT_BITS) for c in (0, 1)])
+    x = np.c_[np.round(v.pages * 1024) / 1024, np.ones(len(page))]
+    error = np.round((sigmoid(v.pages @ models[-1].page[:-1] + models[-1].page[-1]) - page) * 65536) / 65536
+    parts = [(x[page == c], error[page == c]) for c in (0, 1)]
+    return Sums(words, np.array([(text == c).sum() for c in (0, 1)]), np.array([len(e) for _, e in parts]), np.array([e @ r for r, e in parts]), np.array([r.T @ r for r, _ in parts]))
+
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    raw = np.ascontiguousarray(x.astype(kind).reshape(-1).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _unlabelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Features of all rows whose doc_id is not in ``known``, null ids among them, in blocks: slots (as steps), counts, page."""
+    # Null ids meet nothing; with keys of their texts they don't meet in one task either.
+    spread = lambda i, text: F.xxhash64(i.cast("string"), F.when(i.isNull(), text))
+    rows = docs.select("doc_id", "text", *_page_columns(docs)).withColumn("__key", spread(F.col("doc_id"), F.col("text")))
+    ids = known.select(F.col("doc_id").alias("__id"), spread(F.col("doc_id"), F.lit("")).alias("__hash"))
+    rest = rows.join(ids, (rows["__key"] == ids["__hash"]) & (rows["doc_id"] == ids["__id"]), "left_anti").select("text", "lang", "source")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                v = _views_of(batch.slice(i, BLOCK), 0)
+                steps = np.diff(v.slots, prepend=0)
+                full = v.offsets[:-1][np.diff(v.offsets) > 0]
+                steps[full] = v.slots[full]
+                columns = [[_planes(steps, "<u4")], [_planes(np.diff(v.offsets), "<u4")], [_planes(v.pages, "<f4")]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["slots", "counts", "page"])
+
+    return materialize(rest.mapInArrow(run, "slots binary, counts binary, page binary"), "quality-unlabelled")
+
+
+def _views_in(slots: bytes, counts: bytes, page: bytes) -> Views:
+    offsets = np.concatenate([[0], np.cumsum(_from_planes(counts, "<u4"), dtype=np.int64)])
+    ends = np.concatenate([[0], np.cumsum(_from_planes(slots, "<u4"), dtype=np.int64)])
+    return Views((ends[1:] - np.repeat(ends[offsets[:-1]], np.diff(offsets))).astype(np.int32), offsets, _from_planes(page, "<f4").astype(np.float64).reshape(-1, PAGE_SIZE))
+
+
+_PARTS = "part int, sums binary"
+
+
+def _learn_from(blocks: DataFrame, models: list[Model], sure: float) -> Sums:
+    """The sums of all blocks: each task's are added up by ranges of slots (part 0 on) and, for all else, in part -1."""
+    shared = blocks.sparkSession.sparkContext.broadcast([m._replace(words=m.words.astype(np.float32)) for m in models])
+
+    def table(parts: list[tuple[int, np.ndarray]], kind: type) -> pa.RecordBatch | pa.Table:
+        packed = [_planes(x, "<i8" if part >= 0 else "<f8") for part, x in parts]
+        return kind.from_arrays([pa.array([part for part, _ in parts], pa.int32()), pa.array(packed, pa.binary())], names=["part", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = add_up(_views_in(row["slots"], row["counts"], row["page"]), shared.value, sure)
+                total = own if total is None else Sums(*(a + b for a, b in zip(total, own)))
+        if total is not None:
+            yield table([*enumerate(np.split(total.words, RANGES, axis=1)), (-1, np.concatenate([x.reshape(-1).astype(np.float64) for x in total[1:]]))], pa.RecordBatch)
+
+    def add(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        return table([(part, sum(_from_planes(x, "<i8" if part >= 0 else "<f8") for x in rows.column("sums").to_pylist()))], pa.Table)
+
+    found = {r["part"]: r["sums"] for r in blocks.mapInArrow(run, _PARTS).groupBy("part").applyInArrow(add, _PARTS).collect()}
+    shared.unpersist()
+    if not found:
+        return no_sums()
+    rest, d = _from_planes(found[-1], "<f8"), PAGE_SIZE + 1
+    words = np.concatenate([_from_planes(found[i], "<i8").reshape(2, -1) for i in range(RANGES)], axis=1)
+    return Sums(words, rest[:2].astype(np.int64), rest[2:4].astype(np.int64), rest[4 : 4 + 2 * d].reshape(2, d), rest[4 + 2 * d :].reshape(2, d, d))
 
 
 def _views_of(batch: pa.RecordBatch, first: int) -> Views:
     return views(*(batch.column(i) for i in range(first, first + 3)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, max_pool: int = 2500, rounds: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, rounds: int = 3, sure: float = 0.98) -> Model:
     """labels: doc_id, quality, toxic. Good is quality 1 and not toxic; rows without quality or doc_id are not labels, and of several rows for a document the worst counts."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -204,9 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, max_pool:
     good = F.min(F.when((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1.0).otherwise(0.0))
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(good.alias("y"))
     some = known.orderBy(by_hash, "doc_id").limit(max_labelled)
-    rest = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).join(known.select("doc_id"), "doc_id", "left_anti")
-    pool = rest.orderBy(by_hash, "doc_id").limit(max_pool).distinct().withColumn("y", F.lit(None).cast("double"))
-    chosen = docs.join(F.broadcast(some.unionByName(pool)), "doc_id").select("doc_id", "y", "text", *_page_columns(docs))
+    chosen = docs.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text", *_page_columns(docs))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +357,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, max_pool:
     rows = sorted(rows, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15) % 2**64)
     slots = [np.frombuffer(r["slots"], dtype="<i4") for r in rows]
     v = Views(np.concatenate([np.zeros(0, np.int32), *slots]), np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64), np.array([np.frombuffer(r["page"], dtype="<f4") for r in rows], dtype=np.float64).reshape(-1, PAGE_SIZE))
-    return co_train(v, np.array([np.nan if r["y"] is None else r["y"] for r in rows]), rounds)
+    blocks: list[DataFrame] = []
+
+    def learn_from(models: list[Model]) -> Sums:
+        if not blocks:
+            blocks.append(_unlabelled(docs, known))
+        return _learn_from(blocks[0], models, sure)
+
+    model = co_train(v, np.array([r["y"] for r in rows], dtype=np.float64), learn_from, rounds)
+    for table in blocks:
+        forget(table)
+    return model
 
 
 def _page_columns(docs: DataFrame) -> list:
@@ -249,5 +398,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """Fit on the labelled sample and the pool, then score all documents."""
+    """Fit on the labelled sample and all unlabelled rows, then score all documents."""
     return score(docs, fit(docs, labels, **how))

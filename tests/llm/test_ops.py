@@ -178,6 +178,44 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), none).count() == 0
 
 
+def test_quality_learns_from_all_unlabelled_rows(spark):
+    """Words that only a few unlabelled rows hold, last in the order of the hash, are learned from their pages."""
+    rng = np.random.default_rng(2)
+    ids = spark.range(3400).orderBy(F.xxhash64("id", F.lit(3)), "id").toPandas()["id"].tolist()
+    labelled = set(ids[:400])
+    rows = []
+    for place, i in enumerate(ids):
+        own, bad = [f"w{rng.integers(300)}" for _ in range(30)], i % 3 == 0
+        if bad:
+            own = [x.upper() + "!!" for x in (own if i % 4 else [*own[:-1], "awful"])]
+            if place >= len(ids) - 200:
+                own[:3] = ["ZORP!!", "BLIM!!", "QUAX!!"]
+        rows.append((i, " ".join(own), "en", "s"))
+    asked = [f"w{rng.integers(300)}" for _ in range(27)]
+    rows += [(9000, " ".join(["zorp", "blim", "quax", *asked]), "en", "s"), (9001, " ".join(["new1", "new2", "new3", *asked]), "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in labelled], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["text_score"] for r in quality.classify(docs, labels).filter("doc_id >= 9000").collect()}
+    assert got[9000] < got[9001] - 0.1
+
+
+def test_quality_sums_cover_every_unlabelled_row(spark):
+    texts = [f"{'Bad' if i % 2 else 'good'} word{i % 7} w{i}" for i in range(3000)] + ODD
+    docs = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 10 < 9, F.col("doc_id")))
+    known = spark.createDataFrame([(i,) for i in range(0, 100)], "doc_id long")
+    rows = [r for r in docs.collect() if r["doc_id"] is None or r["doc_id"] >= 100]
+    own = quality.views(*(pa.array([r[c] for r in rows], pa.string()) for c in ("text", "lang", "source")))
+    own = own._replace(pages=own.pages.astype("<f4").astype(np.float64))
+    sure = np.zeros(1 << quality.TEXT_BITS, np.float32)
+    page = np.zeros(quality.PAGE_SIZE + 1)
+    page[-1] = 9  # sure of every row
+    model = quality.Model(sure, -9.0, page, np.array([[1.0, 0.0], [1.0, 0.0]]), np.zeros(4))
+    got = quality._learn_from(quality._unlabelled(docs.repartition(5), known), [model], 0.98)
+    assert got.n_words.tolist() == [0, len(rows)] and got.n_page.tolist() == [len(rows), 0]
+    for a, b in zip(got, quality.add_up(own, [model], 0.98)):
+        assert (a == b).all()
+
+
 # 4
 
 
