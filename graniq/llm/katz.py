@@ -1,17 +1,18 @@
 """Katz backoff language model with Good-Turing discounts, fitted and evaluated by exchange.
 
-P(w | h) = d(c) * c / c(h) where the pair (h, w) was seen c times in training, else
-alpha(h) * P(w); P(w) = d(c) * c / N, and the mass that this leaves is that of one unknown
+P(w | h) = d(c) * c / c(h) where the words of h and w were seen c times in training, else
+alpha(h) * P(w | h without its first word); P(w) = d(c) * c / N, and the mass that this leaves is that of one unknown
 word. Discounts follow Good and Turing up to K, and alpha(h) is the mass that the pairs of h
-leave, over the mass of the words not seen after h: every distribution sums to one. A history
+leave, over the lower order's mass of the words not seen after h: every distribution sums to one. A history
 whose pairs leave no mass has its count raised by one, so that no word gets probability 0.
 
 Documents are cut into chunks of some million tokens, stored once. A chunk sends each distinct
-word and pair once, with its training count, to the owner of its hash range; the owner adds
+word, pair and longer run once, with its training count, to the owner of its hash range; the owner adds
 up, keeps the counts as its part of the model's tables, and answers. So a word that is a
 third of all tokens costs one entry a chunk. Of the chunks that sent a pair, one is told to
 add it to its history's sums, which meet, again by hash range, in the table of backoff
-weights. With these answers a chunk evaluates its tokens recursively.
+weights, from the shortest histories to the longest, as each needs the order below. With
+these answers a chunk evaluates its tokens recursively.
 
 A hash has 48 bits besides the number of its range; ranges grow in number with the data.
 """
@@ -69,6 +70,21 @@ def _ids(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+class Grams(NamedTuple):
+    """Distinct runs of some words: key, the run without its last word (of the level below), the last word, the run without its first word (of the level below); each token's run; and the order of the keys. Run 0 is that of beginnings alone."""
+
+    key: np.ndarray
+    history: np.ndarray
+    word: np.ndarray
+    lower: np.ndarray
+    of: np.ndarray
+    order: np.ndarray
+
+
+def _next(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(key * U64(0x9E3779B97F4A7C15) + word * U64(0xC2B2AE3D27D4EB4F))
+
+
 class Chunk(NamedTuple):
     """Documents, their token counts and training marks; words by hash, and each token's word. Word 0 is the beginning of a text, word 1 its end."""
 
@@ -78,17 +94,22 @@ class Chunk(NamedTuple):
     words: np.ndarray
     tokens: np.ndarray
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs in order of their key: key, history, word; and each token's pair."""
-        before = np.concatenate([[0], self.tokens[:-1]])
-        before[np.cumsum(self.counts)[:-1]] = 0
-        pairs, of = np.unique(before << 32 | self.tokens, return_inverse=True)
-        history, word = pairs >> 32, pairs & 0xFFFFFFFF
-        key = mix(self.words[history] * U64(0x9E3779B97F4A7C15) + self.words[word] * U64(0xC2B2AE3D27D4EB4F))
-        order = np.argsort(key)
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        return key[order], history[order], word[order], place[of]
+    def grams(self, order: int) -> list[Grams]:
+        """Runs of 1 to ``order`` words."""
+        own = np.arange(len(self.words))
+        levels = [Grams(self.words, own, own, own, self.tokens, np.argsort(self.words))]
+        starts = np.cumsum(self.counts)[:-1]
+        for _ in range(order - 1):
+            below = levels[-1]
+            before = np.concatenate([[0], below.of[:-1]])
+            before[starts] = 0
+            runs, of = np.unique(np.concatenate([[0], before << 32 | self.tokens]), return_inverse=True)  # no token is a beginning, so the first is run 0
+            history, word = runs >> 32, runs & 0xFFFFFFFF
+            lower = np.zeros(len(runs), dtype=np.int64)
+            lower[of[1:]] = below.of
+            key = _next(below.key[history], self.words[word])
+            levels.append(Grams(key, history, word, lower, of[1:], np.argsort(key)))
+        return levels
 
     def learned(self) -> np.ndarray:
         """Whether each token is one of training."""
@@ -146,21 +167,21 @@ def _bits(n: float) -> int:
     return max(0, math.ceil(math.log2(max(1.0, n / RANGE))))
 
 
-def _count(chunks: DataFrame, bits: tuple[int, int]) -> DataFrame:
-    """Training counts of words (kind 1) and pairs (kind 2): answers to chunks, the model's tables (chunk -1: keys, counts), and statistics (chunk -2: types and tokens, numbers of types seen 1 to K + 1 times)."""
+def _count(chunks: DataFrame, bits: list[int]) -> DataFrame:
+    """Training counts of runs of each length (the kind): answers to chunks, the model's tables (chunk -1: keys, counts), and statistics (chunk -2: types and tokens, numbers of types seen 1 to K + 1 times)."""
+    begins = [np.array([BEGIN])]
+    for _ in bits[1:]:
+        begins.append(_next(begins[-1], begins[0]))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 c = _read(row)
                 learned = c.learned()
-                n_words = np.bincount(c.tokens[learned], minlength=len(c.words))
-                n_words[0] = int(c.train.sum())
-                order = np.argsort(c.words)
-                key, _, _, of = c.pairs()
-                n_pairs = np.bincount(of[learned], minlength=len(key))
-                for kind, k, n in ((1, c.words[order], n_words[order]), (2, key, n_pairs)):
-                    parts = [(kind, b, row["chunk"], pack_keys(x), pack(y.astype("<i8"))) for b, x, y in _split(k, bits[kind - 1], n)]
+                for kind, g in enumerate(c.grams(len(bits)), 1):
+                    n = np.bincount(g.of[learned], minlength=len(g.key))
+                    n[0] = int(c.train.sum()) if kind == 1 or kind < len(bits) else 0
+                    parts = [(kind, b, row["chunk"], pack_keys(x), pack(y.astype("<i8"))) for b, x, y in _split(g.key[g.order], bits[kind - 1], n[g.order])]
                     for i in range(0, len(parts), 64):
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts[i : i + 64]), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=_ANSWERS)
 
@@ -180,7 +201,9 @@ def _count(chunks: DataFrame, bits: tuple[int, int]) -> DataFrame:
             k += len(own)
         seen = total > 0
         out.append((kind, bucket, -1, pack_keys(keys[seen]), pack(total[seen].astype("<i8"))))
-        words = total if kind == 2 or not (bucket == int(BEGIN >> U64(64 - bits[0])) if bits[0] else True) else total[keys != BEGIN & _LOW]
+        begin, bit = begins[kind - 1][0], bits[kind - 1]
+        here = not bit or bucket == int(begin >> U64(64 - bit))
+        words = total[keys != begin & _LOW] if here else total
         stats = np.concatenate([[np.count_nonzero(words), words.sum()], np.bincount(np.minimum(words, K + 2), minlength=K + 3)[1 : K + 2]])
         out.append((kind, bucket, -2, stats.astype("<i8").tobytes(), b""))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=_ANSWERS)
@@ -225,52 +248,83 @@ def _answers(right: pa.Table, kind: int) -> list[dict]:
     return sorted((r for r in right.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
 
 
-def _known(c: Chunk, right: pa.Table, words: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Counts and probabilities of the chunk's words, counts of its pairs, and which pairs it adds up."""
-    joined = lambda rows, column, kind: np.concatenate([unpack(r[column], kind) for r in rows])
-    one, two = _answers(right, 1), _answers(right, 2)
-    count = np.empty(len(c.words), dtype=np.int64)
-    count[np.argsort(c.words)] = joined(one, "a", "<i8")
-    p = np.where(count > 0, words.d[np.minimum(count, K + 1)] * count / max(1, words.tokens), words.unknown)
-    pairs = [unpack(r["a"], "<i8") for r in two]
-    owned = [np.unpackbits(unpack(r["b"], np.uint8), count=len(x)).astype(bool) for r, x in zip(two, pairs)]
-    return count, p, np.concatenate(pairs), np.concatenate(owned)
-
-
-def _weigh(chunks: DataFrame, answers: DataFrame, words: Level, pairs: Level, bits: int) -> DataFrame:
-    """Backoff weights of histories (kind 3): answers to chunks (a: weights; b: what is added to the count), and the table (chunk -1)."""
+def _joined(rows: list[dict], column: str, kind, g: Grams) -> np.ndarray:
+    """What the owners answered, in the order of the chunk's runs."""
+    out = np.empty(len(g.key), dtype=kind)
+    out[g.order] = np.concatenate([unpack(r[column], kind) for r in rows])
+    return out
+
+
+class Known(NamedTuple):
+    """Of each run of a level: its count, whether the chunk adds it up, its last word's probability after the others, and that of the unknown word after the run's own last words (of the level below)."""
+
+    count: np.ndarray
+    owned: np.ndarray
+    p: np.ndarray
+    unknown: np.ndarray
+
+
+def _known(grams: list[Grams], right: pa.Table, levels: list[Level], weighed: int) -> list[Known]:
+    """Of each level that has its backoff weights, ``weighed`` of them, and the next, evaluated; of all further levels counts only."""
+    out: list[Known] = []
+    for kind, g in enumerate(grams, 1):
+        rows = _answers(right, kind)
+        count = _joined(rows, "a", "<i8", g)
+        owned = np.empty(len(count), dtype=bool)
+        sizes = [len(unpack(r["a"], "<i8")) for r in rows]
+        owned[g.order] = np.concatenate([np.unpackbits(unpack(r["b"], np.uint8), count=n).astype(bool) for r, n in zip(rows, sizes)])
+        owned[0] = False
+        d = levels[kind - 1].d[np.minimum(count, K + 1)]
+        if kind == 1:
+            p = np.where(count > 0, d * count / max(1, levels[0].tokens), levels[0].unknown)
+            unknown = np.full(len(count), levels[0].unknown)
+        elif kind <= weighed + 1:
+            below, weights = out[-1], _answers(right, 1 - kind)
+            alpha, more = (_joined(weights, c, t, grams[kind - 2]) for c, t in (("a", np.float64), ("b", np.uint8)))
+            p = np.where(count > 0, d * count / np.maximum(below.count[g.history] + more[g.history].astype(np.float64), 1), alpha[g.history] * below.p[g.lower])
+            unknown = (alpha * below.unknown)[g.lower]
+        else:
+            p = unknown = np.zeros(0)
+        out.append(Known(count, owned, p, unknown))
+    return out
+
+
+def _weigh(chunks: DataFrame, answers: DataFrame, levels: list[Level], length: int, bits: int) -> DataFrame:
+    """Backoff weights of histories of some length (the kind is less than 0): answers to chunks (a: weights; b: what is added to the count), and the table (chunk -1)."""
+    top = levels[length]
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            c = _read(row)
-            count, p, n, owned = _known(c, right, words)
-            _, history, word, _ = c.pairs()
-            lost = np.bincount(history[owned], weights=((1 - pairs.d[np.minimum(n, K + 1)]) * n)[owned], minlength=len(c.words))
-            mass = np.bincount(history[owned], weights=p[word[owned]], minlength=len(c.words))
-            order = np.argsort(c.words)
-            for b, key, x, y, z in _split(c.words[order], bits, lost[order], mass[order], count[order]):
-                out.append((3, b, row["chunk"], pack_keys(key), pack(np.concatenate([x, y, z.astype(np.float64)]))))
+            grams = _read(row).grams(length + 1)
+            known = _known(grams, right, levels, length - 1)
+            g, h, n, owned = grams[length], grams[length - 1], known[length].count, known[length].owned
+            at, own = g.history[owned], known[length - 1]
+            lost = np.bincount(at, weights=((1 - top.d[np.minimum(n, K + 1)]) * n)[owned], minlength=len(h.key))
+            mass = np.bincount(at, weights=own.p[g.lower[owned]], minlength=len(h.key))
+            for b, key, *sums in _split(h.key[h.order], bits, *(x[h.order] for x in (lost, mass, own.count.astype(np.float64), own.unknown))):
+                out.append((-length, b, row["chunk"], pack_keys(key), pack(np.concatenate(sums))))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=_ANSWERS)
 
     def weigh(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         bucket, asked = rows[0]["bucket"], [unpack_keys(r["a"]) for r in rows]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-        sent = [unpack(r["b"], np.float64).reshape(3, -1) for r in rows]
+        sent = [unpack(r["b"], np.float64).reshape(4, -1) for r in rows]
         lost, mass = (np.bincount(at, weights=np.concatenate([s[i] for s in sent])) for i in (0, 1))
-        count = np.zeros(len(keys))
+        count, least = np.zeros(len(keys)), np.zeros(len(keys))
         count[at] = np.concatenate([s[2] for s in sent])
+        least[at] = np.concatenate([s[3] for s in sent])
         more = ((count > 0) & (lost <= 0)).astype(np.float64)
-        rest = np.maximum(1 - mass, words.unknown)
+        rest = np.maximum(1 - mass, least)
         alpha = np.where(count > 0, np.where(more > 0, 1.0, lost) / np.maximum(count + more, 1) / rest, 1.0)
         out, k = [], 0
         for r, own in zip(rows, asked):
             part = at[k : k + len(own)]
             k += len(own)
-            out.append((3, bucket, r["chunk"], pack(alpha[part]), pack(more[part].astype(np.uint8))))
+            out.append((-length, bucket, r["chunk"], pack(alpha[part]), pack(more[part].astype(np.uint8))))
         seen = count > 0
-        out.append((3, bucket, -1, pack_keys(keys[seen]), pack(np.concatenate([alpha[seen], count[seen] + more[seen]]))))
+        out.append((-length, bucket, -1, pack_keys(keys[seen]), pack(np.concatenate([alpha[seen], count[seen] + more[seen]]))))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=_ANSWERS)
 
     sent = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, ANSWERS)
@@ -280,20 +334,17 @@ def _weigh(chunks: DataFrame, answers: DataFrame, words: Level, pairs: Level, bi
 SCORES = "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(chunks: DataFrame, answers: DataFrame, words: Level, pairs: Level) -> DataFrame:
+def _score(chunks: DataFrame, answers: DataFrame, levels: list[Level]) -> DataFrame:
+    words = levels[0]
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[] for _ in range(7)]
         for row in left.to_pylist():
             c = _read(row)
-            count, p, n, _ = _known(c, right, words)
-            third = _answers(right, 3)
-            order = np.argsort(c.words)
-            alpha, more = np.empty(len(c.words)), np.empty(len(c.words))
-            alpha[order] = np.concatenate([unpack(r["a"], np.float64) for r in third])
-            more[order] = np.concatenate([unpack(r["b"], np.uint8) for r in third])
-            _, history, word, of = c.pairs()
-            seen = pairs.d[np.minimum(n, K + 1)] * n / np.maximum(count[history] + more[history], 1)
-            each = np.log10(np.where(n > 0, seen, alpha[history] * p[word]))
+            grams = c.grams(len(levels))
+            known = _known(grams, right, levels, len(levels) - 1)
+            count, of = known[0].count, grams[-1].of
+            each = np.log10(np.maximum(known[-1].p, 1e-300))
             base = np.log10((count + 1) / (words.tokens + words.types + 1))
             starts = np.cumsum(c.counts) - c.counts
             add = lambda x: np.add.reduceat(x, starts)
@@ -307,18 +358,20 @@ def _score(chunks: DataFrame, answers: DataFrame, words: Level, pairs: Level) ->
 
 
 class Katz(NamedTuple):
-    """Tables by hash range: words and pairs with counts, histories with backoff weights; and the levels' statistics. scores: all documents, evaluated."""
+    """Tables by hash range: runs with counts, histories with backoff weights; and the statistics of words, of pairs, and of all levels. scores: all documents, evaluated."""
 
     counts: DataFrame
     weights: DataFrame
     words: Level
     pairs: Level
     scores: DataFrame
+    levels: list[Level]
 
 
-def katz(docs: DataFrame, train: Column) -> Katz:
+def katz(docs: DataFrame, train: Column, order: int = 2) -> Katz:
     """Fit on the documents where ``train`` holds (null: holds), and score all: SCORES.
 
+    order: the words of the longest run, 2 or more.
     docs: doc_id, text. A token is a word, with A-Z lower-cased, or the end of a text, so a
     null or empty text has one token. Base score: add-one unigrams. Rows with equal doc_id
     are texts of their own. Without training documents every word is the unknown one.
@@ -326,11 +379,16 @@ def katz(docs: DataFrame, train: Column) -> Katz:
     bounded_batches(docs.sparkSession)
     chunks = _chunks(docs, train)
     n = chunks.agg(F.sum("n")).first()[0] or 0
-    bits = _bits(n / 8), _bits(n * 0.65)
+    bits = [_bits(n / 8), *(_bits(n * share) for share in (0.65, 0.9, *[1.0] * order)[: order - 1])]
     counts = materialize(_count(chunks, bits), "lm-counts")
     stats = counts.filter("chunk = -2").select("kind", "a").collect()
-    words, pairs = (_level([r for r in stats if r["kind"] == k]) for k in (1, 2))
-    mine = counts.filter("chunk >= 0")
-    weights = materialize(_weigh(chunks, mine, words, pairs, bits[0]), "lm-weights")
-    scores = _score(chunks, mine.unionByName(weights.filter("chunk >= 0")), words, pairs)
-    return Katz(counts.filter("chunk = -1"), weights.filter("chunk = -1"), words, pairs, scores)
+    levels = [_level([r for r in stats if r["kind"] == k]) for k in range(1, order + 1)]
+    answers, weights = counts.filter("chunk >= 0"), []
+    for length in range(1, order):
+        needed = answers.filter(F.col("kind") <= length + 1)
+        weights.append(materialize(_weigh(chunks, needed, levels, length, bits[length - 1]), "lm-weights"))
+        answers = answers.unionByName(weights[-1].filter("chunk >= 0"))
+    tables = weights[0]
+    for more in weights[1:]:
+        tables = tables.unionByName(more)
+    return Katz(counts.filter("chunk = -1"), tables.filter("chunk = -1"), levels[0], levels[1], _score(chunks, answers, levels), levels)

@@ -438,6 +438,44 @@ def test_katz_equals_brute_force(spark, documents, monkeypatch):
     assert model.counts.count() > 1 and model.weights.count() > 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_katz_of_higher_order_equals_recursion(spark, documents, monkeypatch, order):
+    monkeypatch.setattr(lm, "CHUNK", 3000)
+    monkeypatch.setattr(lm, "RANGE", 700)
+    docs = documents.select("doc_id", "text").limit(60).unionByName(docs_of(spark, ODD).select((F.col("doc_id") + 10**6).alias("doc_id"), "text")).cache()
+    model = lm.katz(docs, F.col("doc_id") % 5 != 2, order=order)
+    got = {r["doc_id"]: r for r in model.scores.collect()}
+    tokens = {r["doc_id"]: [*words(r["text"]), None] for r in docs.collect()}
+    count, seen, after = [collections.Counter() for _ in range(order + 1)], collections.Counter(), collections.defaultdict(set)
+    runs = lambda ws: [tuple((["\n"] * (order - 1) + ws)[i : i + order]) for i in range(len(ws))]
+    for i, ws in tokens.items():
+        for run in runs(ws) if i % 5 != 2 else []:
+            for m in range(1, order + 1):
+                count[m][run[order - m :]] += 1
+                seen[run[order - m : -1]] += 1
+                after[run[order - m : -1]].add(run[-1])
+    d = [None, *(lm.discounts([sum(c == r for c in count[m].values()) for r in range(1, lm.K + 2)]) for m in range(1, order + 1))]
+    off = lambda m, c: d[m][min(c, lm.K + 1)]
+    n, memo = sum(count[1].values()), {}
+    unknown = sum(c * (1 - off(1, c)) for c in count[1].values()) / n
+
+    def p(run):
+        m, h, c = len(run), run[:-1], count[len(run)][run]
+        if m == 1:
+            return off(1, c) * c / n if c else unknown
+        if not seen[h]:
+            return p(run[1:])
+        if h not in memo:
+            lost = sum((1 - off(m, count[m][(*h, w)])) * count[m][(*h, w)] for w in after[h])
+            z, left = (seen[h], lost) if lost > 0 else (seen[h] + 1, 1)
+            memo[h] = z, left / z / (1 - sum(p((*h[1:], w)) for w in after[h]))
+        z, alpha = memo[h]
+        return off(m, c) * c / z if c else alpha * p(run[1:])
+
+    for i, ws in tokens.items():
+        assert math.isclose(got[i]["score"], sum(math.log10(p(run)) for run in runs(ws)), rel_tol=1e-7)
+
+
 def test_katz_edges(spark):
     docs = docs_of(spark, ODD)
     assert lm.katz(docs.limit(0), F.lit(True)).scores.count() == 0
