@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 WORDS = 8
 
 
+def _lower(host: Column) -> Column:
+    """A-Z alone, in rules as in urls."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def canonical(url: Column) -> tuple[Column, Column]:
     """Host and path of a url; both empty for null and for urls without ``://``."""
     at = F.locate("://", url)
     rest = F.when(at > 0, F.substr(url, at + F.lit(3))).otherwise(F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = _lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
@@ -41,7 +46,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     """
     host, path = canonical(F.col(url))
     base = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
-    rules = rules.groupBy(F.lower("host").alias("__host"), F.coalesce("path", F.lit("")).alias("__path")).agg(F.min("verdict").alias("verdict"))
+    rules = rules.groupBy(_lower(F.col("host")).alias("__host"), F.coalesce("path", F.lit("")).alias("__path")).agg(F.min("verdict").alias("verdict"))
     rules = rules.filter(F.col("__host").isNotNull())
     shapes = rules.select(F.size(F.split("__host", r"\.")).alias("labels"), F.length("__path").alias("chars")).groupBy("labels", "chars").count().collect()
     n = sum(x["count"] for x in shapes)
