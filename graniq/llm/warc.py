@@ -16,6 +16,8 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +26,9 @@ from pyspark.sql import functions as F
 from graniq.llm.storage import bounded_batches, materialize, open_fs, shared_dir
 
 MANIFEST = "path string, records long, bytes long"
-HEADERS = "path string, offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
-_HEADERS = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+HEADERS = "path string, offset long, page_id long, url string, date string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+_HEADERS = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 _MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
-DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL = 96 << 20
 
@@ -40,19 +41,43 @@ def _plain(text: str | None) -> str | None:
     return text if text is None else text.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None = None, kind: str = "response") -> bytes:
-    """A record as a gzip member. A revisit has the HTTP header of its payload and no payload."""
+class Original(NamedTuple):
+    """What a revisit says of the record that it refers to."""
+
+    page_id: int | None
+    url: str | None
+    date: str
+
+
+def _now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _member(lines: list[str], block: bytes) -> bytes:
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    head = "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""])
+    return packer.compress(head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n") + packer.flush()
+
+
+def info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: graniq\r\nformat: WARC File Format 1.1\r\n"
+    return _member(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {_now()}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], block)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, date: str, refers_to: Original | None = None) -> bytes:
+    """A record as a gzip member; a revisit, which refers to an original, has the HTTP header of its payload and no payload. date: of the capture."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if kind == "revisit" else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    name = lambda i: f"<urn:page:{'null' if i is None else i}>"
+    lines = [f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_uri(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}")
-    if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{'null' if refers_to is None else refers_to}>", f"WARC-Refers-To-Date: {DATE}"]
-    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return packer.compress("\r\n".join(lines).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n") + packer.flush()
+    if refers_to:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to.page_id)}", f"WARC-Refers-To-Date: {refers_to.date}"]
+        if refers_to.url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_uri(refers_to.url)}")
+    return _member([*lines, "Content-Type: application/http;msgtype=response"], http if refers_to else http + payload)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -90,17 +115,19 @@ def _id(text: str | None) -> int | None:
 
 
 def read_headers(paths: Iterator[str]) -> Iterator[pa.RecordBatch]:
-    """A row per record; length and digest are those of the payload just read, for revisits those the record names."""
+    """A row per response or revisit; length and digest are those of the payload just read, for revisits those the record names."""
     rows: list[tuple] = []
     for path in paths:
         for offset, raw in members(path):
             fields, block = parse(raw)
-            http, _, payload = block.partition(b"\r\n\r\n")
+            if fields["WARC-Type"] not in ("response", "revisit"):
+                continue
+            payload = block.partition(b"\r\n\r\n")[2]
             if fields["WARC-Type"] == "revisit":
                 size, digest = None, base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
             else:
                 size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-            rows.append((path, offset, _id(fields["WARC-Record-ID"]), _plain(fields.get("WARC-Target-URI")), fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), size, digest))
+            rows.append((path, offset, _id(fields["WARC-Record-ID"]), _plain(fields.get("WARC-Target-URI")), fields["WARC-Date"], fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), size, digest))
             if len(rows) == 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _HEADERS)], schema=_HEADERS)
                 rows = []
@@ -119,7 +146,9 @@ class _Archive:
             fs, where = open_fs(self.folder)
             fs.create_dir(where, recursive=True)
             self.path = f"{self.folder}/{uuid.uuid4().hex}.warc.gz"
-            self.file, self.records, self.bytes = fs.open_output_stream(open_fs(self.path)[1]), 0, 0
+            head = info(self.path.rpartition("/")[2])
+            self.file, self.records, self.bytes = fs.open_output_stream(open_fs(self.path)[1]), 0, len(head)
+            self.file.write(head)
         self.file.write(member)
         self.records, self.bytes = self.records + 1, self.bytes + len(member)
         if self.bytes >= ROLL:
@@ -147,7 +176,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         for batch in batches:
             for key, link, text in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = (text or "").encode("utf-8", "surrogatepass")
-                out.add(record(key, link, payload, hashlib.sha1(payload).digest()))
+                out.add(record(key, link, payload, hashlib.sha1(payload).digest(), _now()))
         yield from out.manifest()
 
     rows = pages.select(F.col(page_id).cast("long"), F.col(url), F.col(html))
@@ -170,42 +199,45 @@ def headers(manifest: DataFrame) -> DataFrame:
 
 
 def resolve(heads: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """Revisits: path, offset, refers_to. Of records with equal payloads of at least min_bytes, that with the largest page_id stays (nulls are least; of these, the first by path and offset).
+    """Revisits: path, offset, refers_to (page_id, url and date of the original). Of records with equal payloads of at least min_bytes, that with the largest page_id stays (nulls are least; of these, the first by path and offset).
 
     Only digests that occur twice meet the join; counting them is combined before the
     shuffle, and a digest that many records share is split by the adaptive skew join.
     """
     own = heads.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes))
     place = F.struct((-F.hash("path").cast("long")).alias("h"), F.col("path"), (-F.col("offset")).alias("o"))
-    best = own.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", place.alias("p"))).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    best = own.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", place.alias("p"), "url", "date")).alias("best"), F.count("*").alias("n")).filter("n > 1")
     both = own.join(best, ["payload_digest", "payload_bytes"])
-    return both.filter(~((F.col("path") == F.col("best.p.path")) & (F.col("offset") == -F.col("best.p.o")))).select("path", "offset", F.col("best.page_id").alias("refers_to"))
+    again = both.filter(~((F.col("path") == F.col("best.p.path")) & (F.col("offset") == -F.col("best.p.o"))))
+    return again.select("path", "offset", F.struct(F.col("best.page_id").alias("page_id"), F.col("best.url").alias("url"), F.col("best.date").alias("date")).alias("refers_to"))
 
 
 def deduplicate(manifest: DataFrame, heads: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """Write the archives anew, revisits without payload, all with fresh headers; their manifest.
 
-    A task gets an archive's path and its revisits, at most as many as the archive has records.
+    A header is made from the record's id, uri and capture date, its payload's digest computed anew,
+    and of a revisit what its original says. A task gets an archive's path and its revisits, at most
+    as many as the archive has records.
     """
     spark = manifest.sparkSession
     folder = shared_dir(spark, "warc-dedup")
-    revisits = resolve(heads, min_bytes).groupBy("path").agg(F.collect_list("offset").alias("offsets"), F.collect_list(F.coalesce("refers_to", F.lit(-(2**63)))).alias("targets"))
+    revisits = resolve(heads, min_bytes).groupBy("path").agg(F.collect_list(F.struct("offset", "refers_to")).alias("revisits"))
     plan = manifest.select("path").join(revisits, "path", "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Archive(folder)
         for batch in batches:
-            for path, offsets, targets in zip(*(c.to_pylist() for c in batch.columns)):
-                target = dict(zip(offsets or [], targets or []))
+            for path, revisits in zip(*(c.to_pylist() for c in batch.columns)):
+                target = {r["offset"]: Original(**r["refers_to"]) for r in revisits or []}
                 for offset, raw in members(path):
                     fields, block = parse(raw)
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     payload = block.partition(b"\r\n\r\n")[2]
-                    key, link, digest = _id(fields["WARC-Record-ID"]), _plain(fields.get("WARC-Target-URI")), hashlib.sha1(payload).digest()
-                    to = target.get(offset)
-                    out.add(record(key, link, payload, digest) if to is None else record(key, link, payload, digest, None if to == -(2**63) else to, "revisit"))
+                    out.add(record(_id(fields["WARC-Record-ID"]), _plain(fields.get("WARC-Target-URI")), payload, hashlib.sha1(payload).digest(), fields["WARC-Date"], target.get(offset)))
         yield from out.manifest()
 
-    return materialize(_spread(spark, plan.select("path", "offsets", "targets"), manifest.count()).mapInArrow(rewrite, MANIFEST), "warc-dedup-manifest")
+    return materialize(_spread(spark, plan.select("path", "revisits"), manifest.count()).mapInArrow(rewrite, MANIFEST), "warc-dedup-manifest")
 
 
 def resolved(heads: DataFrame) -> DataFrame:
