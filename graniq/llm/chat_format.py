@@ -42,26 +42,32 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 512, turn_
     turns: conv_id, turn, role, text. Rows are taken by turn; ties by role, then text, nulls
     first; repeated rows are turns of their own. A null role or text is empty; rows of a null
     conv_id form one conversation. The first n_repeated of n_turns are the system turn and
-    history. loss: array of (start, length) in code points of ``text``, in order. A span has
-    at most (budget - history) tokens unless a single turn has more than half of that: turns
-    are never cut, and such a window is longer. Other columns are ignored. A conversation
-    without rows has no window, and an empty table none at all.
+    history. loss: array of (start, length) in code points of ``text``, in order.
+
+    The system turn, which every later window repeats, is taken off the budget first; history has
+    at most ``history`` tokens and half of what is left, the targets the rest. A window keeps to the
+    budget unless a turn has more than half of the targets' tokens: turns are never cut, and such a
+    window is longer, as are those of a conversation whose system turn alone exceeds the budget, of
+    a turn each. Other columns are ignored. A conversation without rows has no window, and an empty
+    table none at all.
     """
-    span = max(1, (budget - history) // 2)
     conv = Window.partitionBy("conv_id")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("cost", (tokens(F.col("text")) + turn_cost).cast("long"))
     order = conv.orderBy("turn", "role", "text")
     rows = rows.withColumns({"pos": F.row_number().over(order), "end": F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    rows = rows.withColumns({"begin": F.col("end") - F.col("cost"), "stretch": F.floor((F.col("end") - 1) / span)})
+    system = F.min(F.when(F.col("role") == "system", F.struct("pos", "cost"))).over(conv)
+    left = F.greatest(F.lit(budget) - F.coalesce(system["cost"], F.lit(0)), F.lit(2))
+    rows = rows.withColumns({"system": F.coalesce(F.col("pos") == system["pos"], F.lit(False)), "kept": F.least(F.lit(history), F.floor(left / 2)), "left": left})
+    rows = rows.withColumns({"begin": F.col("end") - F.col("cost"), "stretch": F.floor((F.col("end") - 1) / F.greatest(F.lit(1), F.floor((F.col("left") - F.col("kept")) / 2)))})
     by_pos = conv.orderBy("pos")
     rows = rows.withColumn("first", F.coalesce(F.lag("stretch").over(by_pos) != F.col("stretch"), F.lit(True)))
     rows = rows.withColumn("span", F.sum(F.col("first").cast("int")).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    # Spans that begin within ``history`` tokens after this turn's beginning repeat it.
+    # Spans that begin within the history's tokens after this turn's beginning repeat it.
     ahead = conv.orderBy("begin").rangeBetween(1, history)
-    system = F.min(F.when(F.col("role") == "system", F.col("pos"))).over(conv)
-    rows = rows.withColumns({"later": F.collect_set(F.when(F.col("first"), F.col("span"))).over(ahead), "system": F.col("pos") == system, "last": F.max("span").over(conv)})
-    later = F.when(F.coalesce("system", F.lit(False)) & (F.col("last") > F.col("span")), F.sequence(F.col("span") + 1, F.col("last"))).otherwise(F.filter("later", lambda s: s > F.col("span")))
+    rows = rows.withColumns({"later": F.collect_set(F.when(F.col("first"), F.struct("span", "begin"))).over(ahead), "last": F.max("span").over(conv)})
+    near = F.transform(F.filter("later", lambda s: (s["span"] > F.col("span")) & (s["begin"] - F.col("begin") <= F.col("kept"))), lambda s: s["span"])
+    later = F.when(F.col("system") & (F.col("last") > F.col("span")), F.sequence(F.col("span") + 1, F.col("last"))).when(F.col("system"), F.array().cast("array<bigint>")).otherwise(near)
     rows = rows.withColumn("window", F.explode(F.concat(F.array("span"), later)))
     rows = rows.withColumns({"target": F.col("window") == F.col("span"), "piece": F.concat(F.lit(START), escape(F.col("role")), F.lit(TEXT), escape(F.col("text")), F.lit(END))})
     in_window = Window.partitionBy("conv_id", "window").orderBy("pos")
