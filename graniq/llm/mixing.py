@@ -33,26 +33,31 @@ def targets(sizes: DataFrame, weights: list[float], share: float, cap: float) ->
 
     Sources in code point order, null last, take the weights in turn and share ``share``
     times all words by weight. Targets stop at cap times the source's size; the excess goes
-    to the others by weight, until none is above. In closed form: a source is capped if its
-    cap per weight is below the level at which the rest is filled, so sources are laid in
-    order of cap per weight, and the level is that of the first that the rest does not fill.
+    to the others by weight, until none is above: a capped source stays capped, as what is left for
+    the free ones per weight only grows. Each step is an aggregation over the table of sources.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    # One row per source. These windows are over sources, not documents.
-    n = len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1) % n + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    all_of = Window.partitionBy()
-    total = F.sum("source_size").over(all_of) * F.lit(float(share))
-    by_ratio = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    filled = F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    heavy = F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", (total - filled) / heavy)
-    free = F.col("most") > F.col("weight") * F.col("level")
-    level = F.min(F.when(free, F.struct(F.col("most") / F.col("weight"), F.col("level").alias("v")))).over(all_of)
-    per = per.withColumn("at", level["v"])
-    return per.select("source", "source_size", F.when(F.col("at").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("weight") * F.col("at"))).alias("target"))
+    n, spark = len(weights), sizes.sparkSession
+    # Numbers in order: within ranges of sources, after the numbers of sources in the ranges before.
+    ranges = per.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("source").isNull(), F.col("source"))
+    ranges = materialize(ranges.withColumn("part", F.spark_partition_id()), "mix-sources")
+    before, sums = 0, {}
+    for r in ranges.groupBy("part").count().orderBy("part").collect():  # a row for each range
+        sums[r["part"]] = before
+        before += r["count"]
+    first = F.create_map(*[F.lit(x) for kv in sums.items() for x in kv])[F.col("part")] if sums else F.lit(0)
+    number = first + F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), F.col("source"))) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % n + 1).cast("int"))
+    per = materialize(ranges.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "mix-sources")
+    total = float(per.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("most") <= F.col("weight") * level
+        r = per.agg(F.count_if(full).alias("capped"), F.sum(F.when(full, F.col("most")).otherwise(0.0)).alias("filled"), F.sum(F.when(~full, F.col("weight")).otherwise(0.0)).alias("heavy")).first()
+        if r["capped"] == capped or not r["heavy"]:
+            break
+        capped, level = r["capped"], max(level, (total - r["filled"]) / r["heavy"])
+    return per.select("source", "source_size", F.when(F.lit(not r["heavy"]), F.col("most")).otherwise(F.least(F.col("most"), F.col("weight") * level)).alias("target"))
 
 
 def solve(cells: DataFrame, goals: DataFrame, cap: float, steps: int = 60, tolerance: float = 1e-9) -> DataFrame:
