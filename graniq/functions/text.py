@@ -121,9 +121,12 @@ def title_of(message: Column) -> Column:
     return F.substr(F.substring_index(F.regexp_replace(message, r"^\s+|\s+$", ""), "\n", 1), F.lit(1), F.lit(80))
 
 
+#: A word or a single other mark: the offline stand-in for a model's token.
+TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+
+
 def token_count(text: Column) -> Column:
-    """Words and single other marks: the offline stand-in for a model's tokens."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("long")
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
 
 
 def lenient_json(text: Column) -> Column:

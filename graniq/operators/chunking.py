@@ -1,163 +1,133 @@
-"""Texts to sections and chunks.
+"""Texts to sections and chunks, as a plan over the table of lines.
 
-Headings, pages and the byte cap need state from line to line, so a text is folded in one
-streaming Arrow task (``structure``); texts without marks can be packed by native expressions
-alone (``pack_lines``). Both count tokens the same way.
+Pages, headings and their paths are windows over a text's lines; a heading's place in the path
+has a closed form. Lines are packed by a native fold over their token counts, and sections and
+their synthesis are aggregations. Only a chunk beyond the byte cap meets Python, to be cut.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from graniq.functions import text as T
 
 # Limits of chunks and sections, and the marks of pages and headings.
 MAX_BYTES, MAX_CHUNKS, SECTION_CHUNKS, BODY = 7000, 4000, 6, "본문"
-PAGE = re.compile(r"^\[page (\d+)\]$")
-HEADING = re.compile(r"^(#{1,4})\s+(.*)$")
-TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-
-
-@dataclass
-class Part:
-    """A section while it is open, or a chunk."""
+PAGE = r"^\s*\[page (\d+)\]$"
+HEADING = r"^(#{1,4})\s+(.*)$"
+LEVELS = range(1, 5)
 
-    title: str = ""
-    level: int = 1
-    path: str = ""
-    parent: int | None = None
-    page: int | None = None
-    section: int = 0
-    text: str = ""
-    lines: list[str] = field(default_factory=list)
-    first: int = 0
-    last: int = -1
-    tokens: int = 0
 
+def by_bytes(text: str, most: int = MAX_BYTES) -> list[str]:
+    """Pieces of at most ``most`` UTF-8 bytes, cut before the last newline of the second half if there is one; cut-off characters are dropped."""
+    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+    while at < len(raw):
+        end = min(at + most, len(raw))
+        if end < len(raw):
+            newline = raw.rfind(b"\n", at + most // 2, end)
+            end = end if newline < 0 else newline
+        out.append(raw[at:end].decode("utf-8", "ignore"))
+        at = end
+    return [piece for piece in out if piece.strip()]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _cut(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else by_bytes(t))
+
+
+def windows(line: Column, size: int, overlap: int) -> Column:
+    """Windows of ``size`` tokens of a text, each repeating ``overlap`` of the one before, as an array; what is between tokens is kept."""
+    tokens = F.regexp_extract_all(line, F.lit(rf"({T.TOKEN})\s*"), F.lit(0))
+    step = size - overlap
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(tokens) - size) / step).cast("int")) * step, F.lit(step))
+    return F.transform(starts, lambda i: F.regexp_replace(F.array_join(F.slice(tokens, i + 1, size), ""), r"\s+$", ""))
+
+
+def joined(order: str, text: str, separator: str = "\n") -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), separator)
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _last(value: Column, over) -> Column:
+    return F.last(value, ignorenulls=True).over(over)
+
+
+def marked_lines(docs: DataFrame, key: str) -> DataFrame:
+    """A row per line but those of page marks: doc (a number for each row of docs), key, pos, line, head, opens, section, level, title, path, parent, page (in force), after (in force at the next line)."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    each = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key), lines.alias("lines")).select("doc", key, F.posexplode("lines").alias("pos", "line"))
+    order = Window.partitionBy("doc").orderBy("pos")
+    number = F.when(F.col("line").rlike(PAGE), F.regexp_extract("line", PAGE, 1).cast("int"))
+    each = each.withColumn("number", number)
+    each = each.withColumns({"page": _last(F.col("number"), order), "final": _last(F.col("number"), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    rows = each.filter("number IS NULL").withColumn("head", F.col("line").rlike(HEADING))
+    rows = rows.withColumns({
+        "opens": F.col("head") | (F.row_number().over(order) == 1),
+        "level": F.when(F.col("head"), F.length(F.regexp_extract("line", HEADING, 1))).otherwise(1),
+        "nth": F.sum(F.col("head").cast("int")).over(order),
+        "after": F.when(F.lead("pos").over(order).isNull(), F.col("final")).otherwise(F.lead("page").over(order)),
+    })
+    rows = rows.withColumn("section", F.sum(F.col("opens").cast("long")).over(order) - 1)
+    name = F.trim(F.regexp_extract("line", HEADING, 2))
+    title = F.when(F.col("head"), F.when(name != "", name).otherwise(F.concat(F.lit("섹션 "), (F.col("section") + 1).cast("string")))).otherwise(BODY)
+    # A heading stands one place deeper than the one before it, and no deeper than its level.
+    least = F.min(F.when(F.col("head"), F.col("level") - F.col("nth"))).over(order)
+    rows = rows.withColumns({"title": title, "depth": F.when(F.col("head"), F.col("nth") + F.least(F.lit(0), least))})
+    depth = F.coalesce(_last(F.col("depth"), order), F.lit(0))
+    above = order.rowsBetween(Window.unboundedPreceding, -1)
+    path = F.concat_ws(" > ", *[F.when(depth >= d, _last(F.when(F.col("depth") == d, F.col("title")), order)) for d in LEVELS])
+    parent = F.greatest(*[F.when(F.col("level") > d, _last(F.when(F.col("opens") & (F.col("level") == d), F.col("section")), above)) for d in LEVELS])
+    return rows.withColumns({"path": path, "parent": parent})
+
+
+def _packed(content: DataFrame, key: str, target: int, most: int, overlap: int) -> DataFrame:
+    """doc, key, section, path, page, pos, n, text: the pieces of all texts, in order of pos, n."""
+    weight = T.token_count(F.col("line"))
+    line = F.struct("pos", "line", "section", "path", "page", "after", weight.alias("w"), (weight > most).alias("long"))
+    start = F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("open"), F.lit(-1).cast("long").alias("section"), F.lit(False).alias("long"), F.array().cast("array<bigint>").alias("parts"))
 
-def count_tokens(text: str) -> int:
-    return len(TOKEN.findall(text))
+    def step(s: Column, x: Column) -> Column:
+        new = (x["section"] != s["section"]) | x["long"] | s["long"] | ((s["open"] > 0) & (s["open"] + x["w"] > target))
+        part = s["part"] + F.when(new, 1).otherwise(0)
+        return F.struct(part.alias("part"), F.when(new, x["w"]).otherwise(s["open"] + x["w"]).alias("open"), x["section"].alias("section"), x["long"].alias("long"), F.array_append(s["parts"], part).alias("parts"))
+
+    rows = content.groupBy("doc", key).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    parts = F.aggregate("lines", start, step, lambda s: s["parts"])
+    each = rows.select("doc", key, F.explode(F.arrays_zip("lines", parts.alias("part"))).alias("x")).select("doc", key, "x.lines.*", "x.part")
+    # A chunk has the page in force where the next line ends it; a long line stands for itself.
+    whole = each.groupBy("doc", key, "part").agg(
+        F.min("section").alias("section"), F.max("path").alias("path"), F.max("long").alias("long"), F.min("pos").alias("pos"),
+        F.max_by(F.when(F.col("long"), F.col("page")).otherwise(F.col("after")), "pos").alias("page"), joined("pos", "line").alias("raw"),
+    )
+    whole = whole.withColumn("text", _stripped(F.col("raw")))
+    fits = F.octet_length("text") <= MAX_BYTES
+    cut = _cut(F.when(~fits & ~F.col("long"), F.col("text")))
+    pieces = F.when(F.col("long"), windows(F.col("raw"), most, overlap)).when(F.col("text") == "", F.array().cast("array<string>")).when(fits, F.array("text")).otherwise(cut)
+    return whole.select("doc", key, "section", "path", "page", "pos", F.posexplode(pieces).alias("n", "text"))
+
+
+def _runs(chunks: DataFrame, key: str) -> DataFrame:
+    """Chunks of a text with the number of their run: by page, two at least before a new page begins one; without pages in runs of six."""
+    c = F.struct("ordinal", "page", "tokens", "text", "path")
+    rows = chunks.groupBy("doc", key).agg(F.array_sort(F.collect_list(c)).alias("chunks"))
+    start = F.struct(F.lit(-1).cast("long").alias("run"), F.lit(2).alias("length"), F.lit(-1).alias("page"), F.array().cast("array<bigint>").alias("runs"))
 
+    def step(s: Column, x: Column) -> Column:
+        page = F.coalesce(x["page"], F.lit(-2))
+        new = (s["length"] >= 2) & (page != s["page"])
+        run = s["run"] + F.when(new, 1).otherwise(0)
+        return F.struct(run.alias("run"), F.when(new, 1).otherwise(s["length"] + 1).alias("length"), page.alias("page"), F.array_append(s["runs"], run).alias("runs"))
 
-def by_bytes(text: str, most: int = MAX_BYTES) -> list[str]:
-    """Pieces of at most ``most`` UTF-8 bytes, cut after the last newline of the second half if there is one; cut-off characters are dropped."""
-    raw, out = text.encode("utf-8", "surrogatepass"), []
-    while len(raw) > most:
-        at = raw.rfind(b"\n", 0, most)
-        at = most if at < most // 2 else at
-        out.append(raw[:at].decode("utf-8", "ignore"))
-        raw = raw[at:]
-    return [p for p in [*out, raw.decode("utf-8", "ignore")] if p.strip()]
-
-
-def windows(line: str, size: int, overlap: int) -> list[str]:
-    """Windows of ``size`` tokens, each repeating ``overlap`` of the one before; texts are kept between tokens."""
-    spans = [m.span() for m in TOKEN.finditer(line)]
-    out, i = [], 0
-    while i < len(spans):
-        out.append(line[spans[i][0] : spans[min(i + size, len(spans)) - 1][1]])
-        i += size if len(spans) - i <= size else size - overlap
-    return out
-
-
-class Folding:
-    """The state of a text's fold: open headings, the page in force, and the lines not yet in a chunk."""
-
-    def __init__(self, target: int, most: int, overlap: int, max_chunks: int):
-        self.target, self.most, self.overlap, self.max_chunks = target, most, overlap, max_chunks
-        self.sections: list[Part] = []
-        self.chunks: list[Part] = []
-        self.open: list[int] = []  # sections whose heading is above the current line
-        self.titles: list[str] = []
-        self.page: int | None = None
-        self.waiting: list[str] = []
-        self.weight = 0
-
-    def emit(self, pieces: list[str]) -> None:
-        own = self.sections[-1]
-        for piece in pieces[: max(0, self.max_chunks - len(self.chunks))]:
-            self.chunks.append(Part(path=own.path, page=self.page, section=len(self.sections) - 1, text=piece, tokens=count_tokens(piece)))
-
-    def flush(self) -> None:
-        body = "\n".join(self.waiting).strip()
-        self.waiting, self.weight = [], 0
-        if body and self.sections:
-            self.emit(by_bytes(body))
-
-    def section(self, level: int, title: str, titles: list[str]) -> None:
-        if self.sections:
-            self.sections[-1].last = len(self.chunks) - 1
-        while self.open and self.sections[self.open[-1]].level >= level:
-            self.open.pop()
-        self.titles = titles
-        self.sections.append(Part(title=title, level=level, path=" > ".join(titles), parent=self.open[-1] if self.open else None, page=self.page, first=len(self.chunks)))
-        self.open.append(len(self.sections) - 1)
-
-    def line(self, line: str) -> None:
-        if page := PAGE.match(line.strip()):
-            self.page = int(page[1])
-        elif head := HEADING.match(line):
-            self.flush()
-            title = head[2].strip() or f"섹션 {len(self.sections) + 1}"
-            self.section(len(head[1]), title, [*self.titles[: len(head[1]) - 1], title])
-        else:
-            if not self.sections:
-                self.section(1, BODY, [])
-            self.sections[-1].lines.append(line)
-            weight = count_tokens(line)
-            if weight > self.most:
-                self.flush()
-                self.emit(windows(line, self.most, self.overlap))
-                return
-            if self.weight and self.weight + weight > self.target:
-                self.flush()
-            self.waiting.append(line)
-            self.weight += weight
-
-    def finish(self) -> tuple[list[tuple[int, Part]], list[Part]]:
-        self.flush()
-        if self.sections:
-            self.sections[-1].last = len(self.chunks) - 1
-        kept = [(i, s) for i, s in enumerate(self.sections) if s.last >= s.first]
-        for _, s in kept:
-            s.text = "\n".join([*s.lines, ""])
-            s.tokens = count_tokens(s.text)
-        if self.chunks and len(kept) <= 1:
-            kept = list(enumerate(synthetic_sections(self.chunks)))
-        return kept, self.chunks
-
-
-def runs_of(chunks: list[Part]) -> list[list[int]]:
-    """Chunks by page, two at least before a new page begins a run; without pages in runs of six."""
-    if not any(c.page for c in chunks):
-        return [list(range(i, min(i + SECTION_CHUNKS, len(chunks)))) for i in range(0, len(chunks), SECTION_CHUNKS)]
-    runs: list[list[int]] = [[]]
-    for i, c in enumerate(chunks):
-        if len(runs[-1]) >= 2 and c.page != chunks[i - 1].page:
-            runs.append([])
-        runs[-1].append(i)
-    return runs
-
-
-def synthetic_sections(chunks: list[Part]) -> list[Part]:
-    out = []
-    for k, run in enumerate(runs_of(chunks)):
-        pages = [chunks[i].page for i in run if chunks[i].page]
-        title = f"{BODY} {k + 1}" if not pages else f"p.{pages[0]}" if pages[0] == pages[-1] else f"p.{pages[0]}–{pages[-1]}"
-        out.append(Part(title=title, path=title, page=pages[0] if pages else None, first=run[0], last=run[-1], text="\n".join(chunks[i].text for i in run), tokens=sum(chunks[i].tokens for i in run)))
-        for i in run:
-            chunks[i].section, chunks[i].path = k, chunks[i].path or title
-    return out
-
-
-_PART = "ordinal long, level int, title string, heading_path string, parent long, page int, section long, first long, last long, tokens long, text string"
-_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    paged = F.exists("chunks", lambda x: F.coalesce(x["page"], F.lit(0)) > 0)
+    runs = F.when(paged, F.aggregate("chunks", start, step, lambda s: s["runs"])).otherwise(F.transform("chunks", lambda x: F.floor(x["ordinal"] / SECTION_CHUNKS)))
+    return rows.select("doc", key, F.explode(F.arrays_zip("chunks", runs.alias("run"))).alias("x")).select("doc", key, "x.chunks.*", "x.run")
 
 
 def structure(docs: DataFrame, key: str = "node_id", target: int = 700, most: int = 1000, overlap: int = 100, max_chunks: int = MAX_CHUNKS) -> DataFrame:
@@ -165,24 +135,30 @@ def structure(docs: DataFrame, key: str = "node_id", target: int = 700, most: in
 
     A null or blank text has none; no sections but a single one are replaced by synthetic ones.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fold = Folding(target, most, overlap, max_chunks)
-                for line in (text or "").split("\n"):
-                    fold.line(line.rstrip())
-                sections, chunks = fold.finish()
-                for i, s in sections:
-                    rows.append((name, "section", i, s.level, s.title, s.path, s.parent, s.page, i, s.first, s.last, s.tokens, s.text))
-                for i, c in enumerate(chunks):
-                    rows.append((name, "chunk", i, None, None, c.path, None, c.page, c.section, None, None, c.tokens, c.text))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [batch.column(0).type, pa.string(), *_TYPES])], names=[key, "kind", *(x.split()[0] for x in _PART.split(", "))])
-
-    rows = docs.select(F.col(key), F.col("text"))
-    return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, kind string, {_PART}")
+    lines = marked_lines(docs, key)
+    content = lines.filter("NOT head")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("pos", "n")) - 1
+    chunks = _packed(content, key, target, most, overlap).withColumns({"ordinal": place.cast("long"), "tokens": T.token_count(F.col("text"))}).filter(F.col("ordinal") < max_chunks)
+
+    bodies = content.groupBy("doc", "section").agg(F.concat(joined("pos", "line"), F.lit("\n")).alias("text"))
+    spans = chunks.groupBy("doc", "section").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    opened = lines.filter("opens").select("doc", key, "section", "level", "title", "path", "parent", "page")
+    own = opened.join(spans, ["doc", "section"]).join(bodies, ["doc", "section"]).withColumn("kept", F.count("*").over(Window.partitionBy("doc")))
+    plain = own.filter("kept > 1")
+    plain = plain.select(key, F.lit("section").alias("kind"), F.col("section").alias("ordinal"), "level", "title", F.col("path").alias("heading_path"), "parent", "page", "section", "first", "last", T.token_count(F.col("text")).alias("tokens"), "text")
+    divided = own.filter("kept > 1").select("doc").distinct()
+    null = lambda kind: F.lit(None).cast(kind)
+    part = lambda rows, section, path: rows.select(key, F.lit("chunk").alias("kind"), "ordinal", null("int").alias("level"), null("string").alias("title"), path.alias("heading_path"), null("long").alias("parent"), "page", section.alias("section"), null("long").alias("first"), null("long").alias("last"), "tokens", "text")
+    in_sections = part(chunks.join(divided, "doc", "left_semi"), F.col("section"), F.col("path"))
+
+    run = _runs(chunks.join(divided, "doc", "left_anti"), key)
+    real = F.when(F.col("page") > 0, F.col("ordinal"))
+    made = run.groupBy("doc", key, "run").agg(F.min_by("page", real).alias("from"), F.max_by("page", real).alias("to"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.sum("tokens").alias("tokens"), joined("ordinal", "text").alias("text"))
+    pages = F.concat(F.lit("p."), F.col("from").cast("string"), F.when(F.col("from") != F.col("to"), F.concat(F.lit("–"), F.col("to").cast("string"))).otherwise(""))
+    made = made.withColumn("title", F.coalesce(pages, F.concat(F.lit(f"{BODY} "), (F.col("run") + 1).cast("string"))))
+    synthetic = made.select(key, F.lit("section").alias("kind"), F.col("run").alias("ordinal"), F.lit(1).alias("level"), "title", F.col("title").alias("heading_path"), null("long").alias("parent"), F.col("from").alias("page"), F.col("run").alias("section"), "first", "last", "tokens", "text")
+    in_runs = part(run.join(made.select("doc", "run", "title"), ["doc", "run"]), F.col("run"), F.when(F.col("path") != "", F.col("path")).otherwise(F.col("title")))
+    return plain.unionByName(in_sections).unionByName(synthetic).unionByName(in_runs)
 
 
 def pack_lines(docs: DataFrame, key: str, target: int = 700) -> DataFrame:

@@ -173,14 +173,64 @@ def html_extract(spark, d):
     return _t(spark, d, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
 
 
-@query()
-def chunk_structure(spark, d):
-    """Sections and chunks of all documents by the full fold; the tests hold it against the native one."""
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    return chunking.structure(docs, target=120, most=200, overlap=20).select("node_id", "kind", "ordinal", "section", "tokens", "heading_path", "text")
+_TOKENS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]'))"
 
 
-_TOKENS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]'))"
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(rf"""WITH RECURSIVE l AS (
+  SELECT doc_id, pos, rtrim(CASE WHEN doc_id % 3 <> 0 AND pos % 17 = 3 THEN repeat('#', (1 + (pos * 7) % 4)::INT) || ' Part ' || pos WHEN pos % 23 = 11 THEN '[page ' || pos || ']' ELSE x END, {_WS}) AS line
+  FROM (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))
+), a AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\[page \d+\]$') THEN regexp_extract(line, '\[page (\d+)\]', 1)::INT END AS number FROM l),
+b AS (SELECT *, last_value(number IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS page,
+  last_value(number IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM a),
+c AS (SELECT doc_id, pos, line, page, regexp_matches(line, '^#{{1,4}}\s+') AS head, row_number() OVER w = 1 AS lead, CASE WHEN lead(pos) OVER w IS NULL THEN final ELSE lead(page) OVER w END AS after FROM b WHERE number IS NULL WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+d AS (SELECT *, CASE WHEN head THEN length(regexp_extract(line, '^(#+)', 1)) ELSE 1 END AS level, sum((head OR lead)::INT) OVER w - 1 AS section, sum(head::INT) OVER w AS nth FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, regexp_extract(line, '^#+\s+(.*)$', 1) AS title FROM d WHERE head),
+paths AS (
+  SELECT doc_id, nth, [title] AS p FROM h WHERE nth = 1
+  UNION ALL SELECT h.doc_id, h.nth, list_append(list_slice(p.p, 1, h.level - 1), h.title) FROM paths p JOIN h ON h.doc_id = p.doc_id AND h.nth = p.nth + 1
+), n AS (
+  SELECT d.*, coalesce(array_to_string(p, ' > '), '') AS path, {_TOKENS.format('line')} AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM d LEFT JOIN paths USING (doc_id, nth) WHERE NOT head
+), fold AS (
+  SELECT doc_id, k, section, w > 200 AS long, w AS open, 1 AS part FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.doc_id, n.k, n.section, n.w > 200, CASE WHEN n.section <> f.section OR n.w > 200 OR f.long OR f.open > 0 AND f.open + n.w > 120 THEN n.w ELSE f.open + n.w END,
+    f.part + (n.section <> f.section OR n.w > 200 OR f.long OR f.open > 0 AND f.open + n.w > 120)::INT
+  FROM fold f JOIN n ON n.doc_id = f.doc_id AND n.k = f.k + 1
+), g AS (
+  SELECT doc_id, part, min(section) AS section, max(path) AS path, bool_or(long) AS long, last(page ORDER BY pos) AS own, last(after ORDER BY pos) AS after, string_agg(line, chr(10) ORDER BY pos) AS raw
+  FROM fold JOIN (SELECT doc_id, k, pos, path, page, after, line FROM n) USING (doc_id, k) GROUP BY 1, 2
+), t AS (
+  SELECT doc_id, part, 0 AS i, section, path, after AS page, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text FROM g WHERE NOT long
+  UNION ALL
+  SELECT doc_id, part, i, section, path, own, regexp_replace(array_to_string(list_slice(x, i + 1, i + 200), ''), '\s+$', '') FROM (
+    SELECT *, unnest(range(0, ceil((len(x) - 200) / 180)::INT * 180 + 1, 180)) AS i FROM (SELECT *, regexp_extract_all(raw, '([\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}])\s*') AS x FROM g WHERE long))
+), ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, i) - 1 AS ordinal, {_TOKENS.format('text')} AS tokens FROM t WHERE text <> ''),
+s AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id) AS kept FROM (SELECT doc_id, section, min(ordinal) AS first FROM ch GROUP BY 1, 2)
+  JOIN (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS text, any_value(path) AS path FROM n GROUP BY 1, 2) USING (doc_id, section)
+  JOIN (SELECT doc_id, section, page AS page FROM d WHERE head OR lead) USING (doc_id, section)
+), single AS (SELECT ch.*, max(page) OVER (PARTITION BY doc_id) AS paged FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE kept > 1)),
+runs AS (
+  SELECT doc_id, ordinal, page, 0 AS run, 1 AS size FROM single WHERE ordinal = 0
+  UNION ALL
+  SELECT c.doc_id, c.ordinal, c.page, CASE WHEN c.paged IS NULL THEN c.ordinal // 6 WHEN r.size >= 2 AND c.page IS DISTINCT FROM r.page THEN r.run + 1 ELSE r.run END, CASE WHEN r.size >= 2 AND c.page IS DISTINCT FROM r.page THEN 1 ELSE r.size + 1 END
+  FROM runs r JOIN single c ON c.doc_id = r.doc_id AND c.ordinal = r.ordinal + 1
+), made AS (
+  SELECT doc_id, run, first(page ORDER BY ordinal) FILTER (page > 0) AS p, last(page ORDER BY ordinal) FILTER (page > 0) AS q, sum(tokens)::BIGINT AS tokens, string_agg(text, chr(10) ORDER BY ordinal) AS text FROM single JOIN (SELECT doc_id, ordinal, run FROM runs) USING (doc_id, ordinal) GROUP BY 1, 2
+), named AS (SELECT *, CASE WHEN p IS NULL THEN '본문 ' || (run + 1) WHEN p = q THEN 'p.' || p ELSE 'p.' || p || '–' || q END AS title FROM made)
+SELECT doc_id AS node_id, 'section' AS kind, section::BIGINT AS ordinal, section::BIGINT AS section, page, path AS heading_path, {_TOKENS.format('text')} AS tokens, md5(text) AS text_md5 FROM s WHERE kept > 1
+UNION ALL SELECT doc_id, 'chunk', ordinal, section::BIGINT, page, path, tokens, md5(text) FROM ch WHERE doc_id IN (SELECT doc_id FROM s WHERE kept > 1)
+UNION ALL SELECT doc_id, 'section', run, run, p, title, tokens, md5(text) FROM named
+UNION ALL SELECT doc_id, 'chunk', ordinal, run, page, CASE WHEN path <> '' THEN path ELSE title END, single.tokens, md5(single.text) FROM single JOIN (SELECT doc_id, ordinal, run FROM runs) USING (doc_id, ordinal) JOIN named USING (doc_id, run)""")
+def chunk_structure(spark, d):
+    """Sections and chunks of all documents, with headings and page marks in place of some lines."""
+    mark = lambda x, i: F.when((F.col("doc_id") % 3 != 0) & (i % 17 == 3), F.concat(F.repeat(F.lit("#"), 1 + (i * 7) % 4), F.lit(" Part "), i.cast("string"))).when(i % 23 == 11, F.concat(F.lit("[page "), i.cast("string"), F.lit("]"))).otherwise(x)
+    docs = _t(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n").alias("text"))
+    parts = chunking.structure(docs, "doc_id", target=120, most=200, overlap=20)
+    return parts.select(F.col("doc_id").alias("node_id"), "kind", "ordinal", "section", "page", "heading_path", "tokens", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(rf"""WITH RECURSIVE l AS (

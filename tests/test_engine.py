@@ -40,10 +40,29 @@ def test_pages(spark):
     assert any(c["page"] for c in chunks) and any(s["title"].startswith("p.") for s in sections)
 
 
-def test_byte_cap_and_windows():
+def test_byte_cap_and_windows(spark):
     pieces = chunking.by_bytes("가" * 5000)
     assert all(len(p.encode()) <= chunking.MAX_BYTES for p in pieces) and len("".join(pieces)) >= 4990
-    assert chunking.windows("a b c d e f g", 3, 1) == ["a b c", "c d e", "e f g"]
+    lines = "\n".join("x" * 99 for _ in range(100))
+    assert [len(p) for p in chunking.by_bytes(lines)] == [6999, 3000]
+    got = spark.createDataFrame([("a b c d e f g",), ("a  b, c",), ("a b",)], "t string").select(chunking.windows(F.col("t"), 3, 1)).collect()
+    assert [r[0] for r in got] == [["a b c", "c d e", "e f g"], ["a  b,", ", c"], ["a b"]]
+
+
+def test_structure_of_odd_texts(spark):
+    text = "intro\n[page 2]\n\n### Deep\nx\n[page 3]\n### Next\ny\n# Top\n## Empty\n## Sub\n" + "w " * 25 + "\nend\n[page 9]"
+    sections, chunks = structured(spark, text, target=6, most=10, overlap=4)
+    seen = {(s["ordinal"], s["title"], s["heading_path"], s["parent"], s["page"], s["first"], s["last"]) for s in sections}
+    # Skipped levels nest in the path, siblings included, while the parent is the nearest lower level.
+    assert seen == {(0, "본문", "", None, None, 0, 0), (1, "Deep", "Deep", 0, 2, 1, 1), (2, "Next", "Deep > Next", 0, 3, 2, 2), (5, "Sub", "Top > Sub", 3, 3, 3, 7)}
+    assert [(c["ordinal"], c["section"], c["page"]) for c in sorted(chunks, key=lambda c: c["ordinal"])] == [(0, 0, 2), (1, 1, 3), (2, 2, 3), (3, 5, 3), (4, 5, 3), (5, 5, 3), (6, 5, 3), (7, 5, 9)]
+    assert [c["tokens"] for c in sorted(chunks, key=lambda c: c["ordinal"])] == [1, 1, 1, 10, 10, 10, 7, 1]
+    for empty in (None, "", " \n\n", "# only\n## headings", "[page 1]"):
+        assert structured(spark, empty) == ([], [])
+    _, capped = structured(spark, "\n".join("a b c d e" for _ in range(30)), target=5, max_chunks=7)
+    assert sorted(c["ordinal"] for c in capped) == list(range(7))
+    runs, _ = structured(spark, "\n".join(f"[page {p}]\none two three" for p in (1, 1, 2, 2, 2, 3)), target=3)
+    assert [(s["title"], s["first"], s["last"]) for s in sorted(runs, key=lambda s: s["ordinal"])] == [("p.1–2", 0, 3), ("p.3", 4, 5)]
 
 
 def test_fold_equals_native_packing(spark):
