@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The default scorecard's dimensions and weights, and the limits of tiers.
-DEFAULT_CARD = [("impact", 0.25), ("feasibility", 0.2), ("novelty", 0.2), ("evidence", 0.2), ("risk", 0.15)]
+DEFAULT_CARD = [("momentum", 0.25), ("market", 0.2), ("demand", 0.2), ("feasibility", 0.2), ("fit", 0.15)]
 CORE, SHORT = 78.0, 60.0
+# How tiers and verdicts are shown.
+TIER_NAMES = {"long": "Long-list", "short": "Short-list", "core": "핵심 Portfolio"}
+VERDICT_MARKS = {"approved": "✅ 승인", "rejected": "❌ 반려"}
 
 
 def normalise_weights(dimensions: Column) -> Column:
@@ -26,3 +29,8 @@ def clamp(value: Column) -> Column:
 
 def tier(total: Column, core: float = CORE, short: float = SHORT) -> Column:
     return F.when(total >= core, "core").when(total >= short, "short").otherwise("long")
+
+
+def shown(value: Column, names: dict[str, str], default: Column) -> Column:
+    """The name of a value in a fixed list, else the default."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[value], default)

@@ -37,6 +37,14 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
 
 
+def similarity_to(grams: Column, wanted: list[str]) -> Column:
+    """Jaccard similarity of a trigram array to a fixed one, by the sizes of both and of what they share."""
+    if not wanted:
+        return F.lit(0.0)
+    shared = F.size(F.array_intersect(grams, F.array(*[F.lit(g) for g in wanted]))).cast("double")
+    return shared / (F.size(grams) + len(wanted) - shared)
+
+
 def strip_particle(word: Column) -> Column:
     """The word without the first listed ending that leaves two characters or more."""
     branches = reduce(lambda when, p: when.when(word.endswith(p) & (F.length(word) > len(p) + 1), F.substr(word, F.lit(1), F.length(word) - len(p))), PARTICLES[1:], F.when(word.endswith(PARTICLES[0]) & (F.length(word) > len(PARTICLES[0]) + 1), F.substr(word, F.lit(1), F.length(word) - len(PARTICLES[0]))))
@@ -142,3 +150,29 @@ def cite(n: Column, path: Column, heading: Column, page: Column) -> Column:
     heading = F.when(F.coalesce(heading, F.lit("")) != "", heading)
     where = F.concat_ws(" > ", F.regexp_replace(path, "^/+", ""), heading)
     return F.concat(F.lit("["), n.cast("string"), F.lit("] "), where, F.when(page > 0, F.concat(F.lit(" p."), page.cast("string"))).otherwise(F.lit("")))
+
+
+def embed_text(heading: Column, body: Column) -> Column:
+    """What is embedded of a part: its heading path, where it has one, above its text."""
+    head = F.regexp_replace(F.coalesce(heading, F.lit("")), r"^\s+|\s+$", "")
+    return F.when(head != "", F.concat(head, F.lit("\n"), body)).otherwise(body)
+
+
+def email_key(address: Column) -> Column:
+    return F.lower(F.regexp_replace(address, r"^\s+|\s+$", ""))
+
+
+def iso_time(at: Column) -> Column:
+    """A UTC time as ISO 8601: microseconds where there are any, and the offset."""
+    micros = F.pmod(F.unix_micros(at), F.lit(1_000_000))
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+
+def elapsed_ms(begin: Column, end: Column) -> Column:
+    """Whole milliseconds between two times."""
+    return F.floor((F.unix_micros(end) - F.unix_micros(begin)) / 1000)
+
+
+def contains_text(column: Column, part: str) -> Column:
+    """Whether a text contains a part, case aside; the part is taken literally. An empty part asks for nothing."""
+    return F.lit(True) if not part else F.contains(F.lower(F.coalesce(column, F.lit(""))), F.lit(part.lower()))

@@ -57,6 +57,32 @@ def read_document(chunks: DataFrame, max_chunks: int = 80, max_chars: int = 6000
     return kept.groupBy("node_id").agg(F.count("*").alias("n_chunks"), joined.alias("text"))
 
 
+def read_part(chunks: DataFrame, section: str = "", page: int | None = None, max_chunks: int = 80, max_chars: int = 6000) -> DataFrame:
+    """read_document of the chunks under headings that contain a text, and of one page, where these are asked for."""
+    part = chunks.filter(T.contains_text(F.col("heading_path"), section))
+    return read_document(part if page is None else part.filter(F.col("page") == page), max_chunks, max_chars)
+
+
+def section_sizes(sections: DataFrame) -> DataFrame:
+    """Sections with the number of their chunks; an empty one ends before it begins."""
+    return sections.withColumn("n_chunks", F.greatest(F.lit(0), F.col("last") - F.col("first") + 1))
+
+
+def create_folders(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Folders to make (repository, parent, name): path and error, null where it can be made.
+
+    The parent, "" for the top, must be a folder of the repository; the name is cleaned; a path
+    that is taken, also by an earlier row of the same ask, is a conflict.
+    """
+    name = T.clean_name(F.col("name"))
+    folders = nodes.filter("kind = 'folder'").select("repository", F.col("path").alias("parent"), F.lit(True).alias("is_folder"))
+    taken = nodes.select("repository", "path", F.lit(True).alias("is_taken")).distinct()
+    rows = asked.withColumn("path", F.concat("parent", F.lit("/"), name)).join(folders, ["repository", "parent"], "left").join(taken, ["repository", "path"], "left")
+    nth = F.row_number().over(Window.partitionBy("repository", "path").orderBy("ask_id"))
+    error = F.when(F.col("path").isNull(), "bad_name").when((F.col("parent") != "") & F.col("is_folder").isNull(), "parent_not_folder").when(slashes(F.col("path")) > MAX_DEPTH, "too_deep").when(F.col("is_taken") | (nth > 1), "name_exists")
+    return rows.select("ask_id", "repository", "path", error.alias("error"))
+
+
 def content_page(chunks: DataFrame, node_id: int, offset: int = 0, limit: int = 100) -> DataFrame:
     return chunks.filter(F.col("node_id") == node_id).orderBy("ordinal").offset(offset).limit(min(limit, 100))
 

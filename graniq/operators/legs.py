@@ -38,14 +38,18 @@ def vector_leg(chunks: DataFrame, vector: Column, n: int = 24, least: float = 0.
     return _ranked(scored.orderBy(*order).limit(n).filter(F.col("score") >= least), *order)
 
 
-def section_leg(chunks: DataFrame, sections: DataFrame, vector: Column, query: str, n: int = 24, k: int = 8) -> DataFrame:
+def _similar(rows: DataFrame, text: str, grams: list[str], name: str) -> DataFrame:
+    """rows with the trigram similarity of a text to the query's grams; the text's own are built once."""
+    return rows.withColumn("__grams", T.trigrams(F.col(text))).withColumn(name, T.similarity_to(F.col("__grams"), grams)).drop("__grams")
+
+
+def section_leg(chunks: DataFrame, sections: DataFrame, vector: Column, grams: list[str], n: int = 24, k: int = 8) -> DataFrame:
     """The chunks of the nearest sections, the most similar to the query's text first, a few of each."""
     cap = max(2, k // 2)
     near = sections.filter(F.col("embedding").isNotNull()).select("section_id", V.cosine(F.col("embedding"), vector).alias("score"))
     order = F.col("score").desc_nulls_last(), F.col("section_id")
     top = _ranked(near.orderBy(*order).limit(max(4, n // 3)), *order).withColumnRenamed("rnk", "srank")
-    sim = T.similarity(T.trigrams(F.col("text")), T.trigrams(F.lit(query)))
-    found = chunks.join(F.broadcast(top), "section_id").select("chunk_id", "score", "srank", "ordinal", sim.alias("sim"))
+    found = _similar(chunks.join(F.broadcast(top), "section_id").select("chunk_id", "score", "srank", "ordinal", "text"), "text", grams, "sim")
     within = F.row_number().over(Window.partitionBy("srank").orderBy(F.col("sim").desc(), "ordinal", "chunk_id"))
     kept = found.withColumn("within", within).filter(F.col("within") <= cap)
     return _ranked(kept, F.col("srank"), F.col("within")).select("chunk_id", "score", "rnk")
@@ -72,20 +76,20 @@ def lexical_leg(chunks: DataFrame, query_tokens: list[str], n: int = 24) -> Data
     return _ranked(found.orderBy(*order).limit(n), *order)
 
 
-def trigram_leg(chunks: DataFrame, query: str, terms: list[str], n: int = 24) -> DataFrame:
+def trigram_leg(chunks: DataFrame, grams: list[str], terms: list[str], n: int = 24) -> DataFrame:
     """Chunks that contain a term anywhere, by trigram similarity to the query, shorter ones first."""
-    found = chunks.filter(T.contains_any(F.col("text"), terms)).select("chunk_id", T.similarity(T.trigrams(F.col("text")), T.trigrams(F.lit(query))).alias("score"), F.length("text").alias("len"))
+    found = _similar(chunks.filter(T.contains_any(F.col("text"), terms)).select("chunk_id", "text", F.length("text").alias("len")), "text", grams, "score").select("chunk_id", "score", "len")
     order = F.col("score").desc(), F.col("len"), F.col("chunk_id")
     return _ranked(found.orderBy(*order).limit(n), *order).select("chunk_id", "score", "rnk")
 
 
-def path_leg(chunks: DataFrame, nodes: DataFrame, query: str, terms: list[str], files: int = 8, cap: int = 3) -> DataFrame:
+def path_leg(chunks: DataFrame, nodes: DataFrame, grams: list[str], terms: list[str], files: int = 8, cap: int = 3) -> DataFrame:
     """Chunks of the files whose path contains a term, a few of each."""
-    q = T.trigrams(F.lit(query))
-    hits = nodes.filter((F.col("kind") == "file") & (F.col("status") == "ready") & T.contains_any(F.col("path"), terms)).select("node_id", T.similarity(T.trigrams(F.col("path")), q).alias("score"))
+    files_ = nodes.filter((F.col("kind") == "file") & (F.col("status") == "ready") & T.contains_any(F.col("path"), terms))
+    hits = _similar(files_.select("node_id", "path"), "path", grams, "score").select("node_id", "score")
     order = F.col("score").desc(), F.col("node_id")
     top = _ranked(hits.orderBy(*order).limit(files), *order).withColumnRenamed("rnk", "prank")
-    found = chunks.join(F.broadcast(top), "node_id").select("chunk_id", "score", "prank", "ordinal", T.similarity(T.trigrams(F.col("text")), q).alias("sim"))
+    found = _similar(chunks.join(F.broadcast(top), "node_id").select("chunk_id", "score", "prank", "ordinal", "text"), "text", grams, "sim")
     within = F.row_number().over(Window.partitionBy("prank").orderBy(F.col("sim").desc(), "ordinal", "chunk_id"))
     kept = found.withColumn("within", within).filter(F.col("within") <= cap)
     return _ranked(kept, F.col("prank"), F.col("within")).select("chunk_id", "score", "rnk")

@@ -1,67 +1,59 @@
-"""Similarity join: the k nearest records of another collection, by blocks of queries."""
+"""Similarity join: the k nearest records of another collection, by pairs of blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block, which bounds what is broadcast: BLOCK times the vector's size.
-BLOCK = 4096
+#: Vectors of a block. A task holds one block of either side, and the similarities of PART left rows.
+BLOCK, PART = 16_384, 512
+_FOUND = "from_id long, to_id long, s double"
+
+
+def _unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows whose vector is neither null nor zero."""
+    rows = [(i, v) for i, v in zip(table["id"].to_pylist(), table["vector"].to_pylist()) if v is not None and any(v)]
+    v = np.array([v for _, v in rows], dtype=np.float64)
+    return np.array([i for i, _ in rows], dtype=np.int64), v / np.linalg.norm(v, axis=1, keepdims=True) if rows else v
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
     """from_id, to_id, score (4 decimals), rnk: for each left row (id, vector) the k most similar right rows of at least ``least``.
 
-    Blocks of left vectors are broadcast; a task multiplies them with its batches of right
-    vectors and sends each query's best k on, so a query's rows are k times the tasks, never
-    all pairs. Null and zero vectors match nothing; ties go to the smaller to_id.
+    Both sides are cut into blocks by a hash of the id, and each pair of blocks meets in a task,
+    which sends each left row's best k on: exact, and neither side passes through the driver.
+    Null and zero vectors match nothing; ties go to the smaller to_id.
     """
-    spark = left.sparkSession
-    parts, ids, vectors = [], [], []
-
-    def block() -> DataFrame:
-        q = np.array(vectors, dtype=np.float64)
-        shared = spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own_ids, own = shared.value
-            best_s, best_i = np.full((len(own), 0), -2.0), np.zeros((len(own), 0), dtype=np.int64)
-            for batch in batches:
-                rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and any(v)]
-                if not rows:
-                    continue
-                v = np.array([x for _, x in rows], dtype=np.float64)
-                s = np.concatenate([best_s, own @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(np.array([x for x, _ in rows], dtype=np.int64), (len(own), len(rows)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            keep = best_s >= least
-            who = np.repeat(own_ids, keep.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(best_i[keep]), pa.array(best_s[keep])], names=["from_id", "to_id", "s"])
-
-        return right.select(F.col("id").cast("long"), "vector").mapInArrow(run, "from_id long, to_id long, s double")
 
-    for row in left.filter(F.col("vector").isNotNull()).select(F.col("id").cast("long"), "vector").toLocalIterator():
-        if not any(row[1]):
-            continue
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == BLOCK:
-            parts.append(block())
-            ids, vectors = [], []
-    if ids:
-        parts.append(block())
-    if not parts:
-        return spark.createDataFrame([], "from_id long, to_id long, score double, rnk long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    def top(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, own = _unit(a)
+        others, theirs = _unit(b)
+        out = []
+        for at in range(0, len(ids) if len(others) else 0, PART):
+            s = own[at : at + PART] @ theirs.T
+            bound = np.partition(s, -k, axis=1)[:, -k] if len(others) > k else np.full(len(s), -2.0)
+            row, column = np.nonzero((s >= bound[:, None]) & (s >= least))  # ties with the k-th included
+            value, to = s[row, column], others[column]
+            order = np.lexsort((to, -value, row))
+            row, value, to = row[order], value[order], to[order]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+            nth = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+            keep = nth < k
+            out.append((ids[at + row[keep]], to[keep], value[keep]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(c) for c in columns], names=["from_id", "to_id", "s"])
+
+    def blocks(side: DataFrame, n: int, of: int, own: str, other: str) -> DataFrame:
+        rows = side.filter(F.col("vector").isNotNull()).select(F.col("id").cast("long").alias("id"), "vector")
+        return rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long"))))
+
+    n, m = (max(1, -(-side.count() // BLOCK)) for side in (left, right))
+    pairs = blocks(left, n, m, "l", "r").groupBy("l", "r").cogroup(blocks(right, m, n, "r", "l").groupBy("l", "r"))
     rank = F.row_number().over(Window.partitionBy("from_id").orderBy(F.col("s").desc(), "to_id"))
-    return found.withColumn("rnk", rank.cast("long")).filter(F.col("rnk") <= k).select("from_id", "to_id", F.round("s", 4).alias("score"), "rnk")
+    found = pairs.applyInArrow(top, _FOUND).withColumn("rnk", rank.cast("long"))
+    return found.filter(F.col("rnk") <= k).select("from_id", "to_id", F.round("s", 4).alias("score"), "rnk")
 
 
 def both_ways(left: DataFrame, right: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:

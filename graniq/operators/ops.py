@@ -53,10 +53,12 @@ def history(turns: DataFrame, n: int) -> DataFrame:
 
 
 def transcript(turns: DataFrame) -> DataFrame:
-    """Each conversation as one text of ``role: text`` blocks."""
-    line = F.concat("role", F.lit(": "), F.coalesce("text", F.lit("")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
-    return turns.filter(F.col("role").isin("user", "assistant")).groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(ordered, "\n\n").alias("text"))
+    """Each conversation as one text of labelled turns; other roles, and answers without a text, are left out."""
+    # The labels of turns.
+    line = F.when(F.col("role") == "user", F.concat(F.lit("[사용자]\n"), F.coalesce("text", F.lit("")))).when((F.col("role") == "assistant") & (F.coalesce("text", F.lit("")) != ""), F.concat(F.lit("[assistant]\n"), F.col("text")))
+    said = turns.withColumn("line", line).filter("line IS NOT NULL")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"])
+    return said.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(ordered, "\n\n").alias("text"))
 
 
 def conversation_titles(turns: DataFrame) -> DataFrame:
@@ -67,3 +69,39 @@ def conversation_titles(turns: DataFrame) -> DataFrame:
 def turn_totals(searches: DataFrame, key: str) -> DataFrame:
     """Per turn of search log rows (leg, hits, score, reranked): searches, hits, best score, whether any was reranked."""
     return searches.groupBy(key).agg(F.count("*").alias("n_searches"), F.sum("hits").alias("hits"), F.max("score").alias("top_score"), F.bool_or("reranked").alias("reranked"))
+
+
+def search_log(log: DataFrame, limit: int = 100, most: int = 500, at: str = "ts", key: str = "event_id", contains: dict[str, str] | None = None, equals: dict[str, str] | None = None) -> DataFrame:
+    """The newest rows of a log whose columns contain the given parts (any of them), case aside, and equal the given values; empty ones ask for nothing."""
+    parts = [T.contains_text(F.col(c), v) for c, v in (contains or {}).items() if v]
+    for c, v in (equals or {}).items():
+        if v:
+            log = log.filter(F.col(c) == v)
+    if parts:
+        any_of = parts[0]
+        for p in parts[1:]:
+            any_of = any_of | p
+        log = log.filter(any_of)
+    return log.orderBy(F.col(at).desc(), F.col(key).desc()).limit(min(limit, most))
+
+
+# How many rows the listings show.
+NEWEST = {"reviews": 30, "runs": 40, "conversations": 100}
+OLDEST = {"messages": 400}
+
+
+def listing(rows: DataFrame, name: str, at: str, key: str) -> DataFrame:
+    """Rows of a listing by time: the newest first, of messages the oldest."""
+    if name in OLDEST:
+        return rows.orderBy(at, key).limit(OLDEST[name])
+    return rows.orderBy(F.col(at).desc(), F.col(key).desc()).limit(NEWEST[name])
+
+
+def streamed_usage(counters: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Token usage of a turn from counters that only grow while it streams: their greatest values."""
+    return counters.groupBy(key).agg(*[F.max(c).alias(c) for c in columns])
+
+
+def owned(rows: DataFrame, row_id: Column, repository: str, key: str = "node_id") -> DataFrame:
+    """The row of this number, if it is the repository's; else none."""
+    return rows.filter((F.col(key) == row_id) & (F.col("repository") == repository))

@@ -11,6 +11,10 @@ from graniq.functions import scores as S
 from graniq.functions import text as T
 
 
+#: Terms of a taxonomy that are broadcast.
+MAX_TERMS = 100_000
+
+
 def merge_maps(old: Column, new: Column) -> Column:
     """Both maps; the new value wins. Independent of the session's policy for doubled keys."""
     old, new = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (old, new))
@@ -81,18 +85,17 @@ def record_text(title: Column, summary: Column, attributes: Column, labels: Colu
 def classify(records: DataFrame, taxonomy: DataFrame, key: str, haystack: Column, cap: int = 3) -> DataFrame:
     """Labels of records by their terms: key, labels (array), at most cap, most matched terms first, then in the taxonomy's order.
 
-    taxonomy: pos, label. It is an admin's list; each record is held against all of it by a
-    broadcast join while it is small, and Spark's own choice of join otherwise.
+    taxonomy: pos, label. It is an admin's list, and is broadcast while it has at most MAX_TERMS
+    terms; a pair of a record and a term is a row only where the text has it.
     """
     terms = F.filter(T.label_terms(F.col("label")), lambda t: F.length(t) >= 2)
-    small = taxonomy.select("pos", "label", F.explode(F.array_distinct(terms)).alias("term"))
-    labels = F.array_sort(F.collect_list(F.struct("pos", "label", "terms")))
-    grouped = small.groupBy("pos", "label").agg(F.collect_list("term").alias("terms")).agg(labels.alias("labels"))
-    all_labels = [tuple(x) for x in (grouped.first() or [[]])[0] or []]
-    text = F.lower(haystack)
-    found = F.array(*[F.struct((-reduce(lambda a, b: a + b, [F.contains(F.col("__text"), F.lit(t)).cast("int") for t in terms_])).alias("hits"), F.lit(pos).alias("pos"), F.lit(label).alias("label")) for pos, label, terms_ in all_labels])
-    best = F.slice(F.array_sort(F.filter(found, lambda x: x["hits"] < 0)), 1, cap)
-    return records.withColumn("__text", text).select(F.col(key), F.transform(best, lambda x: x["label"]).alias("labels"))
+    asked = taxonomy.select("pos", "label", F.explode(F.array_distinct(terms)).alias("__term"))
+    asked = F.broadcast(asked) if asked.count() <= MAX_TERMS else asked
+    text = records.select(F.col(key), F.lower(haystack).alias("__text"))
+    hits = text.join(asked, F.contains("__text", "__term")).groupBy(key, "pos", "label").agg(F.count("*").alias("n"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "label"))), 1, cap)
+    labels = hits.groupBy(key).agg(F.transform(best, lambda x: x["label"]).alias("labels"))
+    return records.select(key).join(labels, key, "left").select(key, F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
 
 
 def weighted_scores(values: DataFrame, key: str, card: list[tuple[str, float]]) -> DataFrame:
@@ -132,18 +135,109 @@ def latest_verdict(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("target_id").agg(newest.alias("verdict"), F.count("*").alias("n_reviews")).withColumn("status", F.when(F.col("verdict").isin("approved", "rejected"), F.col("verdict")).otherwise("candidate"))
 
 
-def evidence_cards(records: DataFrame, scores: DataFrame, links: DataFrame, limit: int = 20, top: int = 5) -> DataFrame:
-    """Markdown cards of the best scored records: record_id, file, markdown."""
-    best = scores.orderBy(F.col("total").desc(), "record_id").limit(limit)
-    nth = F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("score").desc(), "other_id"))
-    own = links_of(links, records).join(best.select("record_id"), "record_id", "left_semi").withColumn("nth", nth).filter(F.col("nth") <= top)
-    line = F.concat(F.lit("- "), F.col("title"), F.lit(" ("), F.format_number("score", 4), F.lit(")"))
-    lists = own.groupBy("record_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))), lambda x: x["line"]), "\n").alias("links"))
-    cards = best.join(records, "record_id").join(lists, "record_id", "left")
-    body = F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("title")), F.concat(F.lit("Total: "), F.format_number("total", 1), F.lit(" ("), F.col("tier"), F.lit(")")), F.concat(F.lit("## Links\n"), F.coalesce("links", F.lit("-"))))
+def percent(weight: Column) -> Column:
+    return F.concat(F.bround(weight.cast("double") * 100).cast("int").cast("string"), F.lit("%"))
+
+
+def _lines(title: str, rows: Column, *head: str) -> Column:
+    """A block with its heading and a blank line after it; null, and so left out, without rows."""
+    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(*[F.lit(x) for x in (title, "", *head)]), rows, F.array(F.lit(""))), "\n"))
+
+
+# The wording of cards.
+CARD_END = "이 카드는 자동으로 생성되었습니다. 점수와 판단 근거는 전문가 검증(Human-in-the-Loop) 대상입니다."
+
+
+def evidence_cards(records: DataFrame, scores: DataFrame, links: DataFrame, tier: str = "short", limit: int = 20, collection: str | None = None, top: int = 5) -> DataFrame:
+    """Markdown cards of the best scored records of a tier or above: record_id, file, markdown.
+
+    records: record_id, collection, title, summary, labels, attributes (map). scores: record_id,
+    total, tier, status, dimensions (array of label, weight, score, rationale), evidence (array of
+    path, heading, page, quote). links: from_id, to_id, score, status, rerank_score, rationale; a
+    card lists the links that go out from its record. The limit is one of scores: the collection
+    is asked for after it, as is whether the record is there.
+    """
+    wanted = {"core": ["core"], "short": ["core", "short"], "long": ["core", "short", "long"]}[tier]
+    best = scores.filter(F.col("tier").isin(wanted)).orderBy(F.col("total").desc(), "record_id").limit(limit)
+    own = best.join(records if collection is None else records.filter(F.col("collection") == collection), "record_id")
+    nth = F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("score").desc(), "to_id"))
+    out = links.withColumnRenamed("from_id", "record_id").join(best.select("record_id"), "record_id", "left_semi").withColumn("nth", nth).filter(F.col("nth") <= top)
+    out = out.join(records.select(F.col("record_id").alias("to_id"), F.col("title").alias("other")), "to_id", "left")
+    again = F.when(F.col("rerank_score").isNotNull(), F.concat(F.lit(", 재평가 "), F.col("rerank_score").cast("string"))).otherwise("")
+    why = F.when(F.coalesce("rationale", F.lit("")) != "", F.concat(F.lit(" — "), F.col("rationale"))).otherwise("")
+    line = F.concat(F.lit("- "), S.shown(F.col("status"), S.VERDICT_MARKS, F.lit("· 후보")), F.lit(" **"), F.coalesce("other", F.col("to_id").cast("string")), F.lit("** (유사도 "), F.col("score").cast("string"), again, F.lit(")"), why)
+    lists = out.groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))), lambda x: x["line"]).alias("link_lines"))
+    cards = own.join(lists, "record_id", "left")
+    head = F.array_join(F.array(F.concat(F.lit("# "), F.col("title")), F.lit(""), F.concat(F.lit("- 종합점수: **"), F.col("total").cast("string"), F.lit("** ("), S.shown(F.col("tier"), S.TIER_NAMES, F.col("tier")), F.lit(")")), F.concat(F.lit("- 분류: "), F.when(F.size("labels") > 0, F.array_join("labels", ", ")).otherwise("-")), F.concat(F.lit("- 검토상태: "), F.col("status")), F.lit("")), "\n")
+    about = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("## 개요\n"), F.col("summary"), F.lit("\n")))
+    entries = F.transform(F.filter(F.map_entries(F.coalesce("attributes", F.create_map().cast("map<string,string>"))), lambda e: F.trim(F.coalesce(e["value"], F.lit(""))) != ""), lambda e: F.concat(F.lit("- **"), e["key"], F.lit("**: "), e["value"]))
+    facts = F.when(F.size("attributes") > 0, F.array_join(F.concat(F.array(F.lit("## 주요 항목"), F.lit("")), entries, F.array(F.lit(""))), "\n"))
+    rated = F.transform("dimensions", lambda d: F.concat(F.lit("| "), d["label"], F.lit(" | "), percent(d["weight"]), F.lit(" | "), d["score"].cast("string"), F.lit(" | "), F.translate(F.coalesce(d["rationale"], F.lit("")), "|", "/"), F.lit(" |")))
+    table = F.array_join(F.concat(F.array(*[F.lit(x) for x in ("## 차원별 평가", "", "| 차원 | 가중치 | 점수 | 판단 근거 |", "|---|---|---|---|")]), rated, F.array(F.lit(""))), "\n")
+    where = lambda e: F.concat(F.array_join(F.filter(F.array(e["path"], e["heading"]), lambda x: F.coalesce(x, F.lit("")) != ""), " > "), F.when(F.coalesce(e["page"], F.lit(0)) != 0, F.concat(F.lit(" p."), e["page"].cast("string"))).otherwise(""))
+    cited = F.transform("evidence", lambda e, i: F.concat(F.lit("**["), (i + 1).cast("string"), F.lit("]** "), where(e), F.lit("\n\n> "), F.translate(F.coalesce(e["quote"], F.lit("")), "\n", " "), F.lit("\n")))
+    body = F.concat_ws("\n", head, about, facts, table, _lines("## 매칭 후보", F.col("link_lines")), F.when(F.size("evidence") > 0, F.array_join(F.concat(F.array(F.lit("## 근거 인용"), F.lit("")), cited), "\n")), F.lit("---\n"), F.lit(CARD_END))
     return cards.select("record_id", F.concat(T.safe_stem(F.col("title")), F.lit(".md")).alias("file"), body.alias("markdown"))
 
 
+def visible_attributes(attributes: Column) -> Column:
+    """Without the keys that begin with an underscore."""
+    return F.map_filter(attributes, lambda k, _: ~k.startswith("_"))
+
+
+def record_list(records: DataFrame, scores: DataFrame, q: str = "", collection: str = "", tier: str = "", limit: int = 60) -> DataFrame:
+    """Active records whose title or summary contains a text, the newest ``limit`` (300 at most) of them; then of a tier, the best scored first.
+
+    records: record_id, collection, title, summary, status, created_at. A record's score is that
+    of its last row by score_id; 0 and none rank last.
+    """
+    rows = records.filter("status = 'active'")
+    if collection:
+        rows = rows.filter(F.col("collection") == collection)
+    if q:
+        rows = rows.filter(T.contains_text(F.col("title"), q) | T.contains_text(F.col("summary"), q))
+    page = rows.orderBy(F.col("created_at").desc(), F.col("record_id").desc()).limit(min(limit, 300))
+    last = scores.join(page.select("record_id"), "record_id", "left_semi").groupBy("record_id").agg(F.max_by(F.struct("total", "tier"), "score_id").alias("s"))
+    out = page.join(last, "record_id", "left").select(*page.columns, F.col("s.total").alias("total"), F.col("s.tier").alias("tier"))
+    if tier:
+        out = out.filter(F.col("tier") == tier)
+    return out.orderBy(F.when(F.coalesce("total", F.lit(0.0)) != 0, F.col("total")).otherwise(-1.0).desc(), F.col("created_at").desc(), F.col("record_id").desc())
+
+
+def record_reviews(records: DataFrame, links: DataFrame, scores: DataFrame, reviews: DataFrame, limit: int = 30, link_limit: int = 20) -> DataFrame:
+    """Per record the newest reviews of it, of its best links and of its score: record_id, nth, target_type, target_id, verdict.
+
+    links: link_id, from_id, to_id, score. scores: score_id, record_id. reviews: target_type,
+    target_id, verdict, at, review_id.
+    """
+    both = links.select(F.col("from_id").alias("record_id"), "link_id", "score").unionByName(links.select(F.col("to_id").alias("record_id"), "link_id", "score"))
+    best = F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("score").desc(), "link_id"))
+    both = both.withColumn("n", best).filter(F.col("n") <= link_limit)
+    one = scores.groupBy("record_id").agg(F.min("score_id").alias("target_id"))
+    target = lambda rows, kind, key: rows.select("record_id", F.lit(kind).alias("target_type"), F.col(key).alias("target_id"))
+    targets = target(records, "record", "record_id").unionByName(target(both, "link", "link_id")).unionByName(target(one, "score", "target_id")).join(records.select("record_id"), "record_id", "left_semi").distinct()
+    newest = F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("at").desc(), F.col("review_id").desc()))
+    found = targets.join(reviews, ["target_type", "target_id"]).withColumn("nth", newest).filter(F.col("nth") <= limit)
+    return found.select("record_id", "nth", "target_type", "target_id", "verdict")
+
+
+def update_cards(cards: DataFrame, changes: DataFrame) -> DataFrame:
+    """Scorecards by card_id with their changes: dimensions normalised, the old ones where none are left; the name where one is given; a card made the default is the only one of its repository."""
+    c, n = cards.alias("c"), changes.alias("n")
+    dims = S.normalise_weights(F.col("n.dimensions"))
+    chosen = changes.filter("is_default").join(cards.select("card_id", "repository"), "card_id").groupBy("repository").agg(F.max("card_id").alias("default_id"))
+    out = c.join(n, "card_id", "left").select("card_id", "c.repository", F.coalesce(F.nullif(F.substr("n.name", F.lit(1), F.lit(120)), F.lit("")), "c.name").alias("name"), F.when(F.size(dims) > 0, dims).otherwise(F.col("c.dimensions")).alias("dimensions"), F.col("c.is_default").alias("was"))
+    out = out.join(chosen, "repository", "left")
+    return out.select("card_id", "repository", "name", "dimensions", F.when(F.col("default_id").isNotNull(), F.col("card_id") == F.col("default_id")).otherwise(F.col("was")).alias("is_default"))
+
+
+def pipeline_page(steps: DataFrame, runs: DataFrame, limit: int = 40) -> tuple[DataFrame, DataFrame]:
+    """The steps of a pipeline in order, and its newest runs with the names of their steps."""
+    newest = runs.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(limit)
+    named = newest.join(steps.select("step_id", F.col("name").alias("step")), "step_id", "left")
+    return steps.orderBy("sort_order", "created_at", "step_id"), named
+
+
 def document_records(nodes: DataFrame, chunks: DataFrame, folder: str = "", first: int = 4) -> DataFrame:
     """Records of the ready files below a folder: external_id (path), title (stem), summary (from the first chunks, 400 characters), no labels."""
     inside = nodes.filter((F.col("kind") == "file") & (F.col("status") == "ready") & F.col("path").startswith(folder.rstrip("/") + "/"))
@@ -183,10 +277,10 @@ def replace_set(bridge: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return bridge.join(new.select(key).distinct(), key, "left_anti").unionByName(new.distinct())
 
 
-def link_page(links: DataFrame, records: DataFrame, status: str | None = None, limit: int = 400) -> DataFrame:
-    """Links by score with both titles; an unknown record's title is empty."""
+def link_page(links: DataFrame, records: DataFrame, status: str | None = None, limit: int = 400, to: DataFrame | None = None) -> DataFrame:
+    """Links of a status by score with both titles; an unknown record's title is empty. ``to``: the records of the other side, where they are another table."""
     own = links if status is None else links.filter(F.col("status") == status)
     best = own.orderBy(F.col("score").desc(), "from_id", "to_id").limit(min(limit, 400))
-    title = lambda side: records.select(F.col("record_id").alias(f"{side}_id"), F.col("title").alias(f"{side}_title"))
-    both = best.join(title("from"), "from_id", "left").join(title("to"), "to_id", "left")
+    title = lambda table, side: table.select(F.col("record_id").alias(f"{side}_id"), F.col("title").alias(f"{side}_title"))
+    both = best.join(title(records, "from"), "from_id", "left").join(title(records if to is None else to, "to"), "to_id", "left")
     return both.select("from_id", "to_id", F.coalesce("from_title", F.lit("")).alias("from_title"), F.coalesce("to_title", F.lit("")).alias("to_title"), "score")

@@ -7,28 +7,29 @@ from pyspark.sql import functions as F
 
 from graniq.config import SearchConfig
 from graniq.functions import text as T
-from graniq.operators import fusion, legs
+from graniq.operators import browse, fusion, legs
 
 
-def query_parts(chunks: DataFrame, query: str) -> tuple[list[str], list[str]]:
-    """Terms and tokens of one query, by the same expressions that columns use."""
-    row = chunks.sparkSession.range(1).select(T.query_terms(F.lit(query)).alias("terms"), F.array_distinct(T.words(F.lit(query))).alias("tokens")).first()
-    return row["terms"], row["tokens"]
+def query_parts(chunks: DataFrame, query: str) -> tuple[list[str], list[str], list[str]]:
+    """Terms, tokens and trigrams of one query, by the same expressions that columns use."""
+    q = F.lit(query)
+    row = chunks.sparkSession.range(1).select(T.query_terms(q).alias("terms"), F.array_distinct(T.words(q)).alias("tokens"), T.trigrams(q).alias("grams")).first()
+    return row["terms"], row["tokens"], row["grams"]
 
 
 def candidate_legs(chunks: DataFrame, nodes: DataFrame, sections: DataFrame | None, query: str, vector: Column | None, cfg: SearchConfig) -> dict[str, DataFrame]:
     """The legs that apply: without a query vector the lexical ones, without terms no substring legs."""
     cfg = cfg.resolved()
-    terms, tokens = query_parts(chunks, query)
+    terms, tokens, grams = query_parts(chunks, query)
     out = {}
     if vector is not None:
         out["vector"] = legs.vector_leg(chunks, vector, cfg.per_leg, cfg.min_vector_score)
         if sections is not None:
-            out["section"] = legs.section_leg(chunks, sections, vector, query, cfg.per_leg, cfg.top_k)
+            out["section"] = legs.section_leg(chunks, sections, vector, grams, cfg.per_leg, cfg.top_k)
     out["lexical"] = legs.lexical_leg(chunks, tokens, cfg.per_leg)
     if terms:
-        out["trigram"] = legs.trigram_leg(chunks, query, terms, cfg.per_leg)
-        out["path"] = legs.path_leg(chunks, nodes, query, terms)
+        out["trigram"] = legs.trigram_leg(chunks, grams, terms, cfg.per_leg)
+        out["path"] = legs.path_leg(chunks, nodes, grams, terms)
     return out
 
 
@@ -45,3 +46,19 @@ def search(chunks: DataFrame, nodes: DataFrame, sections: DataFrame | None, quer
         passages = fusion.overlap_rerank(passages, query)
     best = fusion.fit_budget(passages.filter(F.col("place") <= cfg.top_k), cfg.budget_tokens)
     return best.select("place", "node_id", "first", "ordinals", "legs", F.round("score", 4).alias("score"), "text")
+
+
+def search_visible(chunks: DataFrame, nodes: DataFrame, sections: DataFrame | None, repositories: DataFrame, user: str, query: str, vector: Column | None = None, cfg: SearchConfig | None = None, wanted: list[str] | None = None, admin: bool = False) -> DataFrame:
+    """A search over all repositories (repository, owner_id, visibility) that a user may see, of those wanted where a list is given; an unknown or hidden one among them is an error."""
+    own = sorted(r["repository"] for r in browse.visible(repositories, user, admin).select("repository").distinct().collect())
+    if wanted is not None:
+        if hidden := set(wanted) - set(own):
+            raise LookupError(f"no such repository: {', '.join(sorted(hidden))}")
+        own = wanted
+    return search(chunks, nodes, sections, query, vector, cfg, repositories=own)
+
+
+def evidence(found: DataFrame, nodes: DataFrame, heading: Column | None = None, page: Column | None = None, quote: int = 400) -> DataFrame:
+    """What an assertion rests on, from a search: number, path, heading, page, score, quote."""
+    named = found.join(nodes.select("node_id", "path"), "node_id")
+    return named.select(F.col("place").alias("number"), "path", (F.lit("") if heading is None else heading).alias("heading"), (F.lit(None).cast("int") if page is None else page).alias("page"), "score", F.substr("text", F.lit(1), F.lit(quote)).alias("quote"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniq import sqls as Q
 from graniq.config import SearchConfig
+from graniq.functions import scores as S
 from graniq.functions import text as T
 from graniq.functions import vectors as V
 from graniq.operators import browse, chunking, fusion, legs, matching, ops, records
+from graniq.plans import providers
 from graniq.plans import search as plans
 from graniq.sources import corpus, files, sinks
-from graniq.streaming import ingest, queue
+from graniq.streaming import handlers, ingest, queue
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,15 +104,14 @@ def context_block(spark, d):
     return fusion.context_block(found.withColumns({"heading_path": F.lit(""), "page": F.lit(None).cast("int")}))
 
 
-@query(rf"""WITH {Q.CHUNKS}, w AS (SELECT item_id AS query_id, unnest(list_distinct({Q.WORDS})) AS token FROM (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS text FROM benchmark)),
+@query(rf"""WITH {Q.CHUNKS}, w AS (SELECT item_id AS query_id, unnest(list_distinct({Q.WORDS})) AS token FROM benchmark),
 need AS (SELECT query_id, count(*) AS need FROM w GROUP BY 1),
 i AS (SELECT chunk_id, token, count(*)::DOUBLE AS tf FROM (SELECT chunk_id, unnest({Q.WORDS}) AS token FROM c) GROUP BY 1, 2),
 f AS (SELECT query_id, chunk_id, count(*) AS have, sum(round(tf / (tf + 1), 9)::DECIMAL(20, 9))::DOUBLE AS score FROM i JOIN w USING (token) GROUP BY 1, 2),
 r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rnk FROM f JOIN need USING (query_id) WHERE have = need)
 SELECT query_id, chunk_id, round(score, 6) AS score, rnk FROM r WHERE rnk < 24""")
 def batch_search(spark, d):
-    words = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
-    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("text"))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return legs.batch_lexical(corpus.chunks(spark, d), asked).withColumn("score", F.round("score", 6))
 
 
@@ -126,10 +129,7 @@ def query_terms(spark, d):
 b AS (SELECT doc_id, ('0x' || left(md5(w), 7))::BIGINT % 256 AS bucket, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT doc_id, bucket, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM b""")
 def hash_embed(spark, d):
-    words = _t(spark, d, "documents").select("doc_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("w"))
-    counts = words.groupBy("doc_id", V.bucket(F.col("w"), 256).alias("bucket")).agg(F.count("*").alias("n"))
-    norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, "doc_id").select("doc_id", "bucket", "n", F.round(F.col("n") / F.col("norm"), 6).alias("weight"))
+    return V.hash_counts(_t(spark, d, "documents"), "doc_id").select("doc_id", "bucket", "n", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT vec_id, 96 AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, 0.0::DOUBLE AS last, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS length2 FROM embeddings")
@@ -354,7 +354,8 @@ def history_window(spark, d):
     return ops.history(_t(spark, d, "conversations"), 4)
 
 
-@query("SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
+@query("""SELECT conv_id, count(*) AS n_turns, string_agg(CASE WHEN role = 'user' THEN '[사용자]' ELSE '[assistant]' END || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text
+FROM conversations WHERE role = 'user' OR role = 'assistant' AND coalesce(text, '') <> '' GROUP BY 1""")
 def transcript(spark, d):
     return ops.transcript(_t(spark, d, "conversations"))
 
@@ -432,10 +433,13 @@ scored AS (SELECT record_id, round(round(0 + least(100, greatest(0, size)) * 0.2
 _TIER = "CASE WHEN total >= 78 THEN 'core' WHEN total >= 60 THEN 'short' ELSE 'long' END AS tier"
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
     demand = _t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").cast("double").alias("demand"))
-    m = _t(spark, d, "part").join(demand, "p_partkey", "left").select(F.col("p_partkey").alias("record_id"), (F.col("p_size") * F.lit(2.0)).alias("size"), (F.col("p_retailprice") / 20).alias("price"), F.coalesce("demand", F.lit(0.0)).alias("demand"))
-    return records.weighted_scores(m, "record_id", _CARD)
+    return _t(spark, d, "part").join(demand, "p_partkey", "left").select(F.col("p_partkey").alias("record_id"), (F.col("p_size") * F.lit(2.0)).alias("size"), (F.col("p_retailprice") / 20).alias("price"), F.coalesce("demand", F.lit(0.0)).alias("demand"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return records.weighted_scores(_metrics(spark, d), "record_id", _CARD)
 
 
 @query(f"WITH {_METRICS} SELECT record_id, total, {_TIER} FROM scored")
@@ -485,14 +489,38 @@ def latest_verdict(spark, d):
     return records.latest_verdict(log)
 
 
+_DIMENSIONS = [("size", "Size", 0.25), ("price", "Price", 0.5), ("demand", "Demand", 0.25)]
+
+
 @query(rf"""WITH {_METRICS}, {_LINKS}, best AS (SELECT record_id, total, {_TIER} FROM scored ORDER BY total DESC, record_id LIMIT 20),
-b AS (SELECT from_id AS record_id, to_id AS other_id, score FROM links UNION ALL SELECT to_id, from_id, score FROM links),
-t AS (SELECT b.*, coalesce(p_name, '') AS title, row_number() OVER (PARTITION BY b.record_id ORDER BY score DESC, other_id) AS nth FROM b LEFT JOIN part ON p_partkey = b.other_id),
-l AS (SELECT record_id, string_agg('- ' || title || ' (' || format('{{:,.4f}}', score) || ')', chr(10) ORDER BY nth) AS links FROM t WHERE nth <= 5 GROUP BY 1)
-SELECT best.record_id, left(trim(regexp_replace(p_name, '[^\p{{L}}\p{{N}} \-_()]', '', 'g')), 80) || '.md' AS file, '# ' || p_name || chr(10) || chr(10) || 'Total: ' || format('{{:,.1f}}', total) || ' (' || tier || ')' || chr(10) || chr(10) || '## Links' || chr(10) || coalesce(links, '-') AS markdown FROM best JOIN part ON p_partkey = best.record_id LEFT JOIN l ON l.record_id = best.record_id""")
+t AS (SELECT from_id AS record_id, to_id, score, p_name AS other, row_number() OVER (PARTITION BY from_id ORDER BY score DESC, to_id) AS nth FROM links LEFT JOIN part ON p_partkey = to_id AND p_size <> 7),
+l AS (SELECT record_id, '## 매칭 후보' || chr(10) || chr(10) || string_agg('- ' || CASE to_id % 3 WHEN 0 THEN '✅ 승인' WHEN 1 THEN '❌ 반려' ELSE '· 후보' END || ' **' || coalesce(other, to_id::VARCHAR) || '** (유사도 ' || score || CASE WHEN to_id % 2 = 0 THEN ', 재평가 0.5' ELSE '' END || ')' || CASE WHEN to_id % 5 = 0 THEN ' — why' ELSE '' END || chr(10), '' ORDER BY nth) || chr(10) AS block FROM t WHERE nth <= 5 GROUP BY 1),
+d AS (SELECT best.*, p_name, p_type, p_brand, p_size, m.size AS a, m.price AS b, m.demand AS c FROM best JOIN part ON p_partkey = best.record_id AND p_size <> 7 JOIN m ON m.record_id = best.record_id)
+SELECT d.record_id, left(trim(regexp_replace(p_name, '[^\p{{L}}\p{{N}} \-_()]', '', 'g')), 80) || '.md' AS file,
+  '# ' || p_name || chr(10) || chr(10) || '- 종합점수: **' || total || '** (' || CASE tier WHEN 'core' THEN '핵심 Portfolio' WHEN 'short' THEN 'Short-list' ELSE 'Long-list' END || ')' || chr(10) || '- 분류: ' || CASE WHEN p_size % 2 = 0 THEN p_brand || ', x' ELSE '-' END || chr(10) || '- 검토상태: candidate' || chr(10) || chr(10)
+  || CASE WHEN p_size % 3 > 0 THEN '## 개요' || chr(10) || p_type || chr(10) || chr(10) ELSE '' END
+  || '## 주요 항목' || chr(10) || chr(10) || '- **brand**: ' || p_brand || chr(10) || '- **size**: ' || p_size || chr(10) || chr(10)
+  || '## 차원별 평가' || chr(10) || chr(10) || '| 차원 | 가중치 | 점수 | 판단 근거 |' || chr(10) || '|---|---|---|---|' || chr(10)
+  || '| Size | 25% | ' || round(a, 1) || ' | a/b |' || chr(10) || '| Price | 50% | ' || round(b, 1) || ' | a/b |' || chr(10) || '| Demand | 25% | ' || round(c, 1) || ' | a/b |' || chr(10) || chr(10)
+  || coalesce(block, '')
+  || CASE WHEN p_size % 4 = 0 THEN '## 근거 인용' || chr(10) || chr(10) || '**[1]** /a.txt > Part p.3' || chr(10) || chr(10) || '> two lines' || chr(10) || chr(10) || '**[2]** /b.txt' || chr(10) || chr(10) || '> ' || p_type || chr(10) || chr(10) ELSE '' END
+  || '---' || chr(10) || chr(10) || '이 카드는 자동으로 생성되었습니다. 점수와 판단 근거는 전문가 검증(Human-in-the-Loop) 대상입니다.' AS markdown
+FROM d LEFT JOIN l ON l.record_id = d.record_id""")
 def evidence_card(spark, d):
-    p = _t(spark, d, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("title"))
-    return records.evidence_cards(p, _scored(spark, d), _links(spark, d))
+    none = F.array().cast("array<string>")
+    p = _t(spark, d, "part").filter("p_size <> 7").select(
+        F.col("p_partkey").alias("record_id"), F.lit("part").alias("collection"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")).otherwise("").alias("summary"),
+        F.when(F.col("p_size") % 2 == 0, F.array("p_brand", F.lit("x"))).otherwise(none).alias("labels"), F.create_map(F.lit("brand"), "p_brand", F.lit("size"), F.col("p_size").cast("string"), F.lit("blank"), F.lit(" ")).alias("attributes"), "p_type", "p_size",
+    )
+    cited = lambda path, heading, page, quote: F.struct(path.alias("path"), heading.alias("heading"), page.cast("int").alias("page"), quote.alias("quote"))
+    evidence = F.when(F.col("p_size") % 4 == 0, F.array(cited(F.lit("/a.txt"), F.lit("Part"), F.lit(3), F.lit("two\nlines")), cited(F.lit("/b.txt"), F.lit(""), F.lit(None), F.col("p_type"))))
+    values = _metrics(spark, d)
+    rated = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(w).alias("weight"), F.round(c, 1).alias("score"), F.lit("a|b").alias("rationale")) for c, label, w in _DIMENSIONS])
+    about = values.select("record_id", rated.alias("dimensions")).join(_t(spark, d, "part").select(F.col("p_partkey").alias("record_id"), "p_type", "p_size"), "record_id").select("record_id", "dimensions", evidence.alias("evidence"))
+    scores = _scored(spark, d).withColumn("status", F.lit("candidate")).join(about, "record_id")
+    to = F.col("to_id")
+    links = _links(spark, d).withColumns({"status": F.when(to % 3 == 0, "approved").when(to % 3 == 1, "rejected").otherwise("candidate"), "rerank_score": F.when(to % 2 == 0, F.lit(0.5)), "rationale": F.when(to % 5 == 0, "why")})
+    return records.evidence_cards(p.drop("p_type", "p_size"), scores, links, tier="long", collection="part")
 
 
 _PAIR = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -561,13 +589,11 @@ def bridge_lists(spark, d):
     return records.grouped_ids(_t(spark, d, "events"), "user_id", "event_type").select("user_id", F.array_join("event_type", ",").alias("event_types"))
 
 
-@query(f"WITH {_LINKS} SELECT from_id, to_id, coalesce(s_name, '') AS from_title, coalesce(c_name, '') AS to_title, score FROM (SELECT * FROM links ORDER BY score DESC, from_id, to_id LIMIT 400) LEFT JOIN supplier ON s_suppkey = from_id LEFT JOIN customer ON c_custkey = to_id")
+@query(f"WITH {_LINKS} SELECT from_id, to_id, coalesce(s_name, '') AS from_title, coalesce(c_name, '') AS to_title, score FROM (SELECT * FROM links WHERE to_id % 3 = 0 ORDER BY score DESC, from_id, to_id LIMIT 400) LEFT JOIN supplier ON s_suppkey = from_id LEFT JOIN customer ON c_custkey = to_id")
 def link_page(spark, d):
-    best = _links(spark, d).orderBy(F.col("score").desc(), "from_id", "to_id").limit(400)
-    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("from_id"), F.col("s_name").alias("from_title"))
-    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("to_id"), F.col("c_name").alias("to_title"))
-    both = best.join(s, "from_id", "left").join(c, "to_id", "left")
-    return both.select("from_id", "to_id", F.coalesce("from_title", F.lit("")).alias("from_title"), F.coalesce("to_title", F.lit("")).alias("to_title"), "score")
+    sides = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("record_id"), F.lit("from").alias("side"), F.col("s_name").alias("title")).unionByName(_t(spark, d, "customer").select(F.col("c_custkey").alias("record_id"), F.lit("to").alias("side"), F.col("c_name").alias("title")))
+    links = _links(spark, d).withColumn("status", F.when(F.col("to_id") % 3 == 0, "approved").otherwise("candidate"))
+    return records.link_page(links, sides.filter("side = 'from'"), status="approved", to=sides.filter("side = 'to'"))
 
 
 @query("SELECT user_id, count(*) AS n_searches, sum(event_id % 7)::BIGINT AS hits, max(value) AS top_score, bool_or(event_type = 'click') AS reranked FROM events GROUP BY 1")
@@ -632,3 +658,201 @@ def visible_hosts(spark, d):
     host = F.lower(F.regexp_extract("url", "^https?://([^/?#:]+)", 1))
     rows = _t(spark, d, "pages").select(host.alias("slug"), F.lit("someone").alias("owner_id"), F.lit("shared").alias("visibility"))
     return browse.visible(rows, "nobody").groupBy("slug").agg(F.count("*").alias("n"))
+
+
+_RECORDS = """records AS (SELECT p_partkey AS record_id, p_name AS title, p_type AS summary, p_brand AS collection, CASE WHEN p_size % 10 = 0 THEN 'archived' ELSE 'active' END AS status, p_partkey % 977 AS created_at FROM part)"""
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("title"), F.col("p_type").alias("summary"), F.col("p_brand").alias("collection"), F.when(F.col("p_size") % 10 == 0, "archived").otherwise("active").alias("status"), (F.col("p_partkey") % 977).alias("created_at"))
+
+
+@query(f"""WITH {_METRICS}, {_RECORDS}, s AS (SELECT record_id, arg_max(total, score_id) AS total FROM (SELECT record_id, total, 1 AS score_id FROM scored WHERE record_id % 3 > 0 UNION ALL SELECT record_id, 100 - total, 2 FROM scored WHERE record_id % 5 = 0) GROUP BY 1),
+page AS (SELECT * FROM records WHERE status = 'active' AND (title ILIKE '%a%' OR summary ILIKE '%a%') ORDER BY created_at DESC, record_id DESC LIMIT 300)
+SELECT record_id, title, total, {_TIER} FROM page JOIN s USING (record_id) WHERE total < 60""")
+def record_search(spark, d):
+    """Records by a text, the newest 300, then those of a tier; the last of several scores counts."""
+    one = _scored(spark, d)
+    again = one.filter("record_id % 5 = 0").select("record_id", (F.lit(100.0) - F.col("total")).alias("total"))
+    scores = one.filter("record_id % 3 > 0").select("record_id", "total").withColumn("score_id", F.lit(1)).unionByName(again.withColumn("score_id", F.lit(2))).withColumn("tier", S.tier(F.col("total")))
+    found = records.record_list(_records(spark, d), scores, q="A", tier="long", limit=900)
+    return found.select("record_id", "title", "total", "tier")
+
+
+_REVIEWS = "reviews AS (SELECT ['record', 'link', 'score'][(event_id % 3 + 1)::INT] AS target_type, event_id % 53 AS target_id, event_type AS verdict, ts AS moment, event_id AS review_id FROM events)"
+
+
+@query(f"""WITH {_LINKS}, {_REVIEWS}, l AS (SELECT from_id, to_id, score, (from_id * 7 + to_id) % 53 AS link_id FROM links), b AS (SELECT from_id AS record_id, link_id, score FROM l UNION ALL SELECT to_id, link_id, score FROM l),
+k AS (SELECT record_id, link_id FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, link_id) AS n FROM b) WHERE n <= 20),
+t AS (SELECT s_suppkey AS record_id, 'record' AS target_type, s_suppkey AS target_id FROM supplier UNION SELECT k.record_id, 'link', link_id FROM k JOIN supplier ON s_suppkey = record_id UNION SELECT s_suppkey, 'score', s_suppkey % 11 FROM supplier)
+SELECT record_id, nth, target_type, target_id, verdict FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY moment DESC, review_id DESC) AS nth FROM t JOIN reviews USING (target_type, target_id)) WHERE nth <= 30""")
+def record_reviews(spark, d):
+    n = F.col("event_id")
+    kind = F.element_at(F.array(F.lit("record"), F.lit("link"), F.lit("score")), (n % 3 + 1).cast("int"))
+    reviews = _t(spark, d, "events").select(kind.alias("target_type"), (n % 53).alias("target_id"), F.col("event_type").alias("verdict"), F.col("ts").alias("at"), n.alias("review_id"))
+    own = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("record_id"))
+    links = _links(spark, d).withColumn("link_id", (F.col("from_id") * 7 + F.col("to_id")) % 53)
+    return records.record_reviews(own, links, own.withColumn("score_id", F.col("record_id") % 11), reviews)
+
+
+@query("""WITH c AS (SELECT s_suppkey AS card_id, 'r' || s_nationkey AS repository, s_suppkey % 4 AS k FROM supplier), d AS (SELECT repository, max(card_id) AS d FROM c WHERE k = 1 GROUP BY 1)
+SELECT card_id, repository, CASE WHEN k = 1 THEN 'new' ELSE 'old' END AS name, CASE WHEN k = 1 THEN 'a=0.25,b=0.75' WHEN k = 2 THEN 'a=0.5,b=0.5' ELSE 'x=1.0' END AS dimensions, CASE WHEN d IS NULL THEN card_id % 2 = 0 ELSE card_id = d END AS is_default FROM c LEFT JOIN d USING (repository)""")
+def scorecard_update(spark, d):
+    k = F.col("card_id") % 4
+    dim = lambda *pairs: F.array(*[F.struct(F.lit(n).alias("key"), F.lit(float(w)).alias("weight")) for n, w in pairs])
+    cards = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("card_id"), F.concat(F.lit("r"), F.col("s_nationkey").cast("string")).alias("repository"), F.lit("old").alias("name"), dim(("x", 1)).alias("dimensions"), (F.col("s_suppkey") % 2 == 0).alias("is_default"))
+    given = F.when(k == 1, dim(("a", 25), ("b", 75), ("", 9))).when(k == 2, dim(("a", -1), ("b", 0))).otherwise(dim(("", 3)))
+    changes = cards.filter(k > 0).select("card_id", F.when(k == 1, "new").otherwise("").alias("name"), given.alias("dimensions"), (k == 1).alias("is_default"))
+    shown = F.array_join(F.transform("dimensions", lambda x: F.concat(x["key"], F.lit("="), x["weight"].cast("string"))), ",")
+    return records.update_cards(cards, changes).select("card_id", "repository", "name", shown.alias("dimensions"), "is_default")
+
+
+@query("SELECT p_partkey AS record_id, 'brand=' || p_brand AS shown FROM part")
+def visible_attributes(spark, d):
+    own = F.create_map(F.lit("_score"), F.col("p_size").cast("string"), F.lit("brand"), "p_brand", F.lit("_"), F.lit("x"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("record_id"), F.array_join(F.transform(F.map_entries(records.visible_attributes(own)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("shown"))
+
+
+@query(rf"""WITH {Q.CHUNKS}, p AS (SELECT node_id, ordinal, text, row_number() OVER w AS nth, coalesce(sum(length(text) + 1) OVER (PARTITION BY node_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c WHERE (ordinal // 6) % 2 = 1 AND ordinal // 3 + 1 = 3 WINDOW w AS (PARTITION BY node_id ORDER BY ordinal))
+SELECT node_id, count(*) AS n_chunks, md5(string_agg(left(text, (500 - before)::INT), chr(10) ORDER BY ordinal)) AS text_md5 FROM p WHERE nth <= 80 AND before < 500 GROUP BY 1""")
+def read_section_page(spark, d):
+    odd = F.when(F.floor(F.col("ordinal") / 6) % 2 == 1, "Odd part").otherwise("Even part")
+    c = corpus.chunks(spark, d).withColumns({"heading_path": odd, "page": (F.floor(F.col("ordinal") / 3) + 1).cast("int")})
+    return browse.read_part(c, "ODD", 3, max_chars=100).select("node_id", "n_chunks", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"WITH {Q.CHUNKS} SELECT section_id, count(*) AS n_chunks FROM c GROUP BY 1 UNION ALL SELECT -doc_id - 1, 0 FROM documents")
+def section_sizes(spark, d):
+    own = corpus.chunks(spark, d).groupBy("section_id").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    empty = _t(spark, d, "documents").select((-F.col("doc_id") - 1).alias("section_id"), F.lit(5).cast("long").alias("first"), F.lit(3).cast("long").alias("last"))
+    return browse.section_sizes(own.unionByName(empty)).select("section_id", "n_chunks")
+
+
+@query("""WITH a AS (SELECT p_partkey AS ask_id, ['en', 'fr'][(p_partkey % 2 + 1)::INT] AS repository, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN '/src1' WHEN 2 THEN '/a/b/c/d/e/f/g/h/i/j/k/l' ELSE '/no' END AS parent, CASE p_size % 7 WHEN 0 THEN ' .. ' WHEN 1 THEN 'x/' || p_brand ELSE 'src1' END AS name FROM part),
+n AS (SELECT *, CASE WHEN name = ' .. ' THEN NULL ELSE parent || '/' || regexp_replace(name, '^.*/', '') END AS path FROM a),
+f AS (SELECT DISTINCT lang AS repository, '/' || source AS path FROM documents UNION SELECT r, '/a/b/c/d/e/f/g/h/i/j/k/l' FROM (VALUES ('en'), ('fr')) t(r))
+SELECT ask_id, repository, path, CASE WHEN path IS NULL THEN 'bad_name' WHEN parent <> '' AND (repository, parent) NOT IN (SELECT repository, path FROM f) THEN 'parent_not_folder' WHEN parent LIKE '/a/%' THEN 'too_deep'
+  WHEN (repository, path) IN (SELECT repository, path FROM f) OR row_number() OVER (PARTITION BY repository, path ORDER BY ask_id) > 1 THEN 'name_exists' END AS error FROM n""")
+def create_folder(spark, d):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    deep = "/a/b/c/d/e/f/g/h/i/j/k/l"
+    asked = _t(spark, d, "part").select(key.alias("ask_id"), F.when(key % 2 == 0, "en").otherwise("fr").alias("repository"), F.when(size % 5 == 0, "").when(size % 5 == 1, "/src1").when(size % 5 == 2, deep).otherwise("/no").alias("parent"), F.when(size % 7 == 0, " .. ").when(size % 7 == 1, F.concat(F.lit("x/"), "p_brand")).otherwise("src1").alias("name"))
+    own = browse.with_folders(corpus.nodes(spark, d)).select("repository", "kind", "path")
+    more = spark.createDataFrame([("en", "folder", deep), ("fr", "folder", deep)], "repository string, kind string, path string")
+    return browse.create_folders(own.unionByName(more), asked)
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type ILIKE '%IC%' AND user_id = 3 ORDER BY ts DESC, event_id DESC LIMIT 500")
+def audit_search(spark, d):
+    return ops.search_log(_t(spark, d, "events"), 600, contains={"event_type": "IC"}, equals={"user_id": 3}).select("event_id", "event_type")
+
+
+@query("SELECT c_custkey AS user_id FROM customer WHERE c_name ILIKE '%00012%' OR c_mktsegment ILIKE '%BUILD%' ORDER BY c_custkey DESC LIMIT 300")
+def user_search(spark, d):
+    users = _t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("email"), F.col("c_custkey").alias("created_at"))
+    either = users.withColumn("both", F.concat_ws("\n", "name", F.when(T.contains_text(F.col("email"), "build"), F.lit("00012")).otherwise(F.lit(""))))
+    return ops.search_log(either, 1000, 300, "created_at", "user_id", {"name": "00012", "both": "00012"}).select("user_id")
+
+
+@query("SELECT 'reviews' AS listing, event_id FROM (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 30) UNION ALL SELECT 'runs', event_id FROM (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 40) UNION ALL SELECT 'conversations', event_id FROM (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) UNION ALL SELECT 'messages', event_id FROM (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 400)")
+def listings(spark, d):
+    e = _t(spark, d, "events")
+    parts = [ops.listing(e, name, "ts", "event_id").select(F.lit(name).alias("listing"), "event_id") for name in ("reviews", "runs", "conversations", "messages")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("SELECT user_id, max(value) AS tokens_in, max(event_id) AS tokens_out FROM events GROUP BY 1")
+def streamed_usage(spark, d):
+    return ops.streamed_usage(_t(spark, d, "events").select("user_id", F.col("value").alias("tokens_in"), F.col("event_id").alias("tokens_out")), "user_id", "tokens_in", "tokens_out")
+
+
+@query("SELECT doc_id AS node_id, lang AS repository FROM documents WHERE doc_id = 7 AND lang = 'en'")
+def owned_lookup(spark, d):
+    return ops.owned(corpus.nodes(spark, d), F.lit(7), "en").select("node_id", "repository")
+
+
+@query(r"""SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Part ' || doc_id || chr(10) || text END) AS embedded_md5 FROM documents""")
+def embed_text(spark, d):
+    heading = F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit("Part "), F.col("doc_id").cast("string"), F.lit(" ")))
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.embed_text(heading, F.col("text")).cast("binary")).alias("embedded_md5"))
+
+
+@query("SELECT c_custkey, lower(c_name) AS email FROM customer")
+def email_keys(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", T.email_key(F.concat(F.lit(" "), "c_name", F.lit("\t"))).alias("email"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 > 0 THEN '.' || lpad((microsecond(ts) % 1000000)::VARCHAR, 6, '0') ELSE '' END || '+00:00' AS at, (epoch_us(ts + to_microseconds(event_id * 777)) - epoch_us(ts)) // 1000 AS took_ms FROM events")
+def event_times(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    later = F.timestamp_micros(F.unix_micros(ts) + F.col("event_id") * 777)
+    return _t(spark, d, "events").select("event_id", T.iso_time(ts).alias("at"), T.elapsed_ms(ts, later).alias("took_ms"))
+
+
+_VISIBLE = Q.CHUNKS.replace("FROM documents", "FROM (SELECT * FROM documents WHERE lang IN ('en', 'fr'))")
+
+
+@query(f"WITH {_VISIBLE}, {Q.LEGS}, {Q.FUSED}, {Q.PASSAGES}, {Q.PLACED}, {Q.BUDGET.format(18000)} SELECT place, node_id, first, round(score, 4) AS score, text FROM fitted")
+def multi_repository_search(spark, d):
+    """A search over what a user may see: own repositories and shared ones."""
+    repositories = spark.createDataFrame([("en", "me", "private"), ("fr", "you", "shared"), ("de", "you", "private"), ("es", "them", "private")], "repository string, owner_id string, visibility string")
+    found = plans.search_visible(corpus.embedded_chunks(spark, d), corpus.nodes(spark, d), corpus.sections(spark, d), repositories, "me", Q.QUERY, _vector(spark, d))
+    return found.select("place", "node_id", "first", "score", "text")
+
+
+@query(f"WITH {Q.CHUNKS}, {Q.LEGS}, {Q.FUSED}, {Q.PASSAGES}, {Q.PLACED}, {Q.BUDGET.format(18000)} SELECT place AS number, path, round(score, 4) AS score, left(text, 400) AS quote FROM fitted JOIN nodes USING (node_id)")
+def gather_evidence(spark, d):
+    return plans.evidence(hybrid_search(spark, d), corpus.nodes(spark, d)).select("number", "path", "score", "quote")
+
+
+@query(f"WITH {_JOBS} SELECT job_id, CASE WHEN status = 'running' THEN 'done' ELSE status END AS status, locked_at IS NULL OR status = 'running' AS free FROM jobs")
+def job_finish(spark, d):
+    done = queue.finish(_jobs(spark, d), F.col("status") == "running", F.lit(AS_OF).cast("timestamp"))
+    return done.select("job_id", "status", F.col("locked_at").isNull().alias("free"))
+
+
+@query(f"""WITH {_JOBS}, due AS (SELECT * FROM jobs WHERE status = 'queued' AND run_at <= TIMESTAMP '{AS_OF}' ORDER BY priority, run_at, job_id LIMIT 100)
+SELECT job_id, CASE WHEN kind = 'view' THEN 'viewed ' || job_id WHEN kind = 'click' THEN 'clicked' END AS result, kind NOT IN ('view', 'click') AS unknown FROM due""")
+def job_dispatch(spark, d):
+    """Claimed jobs through the handlers of their kinds; one of an unknown kind fails."""
+    reg = handlers.Handlers()
+    reg.register("view", lambda jobs: jobs.select("job_id", F.concat(F.lit("viewed "), F.col("job_id").cast("string")).alias("result")))
+    reg.register("click", lambda jobs: jobs.select("job_id", F.lit("clicked").alias("result")))
+    return reg.dispatch(queue.claim_order(_jobs(spark, d), F.lit(AS_OF).cast("timestamp"), 100)).select("job_id", "result", F.col("error").isNotNull().alias("unknown"))
+
+
+@query("SELECT run_id, 'step ' || step_id AS step FROM (SELECT event_id AS run_id, user_id AS step_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 40)")
+def pipeline_runs(spark, d):
+    e = _t(spark, d, "events")
+    steps = e.select(F.col("user_id").alias("step_id")).distinct().select("step_id", F.concat(F.lit("step "), F.col("step_id").cast("string")).alias("name"), F.lit(0).alias("sort_order"), F.lit(0).alias("created_at"))
+    return records.pipeline_page(steps, e.select(F.col("event_id").alias("run_id"), F.col("user_id").alias("step_id"), F.col("ts").alias("started_at")))[1].select("run_id", "step")
+
+
+@query("SELECT p_partkey AS record_id, p_name AS title, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS summary FROM part WHERE p_size % 4 > 0")
+def model_extract(spark, d):
+    """Records out of a model's answers: fenced or wordy JSON is read, an answer without any gives no record."""
+    said = F.to_json(F.struct(F.col("p_name").alias("title"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("summary")))
+    answer = F.when(F.col("p_size") % 4 == 0, F.lit("I can't.")).when(F.col("p_size") % 4 == 1, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), said, F.lit(" done")))
+    docs = _t(spark, d, "part").select(F.col("p_partkey").alias("record_id"), answer.alias("text"))
+    return providers.extract(docs, "record_id", providers.Scripted(lambda prompt: F.regexp_replace(prompt, r"^(?s).*\nText:\n", "")))
+
+
+@query("SELECT p_partkey AS record_id, CASE WHEN p_size % 3 = 0 THEN 'Economy | Promo' WHEN p_size % 3 = 1 THEN 'Standard' ELSE '' END AS labels FROM part")
+def model_classify(spark, d):
+    """Labels by a model's answer, of which only those of the taxonomy count."""
+    answer = F.when(F.col("p_size") % 3 == 0, F.lit('["Economy", "unknown", "Promo", "Economy"]')).when(F.col("p_size") % 3 == 1, F.lit('{"labels": ["Standard"]}')).otherwise(F.lit("none"))
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("record_id"), answer.alias("text"))
+    model = providers.Scripted(lambda prompt: F.regexp_replace(prompt, r"^(?s).*\nText:\n", ""))
+    return providers.classify(rows, "record_id", TAXONOMY, model).select("record_id", F.array_join("labels", " | ").alias("labels"))
+
+
+@query(f"WITH {Q.CHUNKS} SELECT node_id, count(*) AS n_chunks FROM c GROUP BY 1")
+def stream_ingest(spark, d):
+    """All documents through the file stream, a chunk per line: the table that it leaves."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
+    own = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    docs = _t(spark, d, "documents")
+    to_nodes = lambda batch: batch.select(F.col("doc_id").alias("node_id"), F.array_join(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(r"\S"))), lambda x, i: F.concat(F.lit("# h"), i.cast("string"), F.lit("\nx"))), "\n").alias("text"))
+    ingest.ingest(spark, d, docs.schema, own, f"{own}-checkpoint", to_nodes, files="documents.parquet").awaitTermination()
+    return ingest.latest(spark, own).groupBy("node_id").agg(F.count("*").alias("n_chunks"))

@@ -16,18 +16,20 @@ def chunk_table(nodes: DataFrame) -> DataFrame:
     return structure(nodes).filter("kind = 'chunk'").select("node_id", "ordinal", "section", "tokens", "text")
 
 
-def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, to_nodes: Callable[[DataFrame], DataFrame], interval: str | None = None):
-    """Start a query that indexes new files of a folder.
+def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, to_nodes: Callable[[DataFrame], DataFrame], interval: str | None = None, files: str = "*"):
+    """Start a query that indexes new files of a folder, those whose names fit ``files``.
 
     Each batch writes below ``target/batch=<id>``, in overwrite mode, so that a batch that is
     repeated after a failure gives the same table; ``latest`` reads the newest batch of each
-    node. Without an interval it stops when all files present are done.
+    node. A node without chunks writes one row with null columns, so that its older chunks end.
+    Without an interval it stops when all files present are done.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        chunk_table(to_nodes(batch)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        nodes = to_nodes(batch)
+        nodes.select("node_id").distinct().join(chunk_table(nodes), "node_id", "left").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    writer = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
@@ -35,7 +37,7 @@ def latest(spark: SparkSession, target: str) -> DataFrame:
     """The chunks of each node's newest batch."""
     rows = spark.read.parquet(target)
     newest = rows.groupBy("node_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["node_id", "batch"], "left_semi").drop("batch")
+    return rows.join(newest, ["node_id", "batch"], "left_semi").filter("ordinal IS NOT NULL").drop("batch")
 
 
 def event_counts(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:

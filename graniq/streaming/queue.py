@@ -29,6 +29,12 @@ def backoff_seconds(attempts: Column) -> Column:
     return F.least(F.lit(600), F.lit(5) * F.pow(F.lit(2.0), F.least(attempts, F.lit(20)))).cast("long")
 
 
+def finish(jobs: DataFrame, finished: Column, as_of: Column) -> DataFrame:
+    """Finished jobs are done and give their lease back."""
+    out = jobs.withColumns({"status": F.when(finished, "done").otherwise(F.col("status")), "locked_at": F.when(~finished, F.col("locked_at"))})
+    return out.withColumn("finished_at", F.when(finished, as_of))
+
+
 def fail(jobs: DataFrame, failed: Column, as_of: Column) -> DataFrame:
     """Failed jobs wait longer each time, and are dead after their last attempt."""
     last = F.col("attempts") >= F.col("max_attempts")
