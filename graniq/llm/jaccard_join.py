@@ -7,40 +7,46 @@ token, so if the prefix is longer by one token for each group it has, two simila
 a rare token or a pair of some group. Rare tokens are indexed one by one, frequent ones as
 the pairs of their group, and candidates are verified on the whole sets.
 
-Frequencies are counted over all sets, for a part of the token universe chosen by hash that
-is large enough for the prefixes (sets for which it is not count all their tokens); any
+Frequencies are counted over all distinct sets, for a part of the token universe chosen by hash
+that is large enough for the prefixes (sets for which it is not count all their tokens); any
 global function of the token is a valid order, so this part bounds the work, never the result.
-Counting exchanges sorted blocks of hashes: a chunk of sets asks the owner of each hash range
-for the frequencies of its tokens, each token once a chunk, so that a token of a third of all
-sets costs one entry a chunk.
+Tasks write the counted tokens of their sets in chunks to the shared folder. A chunk asks the
+owner of each hash range for the frequencies of its tokens, each token once a chunk, so that a
+token of a third of all sets costs one entry a chunk.
 
 Equal sets are one vertex. Sets that keys connect are a family; similar sets are of one. A
-family is cut into blocks of a bounded number of tokens, and a task verifies two blocks
-against each other on the whole sets, by the lists of sets that share a token. It returns
-what the links connect, a row for each set at most; pairs are never rows.
+family of at most a block is verified in one task by the lists of sets that share a token. A
+larger one is cut into blocks by hash, each verified by itself together with some common pivots,
+which joins most near copies; then, where keys have sets of several components still, those
+outside the largest component are verified against all sets, in blocks: of the family, or of
+each such key in a huge one. Work on a family of near copies thus follows its size. Tasks return what the links connect, a row for each
+set at most; pairs are never rows.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniq.llm.components import connect
-from graniq.llm.storage import bounded_batches, forget, materialize
+from graniq.llm.rows import possible, row_key, without
+from graniq.llm.storage import bounded_batches, forget, materialize, open_fs, remove, shared_dir
 from graniq.llm.words import U64, gram_hashes, mix, word_hashes
 
-#: Tokens of a chunk of sets, and of a bucket of the hash space.
-CHUNK, BUCKET = 400_000, 1_000_000
-#: Bits of the filter of wanted documents: 16 MB.
-FILTER_BITS = 1 << 27
-#: Tokens of a block of sets that are verified together.
-BLOCK = 500_000
+#: Tokens of a chunk of sets, and of a range of the hash space.
+CHUNK, RANGE = 400_000, 1_000_000
+#: Tokens and sets of a block that is verified at once, and sets that all blocks of a family have in common.
+BLOCK, SETS, PIVOTS = 500_000, 1_000, 8
+#: Blocks beyond which a family's verification goes by keys.
+HUGE = 32
 #: Sets that share a token from which it is frequent, and tokens of a group in a prefix.
 FREQUENT, GROUP = 16, 6
 
@@ -70,6 +76,9 @@ class Rule:
         """Most tokens that any prefix of a set of n tokens takes."""
         return min(n, self.prefix(n) + self.groups(self.bands(n)[1]))
 
+    def similar(self, same: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        return self.den * same >= self.num * (a + b - same)
+
 
 def shingles(column: pa.Array, w: int) -> Iterator[np.ndarray]:
     """The set of each row, sorted; the whole sequence where there are fewer than w words."""
@@ -89,84 +98,123 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
         return int(mix(tokens ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)), int(mix(tokens * U64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _sets(docs: DataFrame, w: int, rule: Rule) -> DataFrame:
-    """doc_id, n, k1, k2 (the set's fingerprint), tokens (those that are counted)."""
+_OWN = "doc_id long, a long, b long, n long, k1 long, k2 long, idx long, able boolean, chunk long, file string, at long, size long"
+
+
+def _sets(docs: DataFrame, w: int, rule: Rule, folder: str) -> DataFrame:
+    """A row per document: its key, set size n, the set's fingerprint k1, k2 and number idx, whether tokens of it are counted (able), and the chunk with its place in a file.
+
+    A chunk has n and the number of counted tokens of each of its sets, then these tokens; the number of its first set is the chunk's.
+    """
     limit = U64(min(2**64 - 1, int(rule.part * 2**64)))
+    names = [x.split()[0] for x in _OWN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, rows, parts, size, sink, path, at = TaskContext.get().partitionId() << 36, [], [], 0, None, "", 0
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal sink, path, at, first, rows, parts, size
+            if sink is None:
+                fs, where = open_fs(folder)
+                fs.create_dir(where, recursive=True)
+                path = f"{folder}/{uuid.uuid4().hex}"
+                sink = fs.open_output_stream(open_fs(path)[1])
+            data = np.array([len(rows), *(r[3] for r in rows), *(len(p) for p in parts)], dtype=np.int64).tobytes() + b"".join(p.tobytes() for p in parts)
+            sink.write(data)
+            own = [(*r, first + i, len(p) > 0, first, path, at, len(data)) for i, (r, p) in enumerate(zip(rows, parts))]
+            at, first, rows, parts, size = at + len(data), first + len(rows), [], [], 0
+            kinds = [pa.int64()] * 7 + [pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own), kinds)], names=names)
+
         for batch in batches:
-            rows = []
-            for tokens in shingles(batch.column(1), w):
-                n, some = len(tokens), b""
+            for key, tokens in zip(zip(*(batch.column(i).to_pylist() for i in range(3))), shingles(batch.column(3), w)):
+                n, some = len(tokens), tokens[:0]
                 if n * (rule.den - rule.num) >= rule.num:  # smaller sets are similar to equal ones alone
                     counted = tokens[: np.searchsorted(tokens, limit)]
-                    some = (counted if len(counted) >= rule.need(n) else tokens).tobytes()
-                rows.append((n, *fingerprint(tokens), some))
-            n, k1, k2, some = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(some, pa.binary())], names=["doc_id", "n", "k1", "k2", "tokens"])
+                    some = (counted if len(counted) >= rule.need(n) else tokens).copy()
+                rows.append((*key, n, *fingerprint(tokens)))
+                parts.append(some)
+                size += len(some) + 16
+                if size >= CHUNK:
+                    yield chunk()
+        if rows:
+            yield chunk()
+        if sink is not None:
+            sink.close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text").mapInArrow(run, _OWN)
 
 
-def _chunks(sets: DataFrame) -> DataFrame:
-    """Sets in chunks: chunk, k1, k2, n, sizes (arrays as bytes), tokens. The first number of a set is its place: idx = chunk + i."""
+class Chunk:
+    """Sets of a chunk but for those to skip: n, sizes, places (in the chunk) and tokens, one set after the other; and the distinct tokens, cut into ranges."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rows, size, at = TaskContext.get().partitionId() << 36, [], 0, 0
+    def __init__(self, file: str, at: int, size: int, skip: list[int] | None, bits: int):
+        fs, where = open_fs(file)
+        with fs.open_input_file(where) as f:
+            f.seek(at)
+            data = f.read(size)
+        m = int(np.frombuffer(data, np.int64, 1)[0])
+        n, sizes = np.frombuffer(data, np.int64, 2 * m, 8).reshape(2, m)
+        tokens = np.frombuffer(data, np.uint64, offset=8 * (2 * m + 1))
+        own = np.ones(m, bool)
+        own[skip or []] = False
+        self.places = np.flatnonzero(own & (sizes > 0))
+        self.tokens, self.n, self.sizes = tokens[np.repeat(own, sizes)], n[self.places], sizes[self.places]
+        self.distinct, self.of, self.counts = np.unique(self.tokens, return_inverse=True, return_counts=True)
+        self.ranges = [0, *(np.searchsorted(self.distinct, np.arange(1, 1 << bits, dtype=np.uint64) << U64(64 - bits)) if bits else []), len(self.distinct)]
 
-        def row():
-            k1, k2, n, tokens = zip(*rows)
-            columns = [[part + at], *([np.array(x, dtype=np.int64).tobytes()] for x in (k1, k2, n, [len(t) // 8 for t in tokens])), [b"".join(tokens)]]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["chunk", "k1", "k2", "n", "sizes", "tokens"])
 
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append(r)
-                size += len(r[3]) // 8
-                if size >= CHUNK:
-                    yield row()
-                    at, rows, size = at + len(rows), [], 0
-        if rows:
-            yield row()
+def _pack(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
-    return sets.select("k1", "k2", "n", "tokens").mapInArrow(run, "chunk long, k1 binary, k2 binary, n binary, sizes binary, tokens binary")
 
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
-def _u64(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint64)
 
+def _chunks(own: DataFrame) -> DataFrame:
+    """chunk, file, at, size, skip: the places of sets that another set equals, of which the one with the least idx is not skipped."""
+    twice = own.filter("able").groupBy("k1", "k2").agg(F.min("idx").alias("kept"), F.count("*").alias("m")).filter("m > 1")
+    # As a table of its own, so that the join can split the rows of a hot set.
+    again = own.filter("able").join(materialize(twice, "join-twice"), ["k1", "k2"]).filter("idx <> kept").groupBy("chunk").agg(F.collect_list((F.col("idx") - F.col("chunk")).cast("int")).alias("skip"))
+    return own.filter("able").groupBy("chunk").agg(F.first("file").alias("file"), F.first("at").alias("at"), F.first("size").alias("size"), F.count("*").alias("sets")).join(again, "chunk", "left")
 
-def _i64(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.int64)
 
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def _frequencies(chunks: DataFrame, n_tokens: int) -> DataFrame:
-    """Per chunk and bucket: chunk, tokens, counts, for the tokens that several sets have."""
-    bits = max(0, math.ceil(math.log2(max(1, n_tokens / BUCKET))))
+
+def _frequencies(chunks: DataFrame, bits: int) -> DataFrame:
+    """Per chunk and range: which of the chunk's tokens others have as well (a bit each), and how many sets have these.
+
+    Tokens are asked for by 32 bits below those of their range: a frequency is that of all tokens with these bits.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, counts = np.unique(_u64(raw), return_counts=True)
-                cuts = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=np.uint64) << U64(64 - bits)) if bits else []
-                parts = [(b, t, c) for b, (t, c) in enumerate(zip(np.split(tokens, cuts), np.split(counts.astype(np.int32), cuts))) if len(t)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([t.tobytes() for _, t, _ in parts], pa.binary()), pa.array([c.tobytes() for _, _, c in parts], pa.binary())], names=["bucket", "chunk", "tokens", "counts"]
-                )
+            for r in batch.to_pylist():
+                c, rows = Chunk(r["file"], r["at"], r["size"], r["skip"], bits), []
+                for b, (low, high) in enumerate(zip(c.ranges, c.ranges[1:])):
+                    if high > low:
+                        rows.append((b, r["chunk"], _pack(np.diff((c.distinct[low:high] << U64(bits)) >> U64(32), prepend=U64(0))), _pack(c.counts[low:high])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "tokens", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
-        asked = [_u64(x) for x in table["tokens"].to_pylist()]
-        tokens, at = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([np.frombuffer(x, dtype=np.int32) for x in table["counts"].to_pylist()])).astype(np.int64)
-        answers, k = [], 0
+        asked = [np.cumsum(_unpack(x), dtype=np.uint32) for x in table["tokens"].to_pylist()]
+        _, at = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([_unpack(x) for x in table["counts"].to_pylist()]))[at].astype(np.uint32)
+        shared, counts, k = [], [], 0
         for own in asked:
-            c = total[at[k : k + len(own)]]
+            c = total[k : k + len(own)]
             k += len(own)
-            answers.append((own[c > 1].tobytes(), c[c > 1].astype(np.int64).tobytes()))
-        return pa.table([table["chunk"], pa.array([a for a, _ in answers], pa.binary()), pa.array([b for _, b in answers], pa.binary())], names=["chunk", "tokens", "counts"])
+            shared.append(np.packbits(c > 1).tobytes())
+            counts.append(_pack(c[c > 1]))
+        return pa.table([table["chunk"], table["bucket"], pa.array(shared, pa.binary()), pa.array(counts, pa.binary())], names=["chunk", "bucket", "shared", "counts"])
 
-    asked = chunks.select("chunk", "tokens").mapInArrow(ask, "bucket int, chunk long, tokens binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(count, "chunk long, tokens binary, counts binary")
+    asked = chunks.mapInArrow(ask, "bucket int, chunk long, tokens binary, counts binary")
+    return asked.groupBy("bucket").applyInArrow(count, "chunk long, bucket int, shared binary, counts binary")
 
 
 def keys_of(tokens: np.ndarray, counts: np.ndarray, n: int, rule: Rule, limit: np.uint64) -> np.ndarray:
@@ -192,81 +240,70 @@ def keys_of(tokens: np.ndarray, counts: np.ndarray, n: int, rule: Rule, limit: n
     return np.unique(np.concatenate([tokens[:longest][single], *keys]))
 
 
-def _keys(chunks: DataFrame, frequencies: DataFrame, rule: Rule) -> DataFrame:
+def _keys(chunks: DataFrame, frequencies: DataFrame, rule: Rule, bits: int) -> DataFrame:
     """key, idx, n: what each set is indexed under. Sets whose prefix has only tokens of their own have no key."""
     limit = U64(min(2**64 - 1, int(rule.part * 2**64)))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_key, out_idx, out_n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        shared = [_u64(x) for x in right["tokens"].to_pylist()]
-        known = np.concatenate([np.zeros(0, np.uint64), *shared])
-        counts = np.concatenate([np.zeros(0, np.int64), *(_i64(x) for x in right["counts"].to_pylist())])
-        order = np.argsort(known)
-        known, counts = known[order], counts[order]
-        for chunk, n, sizes, raw in zip(*(left[c].to_pylist() for c in ("chunk", "n", "sizes", "tokens"))):
-            tokens, n, sizes = _u64(raw), _i64(n), _i64(sizes)
-            df = np.ones(len(tokens), dtype=np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                df = np.where(known[at] == tokens, counts[at], 1)
-            ends = np.cumsum(sizes)
-            own = np.concatenate([[0], np.cumsum((df == 1) & (tokens < limit))])
-            alone = own[ends] - own[ends - sizes]
-            for i in np.flatnonzero(sizes > 0).tolist():
-                size = int(n[i])
-                if alone[i] >= rule.prefix(size):
-                    continue
-                a, b = ends[i] - sizes[i], ends[i]
-                keys = keys_of(tokens[a:b], df[a:b], size, rule, limit)
-                out_key.append(keys)
-                out_idx.append(np.full(len(keys), chunk + i, dtype=np.int64))
-                out_n.append(np.full(len(keys), size, dtype=np.int64))
-        return pa.table([pa.array(np.concatenate(out_key).view(np.int64)), pa.array(np.concatenate(out_idx)), pa.array(np.concatenate(out_n))], names=["key", "idx", "n"])
-
-    return chunks.select("chunk", "n", "sizes", "tokens").groupBy("chunk").cogroup(frequencies.groupBy("chunk")).applyInArrow(run, "key long, idx long, n long")
-
-
-def _places(chunks: DataFrame) -> DataFrame:
-    """idx, k1, k2, n of all sets."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        r = next(r for r in rows if r["file"] is not None)
+        c = Chunk(r["file"], r["at"], r["size"], r["skip"], bits)
+        known = np.ones(len(c.distinct), dtype=np.int64)
+        for x in rows:
+            if x["file"] is None:
+                low, high = c.ranges[x["bucket"]], c.ranges[x["bucket"] + 1]
+                known[low + np.flatnonzero(np.unpackbits(np.frombuffer(x["shared"], np.uint8), count=high - low))] = _unpack(x["counts"])
+        counts = known[c.of]
+        ends = np.cumsum(c.sizes)
+        own = np.concatenate([[0], np.cumsum((counts == 1) & (c.tokens < limit))])
+        alone = own[ends] - own[ends - c.sizes]
+        key, idx, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(c.places)):
+            size = int(c.n[i])
+            if alone[i] < rule.prefix(size):
+                a, b = ends[i] - c.sizes[i], ends[i]
+                key.append(keys_of(c.tokens[a:b], counts[a:b], size, rule, limit))
+                idx.append(np.full(len(key[-1]), r["chunk"] + c.places[i]))
+                n.append(np.full(len(key[-1]), size))
+        return pa.table([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(idx)), pa.array(np.concatenate(n))], names=["key", "idx", "n"])
+
+    # The rows are small, the work on a chunk is not: tasks are not merged by bytes.
+    asked = chunks.unionByName(frequencies, allowMissingColumns=True).repartition(_tasks(chunks.sparkSession), "chunk")
+    return asked.groupBy("chunk").applyInArrow(run, "key long, idx long, n long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, k1, k2, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                k1, k2, n = _i64(k1), _i64(k2), _i64(n)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk + np.arange(len(n))), pa.array(k1), pa.array(k2), pa.array(n)], names=["idx", "k1", "k2", "n"])
 
-    return chunks.select("chunk", "k1", "k2", "n").mapInArrow(run, "idx long, k1 long, k2 long, n long")
+def _members(keys: DataFrame) -> DataFrame:
+    """Rows of the keys that several sets have. Keys with the same members say the same; one of them is kept."""
+    same = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("idx")).alias("f"), F.bit_xor(F.xxhash64("idx", F.lit(5))).alias("g"), F.min("idx").alias("least")).filter("m > 1")
+    kept = same.groupBy("m", "f", "g").agg(F.min("key").alias("key"), F.min("least").alias("least"))
+    return materialize(keys.join(kept.select("key", "least"), "key").select("key", "least", "idx", "n"), "join-members")
 
 
-def _possible(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose doc_id may be wanted, so that few other texts are shuffled: a bitmap of hashes, of FILTER_BITS bits at most, is broadcast."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    maps = wanted.select(place("wanted_id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    rows = docs.withColumn("h", place("doc_id")).withColumn("bucket", F.bitmap_bucket_number("h"))
-    found = F.expr("(cast(conv(hex(substring(bits, cast(bitmap_bit_position(h) div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(bitmap_bit_position(h) % 8 as int))) <> 0")
-    return rows.join(F.broadcast(maps), "bucket").filter(found).select("doc_id", "text")
+def _families(members: DataFrame) -> DataFrame:
+    """idx, n, family: sets that keys connect, be they similar or not; one edge for each row of the index."""
+    ties = connect(members.filter("idx <> least").select(F.col("least").alias("a"), F.col("idx").alias("b")).distinct())
+    return ties.select(F.col("v").alias("idx"), F.col("label").alias("family")).join(members.groupBy("idx").agg(F.max("n").alias("n")), "idx")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, w: int) -> DataFrame:
-    """idx, tokens of the wanted sets (idx, doc_id, k1, k2), from the whole texts."""
+    """idx, deals, tokens of the wanted sets (idx, a, b, deals), from the whole texts."""
+    kind = "array<struct<t: long, u: long, v: long, left: boolean, label: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for tokens, idx, k1, k2 in zip(shingles(batch.column(0), w), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                if fingerprint(tokens) == (k1, k2):
-                    rows.append((idx, tokens.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.binary())], names=["idx", "tokens"])
+            tokens = pa.array([t.tobytes() for t in shingles(batch.column(0), w)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), tokens], names=["idx", "deals", "tokens"])
+
+    rows, _ = possible(docs.select(*row_key(), "text"), wanted)
+    once = rows.groupBy("a", "b").agg(F.first("text").alias("text"))
+    return once.join(wanted, ["a", "b"]).select("text", "idx", "deals").mapInArrow(run, f"idx long, deals {kind}, tokens binary")
 
-    rows = _possible(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted)
-    rows = rows.join(wanted.hint("merge"), F.expr("doc_id <=> wanted_id")).select("text", "idx", "k1", "k2")
-    found = rows.mapInArrow(run, "idx long, tokens binary")
-    return found.groupBy("idx").agg(F.first("tokens").alias("tokens"))
 
+def linked(sets: list[np.ndarray], rule: Rule, left: np.ndarray | None = None, labels: np.ndarray | None = None) -> np.ndarray:
+    """For each set the number of the first set that links connect it with, sets compared by their shared tokens.
 
-def linked(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
-    """For each set the number of the first set that links connect it with, all sets compared by their shared tokens."""
+    All sets are compared, or those of ``left`` with all; sets of one label are connected from the start.
+    """
     sizes = np.array([len(x) for x in sets])
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     _, run, many = np.unique(tokens, return_inverse=True, return_counts=True)
@@ -276,7 +313,8 @@ def linked(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
     posted = owner[np.argsort(run, kind="stable")]  # the sets of each token, one token after the other
     many = np.where(many > 1, many, 0)
     first = np.cumsum(many) - many
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if labels is None else np.unique(labels, return_index=True, return_inverse=True)
+    root = root if labels is None else root[1][root[2]]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -284,52 +322,118 @@ def linked(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
             x = root[x]
         return x
 
-    for i in range(1, len(sets)):
+    for i in range(1, len(sets)) if left is None else np.flatnonzero(left).tolist():
         mine = run[own[i] : own[i + 1]]
         if not len(mine):
             continue
         n = many[mine]
         at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        same = np.bincount(posted[at], minlength=len(sets))[:i]
-        for j in np.flatnonzero(rule.den * same >= rule.num * (sizes[i] + sizes[:i] - same)).tolist():
+        same = np.bincount(posted[at], minlength=len(sets))
+        similar = rule.similar(same, sizes[i], sizes) & (same > 0)
+        for j in np.flatnonzero(similar[:i] if left is None else similar).tolist():
             x, y = find(i), find(j)
             root[max(x, y)] = min(x, y)
     return np.array([find(i) for i in range(len(sets))])
 
 
-def _members(keys: DataFrame) -> DataFrame:
-    """Rows of the keys that several sets have. Keys with the same members say the same; one of them is kept."""
-    same = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("idx")).alias("f"), F.bit_xor(F.xxhash64("idx", F.lit(5))).alias("g"), F.min("idx").alias("least")).filter("m > 1")
-    kept = same.groupBy("m", "f", "g").agg(F.min("key").alias("key"), F.min("least").alias("least"))
-    return materialize(keys.join(kept.select("key", "least"), "key").select("key", "least", "idx", "n"), "join-members")
+def _verify(sets: DataFrame, rule: Rule) -> DataFrame:
+    """a, b: what the links connect in each deal (t, u, v)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows: dict[int, list] = {}
+        for idx, left, label, tokens in zip(*(table[c].to_pylist() for c in ("idx", "left", "label", "tokens"))):
+            if idx in rows:
+                rows[idx][0] |= left
+            else:
+                rows[idx] = [left, label, tokens]
+        idx = np.array(sorted(rows), dtype=np.int64)
+        left, label, tokens = zip(*(rows[i] for i in idx.tolist()))
+        left = np.array(left)
+        root = linked([np.frombuffer(x, np.uint64) for x in tokens], rule, *((None, None) if left.all() else (left, np.array(label))))
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table([pa.array(idx[root[tied]]), pa.array(idx[tied])], names=["a", "b"])
 
+    one = sets.select("idx", "tokens", F.explode("deals").alias("d")).select("idx", "tokens", "d.*")
+    return one.groupBy("t", "u", "v").applyInArrow(run, "a long, b long")
 
-def _families(members: DataFrame) -> DataFrame:
-    """idx, n, family: sets that keys connect, be they similar or not; one edge for each row of the index."""
-    ties = connect(members.filter("idx <> least").select(F.col("least").alias("a"), F.col("idx").alias("b")).distinct())
-    return ties.select(F.col("v").alias("idx"), F.col("label").alias("family")).join(members.groupBy("idx").agg(F.max("n").alias("n")), "idx")
+
+def _deal(t: Column, u: Column, v: Column, left: Column, label: Column) -> Column:
+    return F.struct(*[x.cast(k).alias(n) for n, x, k in (("t", t, "long"), ("u", u, "long"), ("v", v, "long"), ("left", left, "boolean"), ("label", label, "long"))])
 
 
-def _link(families: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """idx, label of the sets that links connect. Each family is cut into blocks by hash, and a task compares two of its blocks (small families: some whole ones)."""
-    sizes = families.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.sum("n").alias("tokens"))
-    small = sizes.filter("blocks = 1").agg(F.sum("tokens")).first()[0] or 0
+def _blocks(n: str, count: str = "*") -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.sum(n) / BLOCK), F.ceil(F.count(count) / SETS)).cast("long")
+
+
+def _span(n: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), n - 1)
+
+
+def _link(families: DataFrame, members: DataFrame, own: DataFrame, docs: DataFrame, w: int, rule: Rule) -> DataFrame:
+    """v, label of the sets that links connect."""
+    spark = docs.sparkSession
+    place = own.select("idx", "a", "b")
+    # Pivots: of each family, the sets with the least of some hashes.
+    pivots = [F.min(F.struct(F.xxhash64("idx", F.lit(s)).alias("h"), "idx")).getField("idx") for s in range(PIVOTS)]
+    sizes = materialize(families.groupBy("family").agg(_blocks("n").alias("blocks"), F.sum("n").alias("tokens"), F.array(*pivots).alias("pivots")), "join-sizes")
+    total = sizes.filter("blocks = 1").agg(F.sum("tokens")).first()[0] or 0
+    buckets = max(total // BLOCK + 1, _tasks(spark))
     rows = families.join(sizes, "family")
+    one = F.col("blocks") == 1
     block = F.pmod(F.xxhash64("idx", F.lit(11)), F.col("blocks"))
-    cut = rows.filter("blocks > 1").select("idx", "family", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    large = cut.select("idx", F.col("family").alias("t"), F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
-    bucket = F.pmod(F.xxhash64("family", F.lit(13)), F.lit(small // BLOCK + 1))
-    whole = rows.filter("blocks = 1").select("idx", F.lit(-1).cast("long").alias("t"), bucket.alias("u"), F.lit(0).cast("long").alias("v"))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("idx")
-        idx = table["idx"].to_numpy()
-        root = linked([_u64(x) for x in table["tokens"].to_pylist()], rule)
-        tied = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table([pa.array(idx[root[tied]]), pa.array(idx[tied])], names=["a", "b"])
+    whole = lambda u: _deal(F.lit(0), F.col("family"), u, F.lit(True), F.col("idx"))
+    mine = F.when(one, F.array(_deal(F.lit(-1), F.pmod(F.xxhash64("family", F.lit(13)), F.lit(buckets)), F.lit(0), F.lit(True), F.col("idx"))))
+    mine = mine.when(F.array_contains("pivots", F.col("idx")), F.transform(_span(F.col("blocks")), whole)).otherwise(F.array(whole(block)))
+    wanted = materialize(rows.select("idx", mine.alias("deals")).join(place, "idx"), "join-wanted")
+    links = materialize(_verify(_whole_sets(docs, wanted, w), rule), "join-links")
+    labels = connect(links)
+    large = sizes.filter("blocks > 1").select("family", "blocks")
+    if large.isEmpty():
+        return labels
+
+    # The sets outside the largest component are compared with all: of the family or, of a huge one, of each key that has sets of several components still.
+    held = families.join(large, "family").join(labels.withColumnRenamed("v", "idx"), "idx", "left").select("family", "blocks", "idx", "n", F.coalesce("label", "idx").alias("label"))
+    held = materialize(held, "join-held")
+    whole, cut = held.filter(F.col("blocks") <= HUGE).withColumn("group", F.col("family")), held.filter(F.col("blocks") > HUGE)
+    rows = whole if cut.isEmpty() else whole.unionByName(members.select(F.col("key").alias("group"), "idx").join(cut, "idx"))
+    many = lambda n, m: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(m / SETS)).cast("long")
+    parts = rows.groupBy("group", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    most = parts.groupBy("group").agg(F.max(F.struct("m", "label", "n")).alias("most"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    divided = most.select("group", F.col("most.label").alias("giant"), many(F.col("n"), F.col("m")).alias("all"), many(F.col("n") - F.col("most.n"), F.col("m") - F.col("most.m")).alias("rest"))
+    open_ = rows.join(materialize(divided, "join-divided"), "group")
+    left = F.col("label") != F.col("giant")
+    at, of = F.pmod(F.xxhash64("idx", F.lit(17)), F.col("all")), F.pmod(F.xxhash64("idx", F.lit(19)), F.col("rest"))
+    right_deals = F.transform(_span(F.col("rest")), lambda r: _deal(F.col("group"), r, at, F.lit(False), F.col("label")))
+    left_deals = F.when(left, F.transform(_span(F.col("all")), lambda a: _deal(F.col("group"), of, a, F.lit(True), F.col("label")))).otherwise(F.array().cast("array<struct<t: long, u: long, v: long, left: boolean, label: long>>"))
+    deals = open_.select("idx", F.explode(F.concat(right_deals, left_deals)).alias("d")).groupBy("idx").agg(F.collect_list("d").alias("deals"))
+    wanted = materialize(deals.join(place, "idx"), "join-wanted")
+    more = materialize(_verify(_whole_sets(docs, wanted, w), rule), "join-links")
+    return connect(labels.select(F.col("label").alias("a"), F.col("v").alias("b")).filter("a <> b").unionByName(more))
+
+
+def _classes(docs: DataFrame, w: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Rows of documents (_OWN); and of each set with words k1, k2, the first row of its component (best: by doc_id, nulls last, then a, b) and the component's rows."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    folder = shared_dir(spark, "join-chunks")
+    own = materialize(_sets(docs, w, rule, folder), "join-documents")
+    chunks = materialize(_chunks(own), "join-chunk-list")
+    n_tokens = (chunks.agg(F.sum("size")).first()[0] or 0) / 8
+    bits = max(0, math.ceil(math.log2(max(1, n_tokens / RANGE))))
+    keys = materialize(_keys(chunks, _frequencies(chunks.repartition(_tasks(spark)), bits), rule, bits), "join-keys")
+    remove(folder)
+    members = _members(keys)
+    forget(keys)
+    families = materialize(_families(members), "join-families")
+    labels = _link(families, members, own, docs, w, rule)
 
-    tasks = large.unionByName(whole).join(sets, "idx").groupBy("t", "u", "v")
-    return connect(materialize(tasks.applyInArrow(run, "a long, b long"), "join-links")).select(F.col("v").alias("idx"), "label")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("best")
+    by_set = own.filter("n > 0").groupBy("k1", "k2").agg(best, F.min("idx").alias("idx"), F.count("*").alias("rows"))
+    named = materialize(by_set.join(labels.withColumnRenamed("v", "idx"), "idx", "left").select("k1", "k2", "best", "rows", "label"), "join-classes")
+    # A table of its own, so that the join can split the sets of a large component.
+    whole = materialize(named.filter("label IS NOT NULL").groupBy("label").agg(F.min("best").alias("first"), F.sum("rows").alias("all")), "join-components")
+    tied = named.filter("label IS NOT NULL").join(whole, "label").select("k1", "k2", F.col("first").alias("best"), F.col("all").alias("rows"))
+    return own, tied.unionByName(named.filter("label IS NULL").select("k1", "k2", "best", "rows"))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -341,28 +445,20 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     linked. Rows with a null doc_id take part, but name no component; a component of such rows
     alone has a null id. An empty table gives no row.
     """
-    rule = Rule(num, den)
-    bounded_batches(docs.sparkSession)
-    first = materialize(_sets(docs, shingle, rule), "join-sets")
-    able = first.filter(F.length("tokens") > 0).groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    chunks = materialize(_chunks(able), "join-chunks")
-    own = materialize(first.select("doc_id", "n", "k1", "k2"), "join-documents")
-    forget(first)
-    n_tokens = chunks.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    keys = materialize(_keys(chunks, _frequencies(chunks, n_tokens // 8), rule), "join-keys")
-    places = materialize(_places(chunks), "join-places")
-    forget(chunks)
-
-    families = materialize(_families(_members(keys)), "join-families")
-    forget(keys)
-    by_set = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    wanted = families.select("idx").join(places.drop("n"), "idx").join(by_set.drop("n"), ["k1", "k2"]).select("idx", "k1", "k2", F.col("least").alias("wanted_id"))
-    sets = materialize(_whole_sets(docs, materialize(wanted, "join-wanted"), shingle), "join-whole")
-    labels = _link(families, sets, rule)
-
-    named = by_set.filter("n > 0").join(places.join(labels, "idx").select("k1", "k2", "label"), ["k1", "k2"], "left")
-    named = materialize(named.select("k1", "k2", "least", "label"), "join-classes")
-    lowest = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("lowest"))
-    classes = named.join(lowest, "label", "left").select("k1", "k2", F.coalesce("lowest", "least").alias("component_id"))
-    out = own.join(classes, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own, classes = _classes(docs, shingle, Rule(num, den))
+    found = own.filter("n > 0").join(classes, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"))
+    return found.unionByName(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, but of each component the one with the least doc_id alone.
+
+    Rows are judged by doc_id and text, so that another row of the same doc_id is not touched; a
+    null doc_id comes last. Of equal doc_ids the row is chosen by a hash of its text; of rows
+    equal in both, any one stays. Documents without words stay, all of them.
+    """
+    own, classes = _classes(docs, shingle, Rule(num, den))
+    kept = (F.col("a") == F.col("best.a")) & (F.col("b") == F.col("best.b"))
+    judged = own.filter("n > 0").join(classes.filter("rows > 1"), ["k1", "k2"]).groupBy("a", "b").agg(F.max(kept).alias("kept"), F.count("*").alias("rows"))
+    judged = materialize(judged, "join-judged")
+    return without(docs, judged.filter("NOT kept"), judged.filter("kept AND rows > 1"))

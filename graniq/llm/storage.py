@@ -1,12 +1,12 @@
 """Intermediate tables and files in the folder that the cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests,
-notebooks), a temporary folder of the driver is used and set for the session.
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset and Spark runs in
+this process alone (tests, notebooks), a temporary folder is used and set for the session; on
+a cluster it must be set, as no folder of the driver is seen by executors.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -18,8 +18,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new, not yet existing folder for one use, below the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="graniq-")
-        spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/graniq/{name}-{uuid.uuid4().hex}"
 
@@ -46,15 +48,14 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def forget(table: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing will read again."""
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        where, path = open_fs(folder)
+def remove(folder: str) -> None:
+    """Delete a folder of files that nothing will read again."""
+    where, path = open_fs(folder)
+    if where.get_file_info(path).type != fs.FileType.NotFound:
         where.delete_dir(path)
-    release(table.sparkSession)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def forget(table: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing will read again."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove(folder)
