@@ -46,28 +46,37 @@ class Registry:
         return sorted(self.plugins.values(), key=lambda p: (KINDS.index(p.kind), p.id))
 
 
+def _number(value: Any) -> float | int:
+    number = float(value)
+    return int(number) if number.is_integer() else number
+
+
+def _flag(value: Any) -> bool:
+    return value if isinstance(value, bool) else str(value).strip().lower() in {"1", "true", "yes", "on"}
+
+
+#: How a form's value becomes one of a type; other types are texts.
+CONVERT: dict[str, Callable[[Any], Any]] = {"number": _number, "bool": _flag}
+
+
+def _setting(s: Setting, given: Any) -> Any:
+    value = next((v for v in (given, s.default) if v not in (None, "")), None)
+    if value is None:
+        if s.required:
+            raise ValueError(f"{s.key} is required")
+        return False if s.type == "bool" else None
+    try:
+        value = CONVERT.get(s.type, str)(value)
+    except (TypeError, ValueError):
+        raise ValueError(f"{s.key} must be a {s.type}") from None
+    if s.options and s.type not in CONVERT and value not in s.options:
+        raise ValueError(f"{s.key} must be one of {', '.join(map(str, s.options))}")
+    return value
+
+
 def coerce(plugin: Plugin, given: dict[str, Any]) -> dict[str, Any]:
     """Settings as their types ask, from what a form sends; missing required ones and bad numbers are errors."""
-    out = {}
-    for s in plugin.settings:
-        value = given.get(s.key)
-        value = s.default if value is None or value == "" else value
-        if s.required and (value is None or value == ""):
-            raise ValueError(f"{s.key} is required")
-        if value is not None and s.type == "number":
-            try:
-                value = float(value)
-            except (TypeError, ValueError):
-                raise ValueError(f"{s.key} must be a number") from None
-            value = int(value) if value.is_integer() else value
-        elif s.type == "bool":
-            value = value if isinstance(value, bool) else str(value).strip().lower() in ("1", "true", "yes", "on")
-        elif value is not None:
-            value = str(value)
-            if s.options and value not in s.options:
-                raise ValueError(f"{s.key} must be one of {', '.join(map(str, s.options))}")
-        out[s.key] = value
-    return out
+    return {s.key: _setting(s, given.get(s.key)) for s in plugin.settings}
 
 
 @dataclass

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from graniq.config import SearchConfig
 from graniq.functions import scores
+from graniq.functions import vectors as V
 from graniq.operators import browse, chunking, fusion, legs, matching, records
-from graniq.plans import plugins, search
+from graniq.plans import plugins, providers, search
 from graniq.plans.default_plugins import default_registry
 from graniq.sources import corpus, files
-from graniq.streaming import ingest
+from graniq.streaming import handlers, ingest
 
 SF = "/root/testdata/sf0.001"
 MARKDOWN = "# 개요\n첫 문장이다.\n## 범위\n둘째 문장이다.\n### 세부\n셋째 문장이다.\n## 기간\n넷째 문장이다."
@@ -160,6 +161,15 @@ def test_csv(spark, tmp_path):
         files.csv_records(spark, str(f), "title")
 
 
+def test_a_node_that_lost_its_text_loses_its_chunks(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    to_nodes = lambda df: df.select(F.col("doc_id").alias("node_id"), "text")
+    for rows in ([(1, "one"), (2, "two")], [(1, "")]):
+        spark.createDataFrame(rows, "doc_id long, text string").write.mode("append").parquet(source)
+        ingest.ingest(spark, source, spark.createDataFrame([], "doc_id long, text string").schema, target, str(tmp_path / "cp"), to_nodes).awaitTermination()
+    assert [(r["node_id"], r["text"]) for r in ingest.latest(spark, target).collect()] == [(2, "two")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = corpus.table(spark, SF, "documents").select("doc_id", "text").limit(40).coalesce(1)
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
@@ -169,3 +179,27 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["node_id"], r["ordinal"], r["text"]) for r in ingest.latest(spark, target).collect()}
     want = {(r["node_id"], r["ordinal"], r["text"]) for r in ingest.chunk_table(to_nodes(spark.read.parquet(source))).collect()}
     assert got == want and got
+
+
+def test_models_and_handlers(spark):
+    parts = spark.createDataFrame([(1, "A > B", "x y"), (2, " ", "x y"), (3, None, None)], "id long, heading_path string, text string")
+    got = {r["id"]: r["embedding"] for r in providers.embedded(parts, providers.HashEmbedder(16), 20).collect()}
+    one = spark.range(1).select(V.pad(V.hash_embedding(F.lit("x y"), 16), 20).alias("v")).first()["v"]
+    assert got[2] == one != got[1] and len(got[1]) == 20
+    table = {r["id"]: r["embedding"] for r in V.hash_embeddings(parts, "id", 16).collect()}
+    assert table[1] == pytest.approx(one[:16]) and not any(table[3])
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "job_id long, kind string")
+    reg = handlers.Handlers()
+    assert {r["error"] for r in reg.dispatch(rows).collect()} == {"no handler"}
+    reg.register("a", lambda jobs: jobs.filter("job_id = 1").select("job_id", F.lit("ok").alias("result")))
+    assert {(r["job_id"], r["result"], r["error"]) for r in reg.dispatch(rows).collect()} == {(1, "ok", None), (2, None, "no handler"), (3, None, "no result")}
+    with pytest.raises(ValueError, match="already"):
+        reg.register("a", lambda jobs: jobs)
+
+
+def test_hidden_repositories_are_errors(spark):
+    repositories = spark.createDataFrame([("en", "me", "private"), ("de", "you", "private")], "repository string, owner_id string, visibility string")
+    c, n = corpus.chunks(spark, SF), corpus.nodes(spark, SF)
+    with pytest.raises(LookupError, match="de"):
+        search.search_visible(c, n, None, repositories, "me", "de la", wanted=["en", "de"])
+    assert {r["repository"] for r in search.search_visible(c, n, None, repositories, "me", "the").join(n, "node_id").collect()} <= {"en"}
