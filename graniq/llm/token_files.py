@@ -18,6 +18,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 #: Ids after which a task begins a new file.
 ROLL = 32 << 20
-#: Words whose ids a worker remembers; then it begins anew.
-REMEMBERED = 500_000
+#: Runs and words whose ids a worker remembers; then it begins anew.
+REMEMBERED = 600_000
 _FOOTER = struct.Struct("<QQQ8s")
 
 # The normalizer and pre-tokenizer of the vocabulary whose words can be encoded apart.
@@ -44,73 +45,72 @@ _WORDWISE = {
 }
 
 
-class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers.
+class Runs(dict):
+    """Ids of runs between ASCII white space, each encoded when it is first met.
 
-    Where the vocabulary's own pipeline works on each run between ASCII white space alone
-    (nothing in it looks across white space), each distinct run is encoded once and its ids
-    remembered; a run of Latin letters followed by stops is encoded as its lower-cased word
-    and the stops. Other vocabularies encode text by text.
+    A run of Latin letters followed by ASCII marks is encoded as its lower-cased word and the
+    marks, which are tokens of their own; other runs by the whole tokenizer.
     """
 
-    #: Letters that normalization leaves as they are but for case, and marks that always stand in a token of their own after them.
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?]*)")
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    #: Letters that normalization leaves as they are but for case.
+    LETTERS = "A-Za-zÀ-ÖØ-Þß-öø-ÿ"
 
-        self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        self.wordwise = all(spec[k] == v for k, v in _WORDWISE.items()) and spec["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
-        self.runs: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+    def __init__(self, tokenizer, added: list[str]):
+        super().__init__()
+        self.tokenizer, self.words = tokenizer, {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: 256 + i for i, b in enumerate(hidden)}  # bytes as letters, as byte-level vocabularies write them
+        # An apostrophe may begin a token with letters, and marks of added tokens may be parts of these.
+        marks = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'" and not any(c in t for t in added))
+        self.plain = re.compile(f"([{self.LETTERS}]+)([{re.escape(marks)}]*)").fullmatch
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def pack(self, ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
         if (ids := self.words.get(word)) is None:
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
-            written = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = self._pack([t.id for t in self.tokenizer.model.tokenize(written)])
+            written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[word] = self.pack([t.id for t in self.tokenizer.model.tokenize(written)])
+        return ids
+
+    def __missing__(self, run: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        text = run.decode("utf-8", "surrogatepass")
+        if m := self.plain(text):
+            word, marks = m.groups()
+            ids = self.word(word.lower()) + self.word(marks) if marks else self.word(word.lower())
+        else:
+            ids = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self[run] = ids
         return ids
 
-    def _learn(self, runs: set[bytes]) -> None:
-        if len(self.runs) + len(runs) > REMEMBERED:
-            self.runs.clear()
-        rest = []
-        for run in runs:
-            text = run.decode("utf-8", "surrogatepass")
-            if m := self.PLAIN.fullmatch(text):
-                self.runs[run] = self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
-            else:
-                rest.append((run, text))
-        for (run, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)):
-            self.runs[run] = self._pack(e.ids)
+
+class Encoder:
+    """Ids of whole texts, as little-endian unsigned 32-bit integers.
+
+    Where the vocabulary's own pipeline works on each run between ASCII white space alone
+    (nothing in it looks across white space), each distinct run is encoded once and its ids
+    remembered. Other vocabularies encode text by text.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        added = spec["added_tokens"]
+        self.wordwise = all(spec[k] == v for k, v in _WORDWISE.items()) and spec["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or t["content"].isalpha() for t in added)
+        self.runs = Runs(self.tokenizer, [t["content"] for t in added])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.wordwise:
-            return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split, out, at = [t.encode("utf-8", "surrogatepass").split() for t in texts], [], 0
-        while at < len(split):  # as many texts at once as surely fit in what is remembered
-            end, n = at, 0
-            while end < len(split) and (end == at or n + len(split[end]) <= REMEMBERED // 2):
-                n += len(split[end])
-                end += 1
-            seen = set().union(*split[at:end])
-            if new := seen.difference(self.runs):
-                if len(self.runs) + len(new) > REMEMBERED:
-                    self.runs.clear()
-                    new = seen
-                self._learn(new)
-            get = self.runs.__getitem__
-            out += [b"".join(map(get, words)) for words in split[at:end]]
-            at = end
-        return out
+            return [self.runs.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        get = self.runs.__getitem__
+        return [b"".join(map(get, t.encode("utf-8", "surrogatepass").split())) for t in texts]
 
 
 @functools.cache
@@ -267,8 +267,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, kind: str = "
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours, out, files = encoder(tokenizer), None, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 for doc, ids in zip(some.column(0).to_pylist(), ours.encode(texts)):
                     out = out or Writer(folder, kind, level)
