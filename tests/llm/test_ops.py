@@ -3,9 +3,12 @@
 import base64
 import collections
 import hashlib
+import io
 import math
 import re
+import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,12 +17,14 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from graniq.llm import components as components_module
 from graniq.llm import katz as lm
 from graniq.llm import media, quality, token_files, warc
 from graniq.llm.chat_format import chat_windows, escape, read_windows, unescape
 from graniq.llm.components import connect
-from graniq.llm.decontaminate import contaminated, tile
-from graniq.llm.jaccard_join import Rule, jaccard_components, keys_of
+from graniq.llm.decontaminate import contaminated, decontaminate, tile
+from graniq.llm import jaccard_join as join
+from graniq.llm.jaccard_join import Rule, jaccard_components, keep_one, keys_of
 from graniq.llm.mixing import apply_mix, mix
 from graniq.llm.queries import ORACLES, QUERIES
 from graniq.llm.url_filter import url_filter
@@ -80,11 +85,36 @@ def test_warc(spark):
         if r["record_type"] == "revisit":
             assert r["refers_to"] == 3
     assert sorted(str(r["page_id"]) for r in responses) == ["3", "4", "5", "6", "7"]
-    fields, block = warc.parse(next(m for _, m in warc.members(second.first()["path"])))
+    records = [warc.parse(m) for r in second.collect() for _, m in warc.members(r["path"])]
+    assert [f["WARC-Type"] for f, _ in records].count("warcinfo") == second.count() and second.agg(F.sum("records")).first()[0] == len(rows)
+    again = [f for f, _ in records if f["WARC-Type"] == "revisit"]
+    assert all(f["WARC-Refers-To"] == "<urn:page:3>" and f["WARC-Refers-To-Date"] > "2020" for f in again)
+    assert {f.get("WARC-Refers-To-Target-URI") for f in again} <= {None, "http://g"}
+    fields, block = next((f, b) for f, b in records if f["WARC-Type"] == "response")
     assert fields["WARC-Payload-Digest"].startswith("sha1:") and base64.b32decode(fields["WARC-Payload-Digest"][5:]) and block.startswith(b"HTTP/1.1")
     assert warc.headers(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_of_extreme_ids_and_long_pages(spark):
+    long = "z" * (3 << 20)
+    rows = [(-(2**63), "u", long), (None, "v", long), (None, "w", "y" * 1000), (-(2**63), None, "y" * 1000)]
+    first = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = warc.resolved(warc.headers(warc.deduplicate(first, warc.headers(first)))).collect()
+    assert sorted((r["url"] or "", r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got) == [("", "response", None, 1000), ("u", "response", None, 3 << 20), ("v", "revisit", -(2**63), 3 << 20), ("w", "revisit", -(2**63), 1000)]
+
+
+def test_op1_equals_brute_force(spark):
+    got = {r["page_id"]: r.asDict() for r in QUERIES["op1_warc_revisits"](spark, SF).collect()}
+    pages = {r["page_id"]: (r["html"] or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    last = {}
+    for i, p in pages.items():
+        last[p] = max(i, last.get(p, i))
+    assert set(got) == set(pages)
+    for i, p in pages.items():
+        again = len(p) >= 1000 and last[p] != i
+        assert got[i] == {"page_id": i, "payload_bytes": len(p), "payload_digest": hashlib.sha1(p).hexdigest(), "record_type": "revisit" if again else "response", "refers_to": last[p] if again else None}
+
+
 # 2
 
 
@@ -124,6 +154,43 @@ def test_jaccard_equals_brute_force(spark, w, num, den):
     assert got == components(texts, w, num, den)
 
 
+def families(seed, count=6, most=40):
+    """Chains of near copies, some with a passage that all families share."""
+    rng = np.random.default_rng(seed)
+    shared, texts = [f"p{i}" for i in range(40)], list(ODD)
+    for family in range(count):
+        own = [f"w{family}x{rng.integers(400)}" for _ in range(rng.integers(12, 90))]
+        for _ in range(rng.integers(2, most)):
+            for _ in range(rng.integers(0, 3)):
+                own[rng.integers(len(own))] = f"n{rng.integers(90)}"
+            texts.append(" ".join(own + (shared if rng.random() < 0.4 else [])))
+    texts += [" ".join([f"u{i}y{k}" for k in range(6)] + shared) for i in range(30)]
+    return texts
+
+
+@pytest.mark.parametrize(("block", "sets", "seed"), [(2000, 1000, 1), (10**6, 7, 2), (600, 3, 3)])
+def test_jaccard_of_large_families_equals_brute_force(spark, monkeypatch, block, sets, seed):
+    """Families cut into blocks, keys that several components share."""
+    monkeypatch.setattr(join, "BLOCK", block)
+    monkeypatch.setattr(join, "SETS", sets)
+    monkeypatch.setattr(join, "PIVOTS", 2)
+    monkeypatch.setattr(join, "HUGE", seed)  # families of more blocks go by keys
+    monkeypatch.setattr(join, "CHUNK", 3000)
+    monkeypatch.setattr(join, "RANGE", 2000)
+    texts = families(seed)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs_of(spark, texts).repartition(3), 3, 8, 10).collect()}
+    assert got == components(texts, 3, 8, 10)
+
+
+def test_keep_one_judges_rows(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, base, "a"), (3, base + " more", "b"), (7, "another text of this number", "c"), (9, "z y x", "d"), (9, "z y x", "d"), (None, base, "e"), (None, "nobody's own words here", "f"), (5, None, "g"), (5, "", "h"), (None, None, "i"), (None, "q r s", "j"), (None, "q r s", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").withColumns({"a": F.lit(1), "k1": F.lit("x"), "row.x": F.lit(2), "__rows": F.lit(None).cast("int")})
+    got = keep_one(docs, 5, 8, 10)
+    assert got.columns == docs.columns and sorted(r["mark"] for r in got.collect()) == list("bcdfghij")
+    assert keep_one(docs.limit(0)).count() == 0
+
+
 def test_jaccard_edges(spark):
     assert jaccard_components(docs_of(spark, ["a"]).limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None)], "doc_id long, text string")
@@ -144,9 +211,30 @@ def test_keys_share_when_similar():
             assert len(np.intersect1d(a, b))
 
 
-def test_connect(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5)], "a long, b long")
-    assert {r["v"]: r["label"] for r in connect(edges).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_connect(spark, monkeypatch, local):
+    monkeypatch.setattr(components_module, "LOCAL", local)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (2, 1)], "a long, b long")
+    assert {r["v"]: r["label"] for r in connect(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
+    assert connect(edges.limit(0)).count() == 0
+
+
+def test_connect_labels_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 200):
+        a, b = rng.integers(0, n, (2, n))
+        near = collections.defaultdict(set)
+        for x, y in zip(a.tolist(), b.tolist()):
+            near[x].add(y)
+            near[y].add(x)
+        v, label = components_module.labels_of(a, b)
+        for x, least in zip(v.tolist(), label.tolist()):
+            seen, todo = {x}, [x]
+            while todo:
+                for y in near[todo.pop()] - seen:
+                    seen.add(y)
+                    todo.append(y)
+            assert least == min(seen)
 
 
 # 3
@@ -176,6 +264,9 @@ def test_quality_edges(spark):
     out = quality.classify(docs, none)
     assert out.count() == len(ODD) and out.filter("keep").count() == len(ODD)
     assert quality.classify(docs.limit(0), none).count() == 0
+    odd = docs.withColumns({"score": F.lit(7.5), "text_score": F.lit("mine"), "x.y": F.lit(1), "row": F.lit(2)})
+    assert quality.keep_good(odd, none).columns == odd.columns and quality.keep_good(odd, none).filter("score = 7.5 AND keep = 'clash'").count() == len(ODD)
+    assert "x.y" in quality.classify(odd, none).columns
 
 
 def test_quality_learns_from_all_unlabelled_rows(spark):
@@ -219,11 +310,65 @@ def test_quality_sums_cover_every_unlabelled_row(spark):
 # 4
 
 
-def test_tiling_marks_longest_first():
-    item, doc = [1, 2, 3, 4, 5, 6], [4, 5, 6, 0, 1, 2, 3, 4]
-    at = [(i, j) for i in range(5) for j in range(7) if item[i : i + 2] == doc[j : j + 2]]
-    tiles = tile(6, 8, *(np.array(x) for x in zip(*at)), 2)
-    assert tiles == [(4, 0, 4), (2, 4, 1)]
+def naive_tiles(item, doc, least):
+    """Greedy tiling by looking at every pair of places in every round."""
+    free_a, free_b, tiles = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return tiles
+        tiles.append(best)
+        free_a[i : i + n] = [False] * n
+        free_b[j : j + n] = [False] * n
+
+
+def test_tiling_equals_naive_tiling():
+    assert tile(np.array([1, 2, 3, 4, 5, 6], np.uint64), np.array([4, 5, 6, 0, 1, 2, 3, 4], np.uint64), 2) == [(4, 0, 4), (2, 4, 1)]
+    rng = np.random.default_rng(3)
+    for k in range(150):
+        a, b = (rng.integers(1, 2 + k % 5, rng.integers(0, 25)).astype(np.uint64) for _ in range(2))
+        assert tile(a, b, 1 + k % 4) == naive_tiles(a.tolist(), b.tolist(), 1 + k % 4)
+
+
+def naive_found(docs, items, least, threshold):
+    """doc_id, item_id, covered words, tiles, longest tile of the pairs of documents and items that are found."""
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    out = set()
+    for doc, text in docs:
+        for item, asked in items:
+            a, b = split(asked), split(text)
+            tiles = naive_tiles(a, b, least) if len(a) >= least else []
+            if tiles and sum(n for n, _, _ in tiles) >= threshold * len(a):
+                out.add((doc, item, sum(n for n, _, _ in tiles), len(tiles), tiles[0][0]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("least", "threshold"), [(3, 0.5), (4, 0.8), (2, 0.3)])
+def test_decontamination_equals_naive_search(spark, least, threshold):
+    rng = np.random.default_rng(least)
+    word = lambda: f"w{int(rng.zipf(1.4)) % 60}"
+    items = [(i % 9, " ".join(word() for _ in range(rng.integers(1, 30)))) for i in range(12)]
+    docs = [(i, t) for i, t in enumerate(ODD[:-4])]
+    for i in range(40):
+        own = [word() for _ in range(rng.integers(0, 40))]
+        for _ in range(rng.integers(0, 3)):
+            asked = items[rng.integers(12)][1].split()
+            cut = rng.integers(0, len(asked) + 1)
+            at = rng.integers(0, len(own) + 1)
+            own[at:at] = asked[cut:] + [word()] * (i % 2) + asked[:cut]
+        docs.append((100 + i % 30, " ".join(own)))
+    docs += [(None, items[3][1]), (7, "a line\n" + items[4][1])]
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = contaminated(rows.repartition(3).withColumn("a", F.lit("clash")), bench, least, threshold).collect()
+    assert sorted({(r["doc_id"], r["item_id"], r["covered_words"], r["tiles"], r["longest"]) for r in got}, key=str) == naive_found(docs, items, least, threshold)
 
 
 def test_decontamination(spark):
@@ -232,11 +377,16 @@ def test_decontamination(spark):
     halves = item.split(". ")
     texts = [*ODD, f"{filler} {item} {filler}", f"{halves[1].upper()}; {filler} {halves[0]}", f"{filler} alpha beta gamma delta {filler}", filler]
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short"), (1, item)], "item_id long, text string")
-    got = sorted((r["doc_id"], r["item_id"], round(r["coverage"], 2)) for r in contaminated(docs_of(spark, texts), bench, 4, 0.5).collect())
+    docs = docs_of(spark, texts)
+    got = sorted((r["doc_id"], r["item_id"], round(r["coverage"], 2)) for r in contaminated(docs.unionByName(docs), bench, 4, 0.5).collect())
     n = len(ODD)
-    assert got == [(n, 1, 1.0)] * 2 + [(n + 1, 1, 1.0)] * 2
-    assert sorted((r["doc_id"], r["item_id"]) for r in contaminated(docs_of(spark, texts), bench, 4, 0.5, block_bytes=1).collect()) == [g[:2] for g in got]
-    assert contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
+    assert got == [(n, 1, 1.0), (n + 1, 1, 1.0)]
+    assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
+    # Rows go one by one: not another text of the same doc_id, and rows of a null doc_id as well.
+    more = docs.withColumn("doc_id", F.when(F.col("doc_id") == n, F.lit(None).cast("long")).otherwise(F.least("doc_id", F.lit(n + 1)))).withColumns({"a": F.lit("clash"), "__once": F.lit(1), "x.y": F.lit(2)})
+    kept = decontaminate(more.unionByName(more), bench, 4, 0.5)
+    assert kept.columns == more.columns and kept.count() == 2 * (len(texts) - 2)
+    assert kept.filter(f"doc_id = {n + 1}").count() == 4 and kept.filter("doc_id IS NULL").count() == 0
 
 
 # 5
@@ -265,6 +415,18 @@ def test_chat_round_trip(spark):
     assert same.filter("t <> u").isEmpty()
 
 
+def test_chat_windows_keep_the_budget(spark):
+    """A long system turn is taken off what history and targets may have."""
+    word = lambda n: "w " * (n - 4)
+    rows = [(c, t, "system" if t == 0 else ("user", "assistant")[t % 2], word(cost)) for c, cost in ((1, 300), (2, 150)) for t in range(30)]
+    rows = [(c, t, r, word(n) if t == 0 else x) for (c, t, r, x), n in zip(rows, [900] * 30 + [600] * 30)] + [(3, t, "system" if t == 0 else "user", word(3000 if t == 0 else 40)) for t in range(9)]
+    windows = chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=2048, history=512).collect()
+    for r in windows:
+        assert r["conv_id"] == 3 or r["tokens"] <= 2048
+    assert sum(r["n_turns"] - r["n_repeated"] for r in windows) == len(rows)
+    assert any(r["n_repeated"] > 1 for r in windows if r["conv_id"] == 2)
+
+
 def test_op5_equals_brute_force(spark):
     got = {r["conv_id"]: r for r in QUERIES["op5_chat_format"](spark, SF).collect()}
     by = collections.defaultdict(list)
@@ -323,16 +485,17 @@ def test_token_files_empty(spark):
 
 
 def test_url_filter(spark):
-    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("com", "/a", "block"), ("b.com", "", "allow"), ("com", "/a", "allow")]
-    urls = [None, "", "nourl", "http://x.NET/q", "https://example.net/en/1?x#y", "http://a.example.net/en", "http://net", "http://net?x/", "http://b.com/a", "http://c.com/ab#", "http://notcom/a", "http://.com/a", "ftp://b.com", "http://X.com//a"]
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("com", "/a", "block"), ("b.com", "", "allow"), ("com", "/a", "allow"), ("É.ORG", "/", "block")]
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    urls = [None, "", "nourl", "http://x.NET/q", "https://example.net/en/1?x#y", "http://a.example.net/en", "http://net", "http://net?x/", "http://b.com/a", "http://c.com/ab#", "http://notcom/a", "http://.com/a", "ftp://b.com", "http://X.com//a", "http://É.org/a", "http://x.É.Org/", "http://é.org/"]
     pages = spark.createDataFrame([(i % 12, u, "clash") for i, u in enumerate(urls * 2)], "page_id int, url string, rule string")
     got = url_filter(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
     assert got.count() == 2 * len(urls)
     for r in got.collect():
         rest = r["url"].split("://", 1)[1] if r["url"] and "://" in r["url"] else ""
         m = re.match(r"([^/?#]*)([^?#]*)", rest)
-        host, path = m[1].lower(), m[2]
-        fits = [(len(h + p), len(h), h + p, min(v for a, b, v in rules if (a, b) == (h, p))) for h, p, _ in rules if (host == h or host.endswith("." + h)) and path.startswith(p)] if host else []
+        host, path = lower(m[1]), m[2]
+        fits = [(len(h + p), len(h), lower(h) + p, min(v for a, b, v in rules if (a, b) == (h, p))) for h, p, _ in rules if (host == lower(h) or host.endswith("." + lower(h))) and path.startswith(p)] if host else []
         best = max(fits, default=(0, 0, None, "allow"))
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best[2], best[3])
     none = spark.createDataFrame([], "host string, path string, verdict string")
@@ -514,3 +677,36 @@ def test_media_retries_members_alone(spark):
     rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert [(r["member"][:1], r["attempts"], r["media"] is None, r["error"]) for r in rows] == [("0", 1, False, None), ("1", 3, False, None), ("2", 3, True, "lost")]
     assert calls["0-00000000.png"] == 1
+
+
+def test_media_damage_costs_one_member(spark, tmp_path):
+    folder = media.write_media(docs_of(spark, ["abc" * 50, "def" * 50, "ghi" * 50]).coalesce(1))
+    path = next(Path(folder.removeprefix("file://")).glob("*.zip"))
+    whole = path.read_bytes()
+    second = whole.index(b"PK\x03\x04", 4)
+    path.write_bytes(whole[:second] + b"XXXX" + whole[second + 4 :])
+    read = lambda: [r for p in media.MediaReader({"path": folder, "retries": "1"}).partitions() for b in media.MediaReader({"path": folder, "retries": "1"}).read(p) for r in b.to_pylist()]
+    assert [(r["attempts"], r["media"] is None, r["error"] is None) for r in read()] == [(1, False, True), (2, True, False), (1, False, True)]
+    path.write_bytes(whole[:second])  # cut off, and so without a directory
+    assert [(r["member"], r["media"], r["attempts"]) for r in read()] == [(None, None, 2)]
+    reader = media.MediaReader({"path": folder})
+    short = zipfile.ZipInfo("x")
+    short.header_offset = 0
+    with pytest.raises(OSError, match="no header"):
+        reader.member(io.BytesIO(b"PK"), short)
+
+
+def test_op10_equals_brute_force(spark, documents):
+    got = {r["doc_id"]: r for r in QUERIES["op10_media_archives"](spark, SF).collect()}
+    by_text = collections.defaultdict(set)
+    assert len(got) == documents.count()
+    for doc in documents.collect():
+        r, raw = got[doc["doc_id"]], (doc["text"] or "").encode()
+        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        image = media.to_png(raw)
+        x = list(padded)
+        feature = f"sum={sum(x)};squares={sum(b * b for b in x)};crossings={sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:]))}"
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(image), hashlib.sha256(image).hexdigest(), feature)
+        by_text[doc["text"]].add((r["media_sha256"], r["feature"]))
+    assert all(len(x) == 1 for x in by_text.values())
