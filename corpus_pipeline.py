@@ -8,51 +8,53 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from graniq.llm.decontaminate import contaminated
-from graniq.llm.jaccard_join import jaccard_components
+from graniq.llm.decontaminate import decontaminate
+from graniq.llm.jaccard_join import keep_one
 from graniq.llm.mixing import apply_mix
-from graniq.llm.quality import classify
+from graniq.llm.quality import keep_good
 from graniq.llm.storage import materialize
 from graniq.llm.token_files import read_tokens, write_tokens
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not in ids; those of a null doc_id stay."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["__id"], "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = classify(docs, labels).filter("keep")
-    return kept.select(*docs.columns)
+    """Documents that the classifier rejects go.
+
+    Null texts, languages and sources are judged as they are; rows are judged each by itself, so
+    repeated ids and rows stay or go one by one; an empty table stays empty; further columns are
+    handed on, whatever their names.
+    """
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with a Jaccard similarity of 0.8 or more on five words, the one with the least doc_id stays; of rows with equal doc_id and text, one."""
-    classes = materialize(jaccard_components(docs, shingle=5, num=8, den=10), "pipeline-classes")
-    kept = _without(docs, classes.filter("doc_id != component_id"))
-    twice = classes.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    again = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    """Of each component of documents with a Jaccard similarity of 0.8 or more on five words, the one with the least doc_id stays.
+
+    Rows are judged by doc_id and text: another text under the same doc_id is a document of its
+    own, a null doc_id comes last, and of rows equal in both one stays. Documents without words stay.
+    """
+    return keep_one(docs, shingle=5, num=8, den=10)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain benchmark items go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_match=4, threshold=0.5)
-    return _without(docs, found)
+    """Documents that contain at least half of a benchmark item, in tiles of four words or more, go.
+
+    Rows are judged by doc_id and text, null ids like others; null and empty texts stay.
+    """
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_match=4, threshold=0.5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: weights 3, 1, 2, 150 % of all words, at most two copies."""
+    """Documents as often as the mix of sources takes them: weights 3, 1, 2, 150 % of all words, at most two copies.
+
+    A null source is one, the last; null and empty texts have no words and stay once; equal rows
+    share their copies; further columns are handed on.
+    """
     return apply_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all rows; what is read back from them."""
+    """Token files of all rows, null texts as empty ones; what is read back from them, a row for each."""
     return read_tokens(write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
