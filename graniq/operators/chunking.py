@@ -140,10 +140,10 @@ def structure(docs: DataFrame, key: str = "node_id", target: int = 700, most: in
     place = F.row_number().over(Window.partitionBy("doc").orderBy("pos", "n")) - 1
     chunks = _packed(content, key, target, most, overlap).withColumns({"ordinal": place.cast("long"), "tokens": T.token_count(F.col("text"))}).filter(F.col("ordinal") < max_chunks)
 
-    bodies = content.groupBy("doc", "section").agg(F.concat(joined("pos", "line"), F.lit("\n")).alias("text"))
     spans = chunks.groupBy("doc", "section").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
-    opened = lines.filter("opens").select("doc", key, "section", "level", "title", "path", "parent", "page")
-    own = opened.join(spans, ["doc", "section"]).join(bodies, ["doc", "section"]).withColumn("kept", F.count("*").over(Window.partitionBy("doc")))
+    body = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x["line"]), "\n"), F.lit("\n"))
+    opened = lines.groupBy("doc", key, "section").agg(F.min_by(F.struct("level", "title", "path", "parent", "page"), "pos").alias("o"), body.alias("text")).select("doc", key, "section", "o.*", "text")
+    own = opened.join(spans, ["doc", "section"]).withColumn("kept", F.count("*").over(Window.partitionBy("doc")))
     plain = own.filter("kept > 1")
     plain = plain.select(key, F.lit("section").alias("kind"), F.col("section").alias("ordinal"), "level", "title", F.col("path").alias("heading_path"), "parent", "page", "section", "first", "last", T.token_count(F.col("text")).alias("tokens"), "text")
     divided = own.filter("kept > 1").select("doc").distinct()
