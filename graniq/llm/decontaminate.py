@@ -156,11 +156,12 @@ def _seeds_of(rows: DataFrame, bits: bytes, min_match: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+        seen = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             w = word_hashes(batch.column(2), punctuation=False)
             grams = gram_hashes(w.hashes, min_match)
-            at = np.flatnonzero(seen[grams & U64(FILTER_BITS - 1)])
+            place = (grams & U64(FILTER_BITS - 1)).astype(np.int32)
+            at = np.flatnonzero(seen[place >> 3] >> (place & 7).astype(np.uint8) & 1)
             row = np.searchsorted(w.offsets, at, side="right") - 1
             ok = at + min_match <= w.offsets[row + 1]
             if ok.any():

@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, max_bytes: int = 32 << 20) -> None:
+def bounded_batches(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
     """Bound the Arrow batches sent to Python by bytes, so that long texts don't add up."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b")) > max_bytes:
