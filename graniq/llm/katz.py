@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from graniq.llm.storage import bounded_batches, materialize
 from graniq.llm.words import U64, mix, word_hashes
 
-CHUNK, RANGE = 3_000_000, 1_000_000
+CHUNK, RANGE = 1_500_000, 1_000_000
 #: Counts above K are not discounted.
 K = 5
 END, BEGIN = U64(0x0E4D), U64(0xBE61)
@@ -101,14 +101,17 @@ class Chunk(NamedTuple):
         starts = np.cumsum(self.counts)[:-1]
         for _ in range(order - 1):
             below = levels[-1]
-            before = np.concatenate([[0], below.of[:-1]])
+            before = np.concatenate([[0], below.of[:-1]]).astype(np.int64)
             before[starts] = 0
             runs, of = np.unique(np.concatenate([[0], before << 32 | self.tokens]), return_inverse=True)  # no token is a beginning, so the first is run 0
-            history, word = runs >> 32, runs & 0xFFFFFFFF
-            lower = np.zeros(len(runs), dtype=np.int64)
-            lower[of[1:]] = below.of
+            del before
+            of = of[1:].astype(np.int32)
+            history, word = (runs >> 32).astype(np.int32), (runs & 0xFFFFFFFF).astype(np.int32)
+            del runs
+            lower = np.zeros(len(word), dtype=np.int32)
+            lower[of] = below.of
             key = _next(below.key[history], self.words[word])
-            levels.append(Grams(key, history, word, lower, of[1:], np.argsort(key)))
+            levels.append(Grams(key, history, word, lower, of, np.argsort(key).astype(np.int32)))
         return levels
 
     def learned(self) -> np.ndarray:
