@@ -7,7 +7,7 @@ Then each view is calibrated on labelled rows that neither has learned, a combin
 two calibrated views is fitted there, and all documents are scored in one pass.
 
 Labelled rows are fitted on the driver, at most ``max_labelled`` of them in order of a hash of
-doc_id: a documented, bounded sample. Unlabelled rows have no bound: their features are stored
+doc_id, repeated ids included: a documented, bounded sample. Unlabelled rows have no bound: their features are stored
 once, and each round is a pass over them that adds up what the models learn from. That is, for
 the text view, the rows of each class that hold a slot, whose log ratio is where its weights
 start and are drawn to; for the page view, the gradient and a bound of the second derivatives
@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graniq.llm.rows import columns_of
 from graniq.llm.storage import bounded_batches, forget, materialize
 from graniq.llm.words import U64, text_buffers, word_hashes
 
@@ -36,6 +37,8 @@ SHAPES = 14
 PAGE_SIZE = SHAPES + LANGS + SOURCES
 #: Documents of a stored block of features, and ranges of slots that are added up apart.
 BLOCK, RANGES = 1024, 16
+#: Values that are summed at once on the driver.
+PART = 1 << 20
 
 
 class Views(NamedTuple):
@@ -99,6 +102,23 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[offsets])
 
 
+class _Ranges:
+    """Sums over consecutive ranges of given lengths, with little memory beside the values."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.n, self.full = len(lengths), np.flatnonzero(lengths)
+        self.starts = (np.cumsum(lengths) - lengths)[self.full]
+
+    def sums(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A part of the ranges at a time."""
+        out = np.zeros(self.n)
+        cuts = [0, *(np.flatnonzero(np.diff(self.starts // PART)) + 1).tolist(), len(self.full)]
+        for low, high in zip(cuts, cuts[1:]) if len(self.full) else ():
+            first, last = self.starts[low], self.starts[high] if high < len(self.full) else len(at)
+            out[self.full[low:high]] = np.add.reduceat(values[at[first:last]], self.starts[low:high] - first)
+        return out
+
+
 class Sums(NamedTuple):
     """What a pass over the unlabelled rows found, by class 0 and 1 of the label that the other view gave.
 
@@ -118,44 +138,55 @@ def no_sums() -> Sums:
     return Sums(np.zeros((2, 1 << TEXT_BITS), np.int64), np.zeros(2, np.int64), np.zeros(2, np.int64), np.zeros((2, d)), np.zeros((2, d, d)))
 
 
-def fit_text(v: Views, rows: np.ndarray, y: np.ndarray, sums: Sums, steps: int = 120, penalty: float = 2e-4, least: int = 3) -> tuple[np.ndarray, float]:
+class Rows:
+    """Word slots of some labelled rows, laid out once for sums by row and by slot; known: the slots that occur."""
+
+    def __init__(self, v: Views, rows: np.ndarray, y: np.ndarray):
+        sizes = np.diff(v.offsets)[rows]
+        slots = np.concatenate([v.slots[v.offsets[r] : v.offsets[r + 1]] for r in rows])
+        self.y, self.by_row = y, _Ranges(sizes)
+        own = np.repeat(y > 0.5, sizes)
+        self.counts = np.array([np.bincount(slots[own == c], minlength=1 << TEXT_BITS) for c in (False, True)], dtype=np.int32)
+        del own
+        present = self.counts.any(axis=0)
+        self.known = np.flatnonzero(present)
+        self.slots = (np.cumsum(present, dtype=np.int32) - 1)[slots]
+        del slots
+        self.by_slot = _Ranges(self.counts.sum(axis=0)[self.known])
+        self.of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[np.argsort(self.slots, kind="stable")]
+
+
+def fit_text(rows: Rows, sums: Sums, steps: int = 120, penalty: float = 2e-4, least: int = 3) -> tuple[np.ndarray, float]:
     """Weights by slot and a bias: logistic regression on the presence of words in at least ``least`` rows.
 
     Where unlabelled rows of both classes were learned, weights start at and are drawn to the log ratio of a slot's
     shares of the classes, in the scale that fits the labelled rows; else to 0.
     """
-    sizes = np.diff(v.offsets)[rows]
-    slots = np.concatenate([v.slots[v.offsets[r] : v.offsets[r + 1]] for r in rows])
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    own = np.array([np.bincount(slots[(y[of] > 0.5) == c], minlength=1 << TEXT_BITS) for c in (0, 1)])
-    seen = own + sums.words
-    often = seen.sum(axis=0) >= least
-    ok = often[slots]
-    known, of = np.flatnonzero(often), of[ok]
-    slots = (np.cumsum(often, dtype=np.int32) - 1)[slots[ok]]
-    at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(rows)))])
-    w, bias = np.zeros(len(known)), 0.0
+    y, known = rows.y, rows.known
+    often = (rows.counts.sum(axis=0) + sums.words.sum(axis=0)) >= least
+    out, bias = np.zeros(1 << TEXT_BITS), 0.0
     if sums.n_words.all():
         n = sums.n_words + [(y <= 0.5).sum(), (y > 0.5).sum()]
-        share = np.log((seen[:, known] + 0.5) / (n[:, None] + 1))
-        ratio = share[1] - share[0]
-        z = _sums(ratio[slots], at)
+        for c, sign in ((0, -1), (1, 1)):
+            out += sign * np.log((rows.counts[c] + sums.words[c] + 0.5) / (n[c] + 1))
+        out[~often] = 0
+        z = rows.by_row.sums(out[known], rows.slots)
         size = max(1.0, float(np.abs(z).mean()))
         slope, bias = fit_dense(z[:, None] / size, y)
-        w, bias = max(0.0, slope) / size * ratio, float(bias)
+        out *= max(0.0, slope) / size
+    w, bias, free = out[known], float(bias), often[known]
     middle = w.copy()
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
     for k in range(1, steps + 1):
-        e = (sigmoid(_sums(w[slots], at) + bias) - y) * weight
-        g, gb = np.bincount(slots, weights=e[of], minlength=len(known)) + penalty * (w - middle), e.sum()
+        e = (sigmoid(rows.by_row.sums(w, rows.slots) + bias) - y) * weight
+        g, gb = (rows.by_slot.sums(e, rows.of) + penalty * (w - middle)) * free, e.sum()
         m, s, mb, sb = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
         fix1, fix2 = 1 - 0.9**k, 1 - 0.99**k
         w -= 0.1 * (m / fix1) / (np.sqrt(s / fix2) + 1e-8)
         bias -= 0.1 * (mb / fix1) / (np.sqrt(sb / fix2) + 1e-8)
-    out = np.zeros(1 << TEXT_BITS)
     out[known] = w
-    return out, float(bias)
+    return out.astype(np.float32), float(bias)
 
 
 def fit_dense(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 30, balanced: bool = True, more: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -225,9 +256,9 @@ def co_train(v: Views, y: np.ndarray, learn_from: Callable[[list[Model]], Sums],
     for c in (0, 1):  # both classes in both parts
         held[np.flatnonzero(y == c)[::3]] = True
     learn, check = np.flatnonzero(~held), np.flatnonzero(held)
-    models, sums, page = [], no_sums(), None
+    models, sums, page, rows = [], no_sums(), None, Rows(v, learn, y[learn])
     for k in range(rounds + 1):
-        words, bias = fit_text(v, learn, y[learn], sums)
+        words, bias = fit_text(rows, sums)
         page = fit_page(v, learn, y[learn], sums, page)
         model = Model(words, bias, page, np.ones((2, 2)), np.zeros(4))
         z = model.logits(v)
@@ -305,7 +336,7 @@ _PARTS = "part int, sums binary"
 
 def _learn_from(blocks: DataFrame, models: list[Model], sure: float) -> Sums:
     """The sums of all blocks: each task's are added up by ranges of slots (part 0 on) and, for all else, in part -1."""
-    shared = blocks.sparkSession.sparkContext.broadcast([m._replace(words=m.words.astype(np.float32)) for m in models])
+    shared = blocks.sparkSession.sparkContext.broadcast(models)
 
     def table(parts: list[tuple[int, np.ndarray]], kind: type) -> pa.RecordBatch | pa.Table:
         packed = [_planes(x, "<i8" if part >= 0 else "<f8") for part, x in parts]
@@ -353,10 +384,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, rounds: in
             packed = [v.slots[a:b].astype("<i4").tobytes() for a, b in zip(v.offsets, v.offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array([p.astype("<f4").tobytes() for p in v.pages], pa.binary())], names=["doc_id", "y", "slots", "page"])
 
-    rows = sorted(chosen.mapInArrow(featurize, "doc_id long, y double, slots binary, page binary").collect(), key=lambda r: (r["doc_id"], r["slots"], r["page"]))
-    rows = sorted(rows, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15) % 2**64)
-    slots = [np.frombuffer(r["slots"], dtype="<i4") for r in rows]
-    v = Views(np.concatenate([np.zeros(0, np.int32), *slots]), np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64), np.array([np.frombuffer(r["page"], dtype="<f4") for r in rows], dtype=np.float64).reshape(-1, PAGE_SIZE))
+    # A labelled id may be that of many rows; the sample is one of rows, so its bound is theirs.
+    rows = chosen.mapInArrow(featurize, "doc_id long, y double, slots binary, page binary").orderBy(by_hash, "doc_id", "slots", "page").limit(max_labelled).toArrow()
+    rows = rows.take(np.argsort(rows["doc_id"].to_numpy().astype(np.uint64) * U64(0x9E3779B97F4A7C15), kind="stable"))
+    y, slots = rows["y"].to_numpy(), [np.frombuffer(s.as_buffer(), dtype="<i4") for c in rows["slots"].chunks for s in c]
+    pages = np.array([np.frombuffer(p.as_buffer(), dtype="<f4") for c in rows["page"].chunks for p in c], dtype=np.float64).reshape(-1, PAGE_SIZE)
+    v = Views(np.concatenate([np.zeros(0, np.int32), *slots]), np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64), pages)
+    del rows, slots
+    pa.default_memory_pool().release_unused()
     blocks: list[DataFrame] = []
 
     def learn_from(models: list[Model]) -> Sums:
@@ -364,7 +399,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, rounds: in
             blocks.append(_unlabelled(docs, known))
         return _learn_from(blocks[0], models, sure)
 
-    model = co_train(v, np.array([r["y"] for r in rows], dtype=np.float64), learn_from, rounds)
+    model = co_train(v, y, learn_from, rounds)
     for table in blocks:
         forget(table)
     return model
@@ -374,29 +409,42 @@ def _page_columns(docs: DataFrame) -> list:
     return [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """All rows of ``docs`` with text_score, page_score, score and keep (score >= threshold).
+#: What the classifier adds to a row.
+SCORES = "text_score double, page_score double, score double, keep boolean"
 
-    docs: doc_id, text, and lang and source where it has them. Null or empty texts are
-    scored by the page view and the text model's bias. Columns of these names are replaced.
-    """
+
+def _scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """row (the row of ``docs`` as it is) and, beside it, SCORES."""
     bounded_batches(docs.sparkSession)
-    new = ["text_score", "page_score", "score", "keep"]
-    kept = [c for c in docs.columns if c not in new]
-    rows = docs.select(*kept, *[c.alias(f"__{i}") for i, c in enumerate([F.col("text"), *_page_columns(docs)])])
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), *_page_columns(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, both = shared.value.scores(_views_of(batch, len(kept)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(a), pa.array(b), pa.array(both), pa.array(both >= threshold)], names=[*kept, *new])
+            a, b, both = shared.value.scores(views(batch.column(0).field("text"), batch.column(1), batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= threshold)], names=["row", *(x.split()[0] for x in SCORES.split(", "))])
+
+    schema = rows.select("row").schema
+    for name, kind in (x.split() for x in SCORES.split(", ")):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(run, schema)
 
-    schema = rows.select(*kept).schema
-    for c in new[:3]:
-        schema = schema.add(c, "double")
-    return rows.mapInArrow(run, schema.add("keep", "boolean"))
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """All rows of ``docs`` with text_score, page_score, score and keep (score >= threshold).
+
+    docs: doc_id, text, and lang and source where it has them. Null or empty texts are
+    scored by the page view and the text model's bias. Columns of these names are replaced.
+    """
+    new = [x.split()[0] for x in SCORES.split(", ")]
+    return _scored(docs, model, threshold).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *new)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """Fit on the labelled sample and all unlabelled rows, then score all documents."""
     return score(docs, fit(docs, labels, **how))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns and none of its own, whatever their names."""
+    return _scored(docs, fit(docs, labels, **how), threshold).filter("keep").select(*[F.col("row")[c].alias(c) for c in docs.columns])
