@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniq.llm.rows import columns_of
+from graniq.llm.rows import columns_of, possible
 from graniq.llm.storage import bounded_batches, forget, materialize
 from graniq.llm.words import U64, text_buffers, word_hashes
 
@@ -306,11 +306,15 @@ def _from_planes(raw: bytes, kind: str) -> np.ndarray:
 
 def _unlabelled(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Features of all rows whose doc_id is not in ``known``, null ids among them, in blocks: slots (as steps), counts, page."""
-    # Null ids meet nothing; with keys of their texts they don't meet in one task either.
-    spread = lambda i, text: F.xxhash64(i.cast("string"), F.when(i.isNull(), text))
-    rows = docs.select("doc_id", "text", *_page_columns(docs)).withColumn("__key", spread(F.col("doc_id"), F.col("text")))
-    ids = known.select(F.col("doc_id").alias("__id"), spread(F.col("doc_id"), F.lit("")).alias("__hash"))
-    rest = rows.join(ids, (rows["__key"] == ids["__hash"]) & (rows["doc_id"] == ids["__id"]), "left_anti").select("text", "lang", "source")
+    # A bitmap of labelled ids tells most rows that have none; of the others only ids are joined, and no texts.
+    key = F.xxhash64("doc_id").alias("a")
+    rows = docs.select("doc_id", "text", *_page_columns(docs))
+    keyed = rows.filter("doc_id IS NOT NULL").select("*", key)
+    asked, others = possible(keyed, known.select(key))
+    false = materialize(asked.select("doc_id").distinct().join(known.select("doc_id"), "doc_id", "left_anti"), "quality-ids")
+    met = possible(asked, false.select(key))[0].join(false, "doc_id", "left_semi")
+    parts = [x.select("text", "lang", "source") for x in (others, met, rows.filter("doc_id IS NULL"))]
+    rest = parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
