@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graniq.functions import ranks as R
 from graniq.functions import text as T
 from graniq.functions import vectors as V
 
@@ -55,25 +56,17 @@ def section_leg(chunks: DataFrame, sections: DataFrame, vector: Column, grams: l
     return _ranked(kept, F.col("srank"), F.col("within")).select("chunk_id", "score", "rnk")
 
 
-def lexical_score(tokens: Column, wanted: list[str]) -> Column:
-    """A saturating term frequency, summed over the query's tokens in order; for ranking only."""
-    total = F.lit(0.0)
-    for w in wanted:
-        tf = F.size(F.filter(tokens, F.lit(w).__eq__)).cast("double")
-        total = total + tf / (tf + 1)
-    return total
-
-
 def lexical_leg(chunks: DataFrame, query_tokens: list[str], n: int = 24) -> DataFrame:
-    """Chunks with all tokens of the query; none for a query without tokens."""
+    """Chunks with all tokens of the query, by the rank over the tokens' places; none for a query without tokens."""
     wanted = list(dict.fromkeys(query_tokens))
     if not wanted:
         return chunks.select("chunk_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rnk")).limit(0)
-    tokens = T.words(F.col("text"))
     has_all = F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), F.col("tokens"))) == 0
-    found = chunks.select("chunk_id", tokens.alias("tokens")).filter(has_all).select("chunk_id", lexical_score(F.col("tokens"), wanted).alias("score"))
+    found = chunks.select("chunk_id", T.words(F.col("text")).alias("tokens")).filter(has_all)
+    at = lambda w: R.places(F.filter(F.transform("tokens", lambda x, i: F.when(x == w, i + 1)), lambda i: i.isNotNull()))
+    ranked = found.select("chunk_id", F.array(*[at(w) for w in wanted]).alias("words")).select("chunk_id", R.rank(F.col("words")).alias("score"))
     order = F.col("score").desc(), F.col("chunk_id")
-    return _ranked(found.orderBy(*order).limit(n), *order)
+    return _ranked(ranked.orderBy(*order).limit(n), *order)
 
 
 def trigram_leg(chunks: DataFrame, grams: list[str], terms: list[str], n: int = 24) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniq.config import SearchConfig
@@ -10,17 +10,17 @@ from graniq.functions import text as T
 from graniq.operators import browse, fusion, legs
 
 
-def query_parts(chunks: DataFrame, query: str) -> tuple[list[str], list[str], list[str]]:
+def query_parts(spark: SparkSession, query: str) -> tuple[list[str], list[str], list[str]]:
     """Terms, tokens and trigrams of one query, by the same expressions that columns use."""
     q = F.lit(query)
-    row = chunks.sparkSession.range(1).select(T.query_terms(q).alias("terms"), F.array_distinct(T.words(q)).alias("tokens"), T.trigrams(q).alias("grams")).first()
+    row = spark.range(1).select(T.query_terms(q).alias("terms"), F.array_distinct(T.words(q)).alias("tokens"), T.trigrams(q).alias("grams")).first()
     return row["terms"], row["tokens"], row["grams"]
 
 
 def candidate_legs(chunks: DataFrame, nodes: DataFrame, sections: DataFrame | None, query: str, vector: Column | None, cfg: SearchConfig) -> dict[str, DataFrame]:
     """The legs that apply: without a query vector the lexical ones, without terms no substring legs."""
     cfg = cfg.resolved()
-    terms, tokens, grams = query_parts(chunks, query)
+    terms, tokens, grams = query_parts(chunks.sparkSession, query)
     out = {}
     if vector is not None:
         out["vector"] = legs.vector_leg(chunks, vector, cfg.per_leg, cfg.min_vector_score)
@@ -48,13 +48,19 @@ def search(chunks: DataFrame, nodes: DataFrame, sections: DataFrame | None, quer
     return best.select("place", "node_id", "first", "ordinals", "legs", F.round("score", 4).alias("score"), "text")
 
 
-def search_visible(chunks: DataFrame, nodes: DataFrame, sections: DataFrame | None, repositories: DataFrame, user: str, query: str, vector: Column | None = None, cfg: SearchConfig | None = None, wanted: list[str] | None = None, admin: bool = False) -> DataFrame:
-    """A search over all repositories (repository, owner_id, visibility) that a user may see, of those wanted where a list is given; an unknown or hidden one among them is an error."""
+def visible_names(repositories: DataFrame, user: str, wanted: list[str] | None = None, admin: bool = False) -> list[str]:
+    """The repositories (repository, owner_id, visibility) that a user may see, or those wanted; an unknown or hidden one among them is an error."""
     own = sorted(r["repository"] for r in browse.visible(repositories, user, admin).select("repository").distinct().collect())
     if wanted is not None:
         if hidden := set(wanted) - set(own):
             raise LookupError(f"no such repository: {', '.join(sorted(hidden))}")
         own = wanted
+    return own
+
+
+def search_visible(chunks: DataFrame, nodes: DataFrame, sections: DataFrame | None, repositories: DataFrame, user: str, query: str, vector: Column | None = None, cfg: SearchConfig | None = None, wanted: list[str] | None = None, admin: bool = False) -> DataFrame:
+    """A search over all repositories (repository, owner_id, visibility) that a user may see, of those wanted where a list is given; an unknown or hidden one among them is an error."""
+    own = visible_names(repositories, user, wanted, admin)
     return search(chunks, nodes, sections, query, vector, cfg, repositories=own)
 
 

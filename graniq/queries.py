@@ -12,9 +12,10 @@ from graniq.config import SearchConfig
 from graniq.functions import scores as S
 from graniq.functions import text as T
 from graniq.functions import vectors as V
-from graniq.operators import browse, chunking, fusion, legs, matching, ops, records
-from graniq.plans import providers
+from graniq.operators import browse, cells, chunking, fusion, index, legs, matching, ops, records
+from graniq.plans import many, providers
 from graniq.plans import search as plans
+from graniq.plans import stored
 from graniq.sources import corpus, files, sinks
 from graniq.streaming import handlers, ingest, queue
 
@@ -40,19 +41,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return corpus.table(spark, d, name)
 
 
-def _vector(spark: SparkSession, d: str) -> Column:
-    """The query's vector, that of vec_id 0, as a literal."""
-    row = _t(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()
-    return F.array(*[F.lit(float(x)) for x in row[0]])
-
-
-def _legs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return plans.candidate_legs(corpus.embedded_chunks(spark, d), corpus.nodes(spark, d), corpus.sections(spark, d), Q.QUERY, _vector(spark, d), CFG)
+def _vector(spark: SparkSession, d: str) -> list[float]:
+    """The query's vector, that of vec_id 0."""
+    return [float(x) for x in _t(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0]]
 
 
 def _leg(name: str):
     def leg(spark: SparkSession, d: str) -> DataFrame:
-        return _legs(spark, d)[name].select("chunk_id", "rnk", F.round("score", 6).alias("score"))
+        return stored.candidate_legs(stored.of_tables(spark, d), Q.QUERY, _vector(spark, d), CFG, names=[name])[name].select("chunk_id", "rnk", F.round("score", 6).alias("score"))
 
     leg.__name__ = f"leg_{name}"
     return query(f"WITH {Q.CHUNKS}, {Q.LEGS} SELECT chunk_id, rnk, round(score, 6) AS score FROM leg_{name}")(leg)
@@ -63,11 +59,11 @@ for _name in ("vector", "section", "lexical", "trigram", "path"):
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.fuse(_legs(spark, d), CFG)
+    return stored.fused(stored.of_tables(spark, d), Q.QUERY, _vector(spark, d), CFG)
 
 
 def _passages(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.expand(_fused(spark, d), corpus.chunks(spark, d), CFG.neighbor_window)
+    return stored.passages(stored.of_tables(spark, d), _fused(spark, d), CFG)
 
 
 @query(f"WITH {Q.CHUNKS}, {Q.LEGS}, {Q.FUSED} SELECT chunk_id, round(score, 8) AS score, array_to_string(list_transform(leg_list, lambda x: ['vector', 'section', 'lexical', 'trigram', 'path'][x + 1]), ',') AS legs FROM fused")
@@ -93,7 +89,14 @@ def context_budget(spark, d):
 
 @query(f"WITH {Q.CHUNKS}, {Q.LEGS}, {Q.FUSED}, {Q.PASSAGES}, {Q.PLACED}, {Q.BUDGET.format(18000)} SELECT place, node_id, first, round(score, 4) AS score, text FROM fitted")
 def hybrid_search(spark, d):
-    found = plans.search(corpus.embedded_chunks(spark, d), corpus.nodes(spark, d), corpus.sections(spark, d), Q.QUERY, _vector(spark, d))
+    return stored.search(stored.of_tables(spark, d), Q.QUERY, _vector(spark, d)).select("place", "node_id", "first", "score", "text")
+
+
+@query(f"WITH {Q.CHUNKS}, {Q.LEGS}, {Q.FUSED}, {Q.PASSAGES}, {Q.PLACED}, {Q.BUDGET.format(18000)} SELECT place, node_id, first, round(score, 4) AS score, text FROM fitted")
+def hybrid_search_scan(spark, d):
+    """The same search without an index: every leg scans the chunks."""
+    vector = F.array(*[F.lit(x) for x in _vector(spark, d)])
+    found = plans.search(corpus.embedded_chunks(spark, d), corpus.nodes(spark, d), corpus.sections(spark, d), Q.QUERY, vector)
     return found.select("place", "node_id", "first", "score", "text")
 
 
@@ -104,27 +107,89 @@ def context_block(spark, d):
     return fusion.context_block(found.withColumns({"heading_path": F.lit(""), "page": F.lit(None).cast("int")}))
 
 
-@query(rf"""WITH {Q.CHUNKS}, w AS (SELECT item_id AS query_id, unnest(list_distinct({Q.WORDS})) AS token FROM benchmark),
-need AS (SELECT query_id, count(*) AS need FROM w GROUP BY 1),
-i AS (SELECT chunk_id, token, count(*)::DOUBLE AS tf FROM (SELECT chunk_id, unnest({Q.WORDS}) AS token FROM c) GROUP BY 1, 2),
-f AS (SELECT query_id, chunk_id, count(*) AS have, sum(round(tf / (tf + 1), 9)::DECIMAL(20, 9))::DOUBLE AS score FROM i JOIN w USING (token) GROUP BY 1, 2),
-r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rnk FROM f JOIN need USING (query_id) WHERE have = need)
-SELECT query_id, chunk_id, round(score, 6) AS score, rnk FROM r WHERE rnk < 24""")
-def batch_search(spark, d):
-    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return legs.batch_lexical(corpus.chunks(spark, d), asked).withColumn("score", F.round("score", 6))
-
-
 _PARTICLE = "CASE " + " ".join(f"WHEN ends_with(w, '{p}') AND length(w) > {len(p) + 1} THEN left(w, length(w) - {len(p)})" for p in T.PARTICLES) + " ELSE w END"
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
-@query(rf"""SELECT item_id, array_to_string(list_slice(list_filter(u, lambda x, i: list_position(u, x) = i), 1, 8), ' ') AS terms FROM (
-  SELECT item_id, list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2), lambda w: {_PARTICLE}), lambda w: length(w) >= 2 AND w NOT IN ({_STOP})) AS u FROM benchmark)""")
+_TERMS = rf"""(SELECT list_slice(list_filter(u, lambda x, i: list_position(u, x) = i), 1, 8) FROM (SELECT list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2), lambda w: {_PARTICLE}), lambda w: length(w) >= 2 AND w NOT IN ({_STOP})) AS u))"""
+
+
+@query(f"SELECT item_id, array_to_string({_TERMS}, ' ') AS terms FROM benchmark")
 def query_terms(spark, d):
     return _t(spark, d, "benchmark").select("item_id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
 
 
+@query(rf"""WITH {Q.CHUNKS}, q AS (SELECT item_id AS query_id, list_distinct({Q.WORDS}) AS w FROM benchmark), x AS (SELECT chunk_id, {Q.WORDS} AS cw FROM c),
+f AS (SELECT query_id, chunk_id, {Q.rank("p")} AS score FROM (SELECT query_id, chunk_id, list_transform(w, lambda t: {Q.places("cw", "t")}) AS p FROM x, q WHERE len(w) > 0 AND list_has_all(cw, w)))
+SELECT query_id, chunk_id, score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rnk FROM f) WHERE rnk < 24""")
+def batch_search(spark, d):
+    """Whole benchmark items as queries by words: the chunks that have all words of an item."""
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return many.lexical(stored.of_tables(spark, d), asked, 24).select("query_id", "chunk_id", "score", "rnk")
+
+
+_QUESTIONS = r"SELECT item_id AS query_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text, embedding::DOUBLE[] AS v FROM benchmark LEFT JOIN embeddings ON vec_id = item_id"
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as questions, each with the vector of its number."""
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vectors, "query_id", "left")
+
+
+@query(f"WITH {Q.many(_QUESTIONS, _TERMS, 6)} SELECT query_id, place, node_id, first, round(score, 4) AS score, md5(text) AS text_md5 FROM fitted")
+def search_many(spark, d):
+    """All benchmark items as questions through all legs at once."""
+    found = many.search(stored.of_tables(spark, d), _questions(spark, d), SearchConfig(top_k=6))
+    return found.select("query_id", "place", "node_id", "first", "score", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"""WITH {Q.many(_QUESTIONS, _TERMS, 6)},
+e AS (SELECT query_id, '[검색된 문서 발췌]' || chr(10) || string_agg(chr(10) || '[' || place || '] ' || ltrim(n.path, '/') || chr(10) || text, chr(10) ORDER BY place) AS context, count(*) AS n, string_agg(n.path || ':' || md5(left(text, 400)), ' ' ORDER BY place) AS cites FROM fitted JOIN nodes n USING (node_id) GROUP BY 1)
+SELECT item_id AS query_id, md5(coalesce(context, '')) AS context_md5, coalesce(n, 0) AS n, coalesce(cites, '') AS cites FROM benchmark LEFT JOIN e ON query_id = item_id""")
+def evidence_many(spark, d):
+    """What a model is shown, and may cite, for each of all benchmark items."""
+    got = many.evidence(stored.of_tables(spark, d), _questions(spark, d))
+    cites = F.array_join(F.transform("citations", lambda c: F.concat(c["path"], F.lit(":"), F.md5(c["quote"].cast("binary")))), " ")
+    return got.select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.size("citations").cast("long").alias("n"), cites.alias("cites"))
+
+
+@query(rf"""WITH {Q.CHUNKS}, x AS (SELECT chunk_id, {Q.WORDS} AS w FROM c), t AS (SELECT chunk_id, unnest(list_distinct(w)) AS word, w FROM x), n AS (SELECT word, len(list_filter(w, lambda y: y = word)) AS n FROM t)
+SELECT word, count(*) AS chunks, least(max(n), 255)::INT AS most, sum(least(n, 255))::BIGINT AS places FROM n GROUP BY 1""")
+def index_words(spark, d):
+    """The index of words, written anew: what it holds of each word, from its postings and its heads."""
+    own = index.build(corpus.chunks(spark, d), corpus.nodes(spark, d))
+    places = own.table("postings").groupBy("word").agg(F.sum(F.size("places")).alias("places"))
+    return own.table("heads").groupBy("word").agg(F.sum("chunks").alias("chunks"), F.max("most").alias("most")).join(places, "word")
+
+
+@query(rf"""WITH {Q.CHUNKS} SELECT gram AS word, count(*) AS chunks, 'chunk' AS kind FROM (SELECT unnest({Q.trigrams('text')}) AS gram FROM c) GROUP BY 1
+UNION ALL SELECT gram, count(*), 'path' FROM (SELECT unnest({Q.trigrams('path')}) AS gram FROM nodes) GROUP BY 1""")
+def index_grams(spark, d):
+    """What the index of trigrams holds of each, for chunks and for paths."""
+    own = stored.of_tables(spark, d).index
+    return own.table("gram_list").withColumn("kind", F.lit("chunk")).unionByName(own.table("path_gram_list").withColumn("kind", F.lit("path")))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM v a, v b WHERE a.vec_id % 100 = 0)
+SELECT query_id, id, round(s, 6) AS score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) - 1 AS rnk FROM s) WHERE rnk < 24""")
+def vector_cells(spark, d):
+    """Nearest neighbours of the vectors whose id is divisible by 100 among all, by the cells of an index built anew, exactly."""
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return cells.nearest(cells.build(v), v.filter("id % 100 = 0"), 24, exact=True).select("query_id", "id", F.round("score", 6).alias("score"), "rnk")
+
+
+@query()
+def vector_recall(spark, d):
+    """The same approximately: per query, how many of its exact 24 nearest are found by codes and exact re-ranking."""
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    own, asked = cells.build(v), v.filter("id % 100 = 0")
+    right = cells.nearest(own, asked, 24, exact=True).select("query_id", "id")
+    found = cells.nearest(own, asked, 24).select("query_id", "id", F.lit(1).alias("hit"))
+    return right.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("nearest"), F.count("hit").alias("found"))
+
+
 @query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents),
 b AS (SELECT doc_id, ('0x' || left(md5(w), 7))::BIGINT % 256 AS bucket, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT doc_id, bucket, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM b""")
@@ -797,7 +862,8 @@ _VISIBLE = Q.CHUNKS.replace("FROM documents", "FROM (SELECT * FROM documents WHE
 def multi_repository_search(spark, d):
     """A search over what a user may see: own repositories and shared ones."""
     repositories = spark.createDataFrame([("en", "me", "private"), ("fr", "you", "shared"), ("de", "you", "private"), ("es", "them", "private")], "repository string, owner_id string, visibility string")
-    found = plans.search_visible(corpus.embedded_chunks(spark, d), corpus.nodes(spark, d), corpus.sections(spark, d), repositories, "me", Q.QUERY, _vector(spark, d))
+    own = plans.visible_names(repositories, "me")
+    found = stored.search(stored.of_tables(spark, d), Q.QUERY, _vector(spark, d), repositories=own)
     return found.select("place", "node_id", "first", "score", "text")
 
 
