@@ -1,8 +1,12 @@
 """Texts to sections and chunks, as a plan over the table of lines.
 
 Pages, headings and their paths are windows over a text's lines; a heading's place in the path
-has a closed form. Lines are packed by a native fold over their token counts, and sections and
-their synthesis are aggregations. Only a chunk beyond the byte cap meets Python, to be cut.
+has a closed form. Sections and their synthesis are aggregations. Which chunk a line belongs to
+depends on all lines before it: the numbers of a text's lines go through one pass in Python, which
+is linear in them, and so does a chunk beyond the byte cap, to be cut.
+
+The table of lines and that of chunks are written once, in the shared folder: texts have a number
+there that all branches agree on, whatever is computed again.
 """
 
 from __future__ import annotations
@@ -10,9 +14,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from graniq.functions import text as T
+from graniq.sources import store
 
 # Limits of chunks and sections, and the marks of pages and headings.
 MAX_BYTES, MAX_CHUNKS, SECTION_CHUNKS, BODY = 7000, 4000, 6, "본문"
@@ -39,6 +44,40 @@ def _cut(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else by_bytes(t))
 
 
+def filled(sections: list[int], weights: list[int], alone: list[bool], target: int) -> list[int]:
+    """The number of the chunk of each line: a line joins the open chunk unless that would exceed the target, a section begins, or one of both stands alone."""
+    out, part, open_, section, before = [], 0, 0, None, False
+    for s, w, own in zip(sections, weights, alone):
+        new = s != section or own or before or (open_ > 0 and open_ + w > target)
+        part, open_, section, before = part + new, w if new else open_ + w, s, own
+        out.append(part)
+    return out
+
+
+def runs_of(pages: list[int | None]) -> list[int]:
+    """The number of the run of each chunk: by page, two at least before a new page begins one."""
+    out, run, length, before = [], -1, 2, -1
+    for p in pages:
+        page = -2 if p is None or p != p else int(p)
+        new = length >= 2 and page != before
+        run, length, before = run + new, 1 if new else length + 1, page
+        out.append(run)
+    return out
+
+
+def _filled(sections: Column, weights: Column, alone: Column, target: int) -> Column:
+    @F.pandas_udf(ArrayType(LongType()))
+    def number(s: pd.Series, w: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([filled(x.tolist(), y.tolist(), z.tolist(), target) for x, y, z in zip(s, w, a)])
+
+    return number(sections, weights, alone)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _runs_of(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: runs_of(p.tolist()))
+
+
 def windows(line: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` tokens of a text, each repeating ``overlap`` of the one before, as an array; what is between tokens is kept."""
     tokens = F.regexp_extract_all(line, F.lit(rf"({T.TOKEN})\s*"), F.lit(0))
@@ -91,15 +130,8 @@ def _packed(content: DataFrame, key: str, target: int, most: int, overlap: int)
     """doc, key, section, path, page, pos, n, text: the pieces of all texts, in order of pos, n."""
     weight = T.token_count(F.col("line"))
     line = F.struct("pos", "line", "section", "path", "page", "after", weight.alias("w"), (weight > most).alias("long"))
-    start = F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("open"), F.lit(-1).cast("long").alias("section"), F.lit(False).alias("long"), F.array().cast("array<bigint>").alias("parts"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (x["section"] != s["section"]) | x["long"] | s["long"] | ((s["open"] > 0) & (s["open"] + x["w"] > target))
-        part = s["part"] + F.when(new, 1).otherwise(0)
-        return F.struct(part.alias("part"), F.when(new, x["w"]).otherwise(s["open"] + x["w"]).alias("open"), x["section"].alias("section"), x["long"].alias("long"), F.array_append(s["parts"], part).alias("parts"))
-
     rows = content.groupBy("doc", key).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    parts = F.aggregate("lines", start, step, lambda s: s["parts"])
+    parts = _filled(F.col("lines.section"), F.col("lines.w"), F.col("lines.long"), target)
     each = rows.select("doc", key, F.explode(F.arrays_zip("lines", parts.alias("part"))).alias("x")).select("doc", key, "x.lines.*", "x.part")
     # A chunk has the page in force where the next line ends it; a long line stands for itself.
     whole = each.groupBy("doc", key, "part").agg(
@@ -117,16 +149,8 @@ def _runs(chunks: DataFrame, key: str) -> DataFrame:
     """Chunks of a text with the number of their run: by page, two at least before a new page begins one; without pages in runs of six."""
     c = F.struct("ordinal", "page", "tokens", "text", "path")
     rows = chunks.groupBy("doc", key).agg(F.array_sort(F.collect_list(c)).alias("chunks"))
-    start = F.struct(F.lit(-1).cast("long").alias("run"), F.lit(2).alias("length"), F.lit(-1).alias("page"), F.array().cast("array<bigint>").alias("runs"))
-
-    def step(s: Column, x: Column) -> Column:
-        page = F.coalesce(x["page"], F.lit(-2))
-        new = (s["length"] >= 2) & (page != s["page"])
-        run = s["run"] + F.when(new, 1).otherwise(0)
-        return F.struct(run.alias("run"), F.when(new, 1).otherwise(s["length"] + 1).alias("length"), page.alias("page"), F.array_append(s["runs"], run).alias("runs"))
-
     paged = F.exists("chunks", lambda x: F.coalesce(x["page"], F.lit(0)) > 0)
-    runs = F.when(paged, F.aggregate("chunks", start, step, lambda s: s["runs"])).otherwise(F.transform("chunks", lambda x: F.floor(x["ordinal"] / SECTION_CHUNKS)))
+    runs = F.when(paged, _runs_of(F.col("chunks.page"))).otherwise(F.transform("chunks", lambda x: F.floor(x["ordinal"] / SECTION_CHUNKS)))
     return rows.select("doc", key, F.explode(F.arrays_zip("chunks", runs.alias("run"))).alias("x")).select("doc", key, "x.chunks.*", "x.run")
 
 
@@ -135,10 +159,12 @@ def structure(docs: DataFrame, key: str = "node_id", target: int = 700, most: in
 
     A null or blank text has none; no sections but a single one are replaced by synthetic ones.
     """
-    lines = marked_lines(docs, key)
+    spark = docs.sparkSession
+    lines = store.written(marked_lines(docs, key), store.folder(spark, "lines"))
     content = lines.filter("NOT head")
     place = F.row_number().over(Window.partitionBy("doc").orderBy("pos", "n")) - 1
     chunks = _packed(content, key, target, most, overlap).withColumns({"ordinal": place.cast("long"), "tokens": T.token_count(F.col("text"))}).filter(F.col("ordinal") < max_chunks)
+    chunks = store.written(chunks, store.folder(spark, "chunks"))
 
     spans = chunks.groupBy("doc", "section").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
     body = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x["line"]), "\n"), F.lit("\n"))
@@ -162,26 +188,22 @@ def structure(docs: DataFrame, key: str = "node_id", target: int = 700, most: in
 
 
 def pack_lines(docs: DataFrame, key: str, target: int = 700) -> DataFrame:
-    """Chunks of texts without headings, by a native fold: key, ordinal, tokens, text.
+    """Chunks of texts without headings: key, ordinal, tokens, text. Keys are distinct.
 
     A line joins the open chunk unless that would exceed the target; blank chunks are dropped.
-    The fold gives each line the number of its chunk, then lines of a number are joined.
+    Each line gets the number of its chunk, then lines of a number are joined within the text's row.
     """
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    weighed = F.transform(lines, lambda x: F.struct(x.alias("line"), T.token_count(x).alias("w")))
-    start = F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("open"), F.array().cast("array<bigint>").alias("parts"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["open"] > 0) & (s["open"] + x["w"] > target)
-        part = s["part"] + F.when(full, 1).otherwise(0)
-        return F.struct(part.alias("part"), F.when(full, x["w"]).otherwise(s["open"] + x["w"]).alias("open"), F.array_append(s["parts"], part).alias("parts"))
-
-    parts = F.aggregate("weighed", start, step, lambda s: s["parts"])
-    rows = docs.select(key, weighed.alias("weighed")).withColumn("parts", parts)
-    each = rows.select(key, F.posexplode(F.arrays_zip("weighed", "parts")).alias("pos", "x")).select(key, "pos", F.col("x.weighed.line").alias("line"), F.col("x.parts").alias("part"))
-    text = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
-    packed = each.groupBy(key, "part").agg(text.alias("text")).filter("text != ''")
-    return packed.groupBy(key).agg(F.collect_list(F.struct("part", "text")).alias("all")).select(key, F.posexplode(F.transform(F.array_sort("all"), lambda x: x["text"])).alias("ordinal", "text")).select(key, F.col("ordinal").cast("long"), T.token_count(F.col("text")).alias("tokens"), "text")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    rows = docs.select(key, lines.alias("lines")).withColumn("w", F.transform("lines", T.token_count))
+    none = F.transform("w", lambda _: F.lit(False))
+    each = rows.select(key, "lines", _filled(F.transform("w", lambda _: F.lit(0)), F.col("w"), none, target).alias("parts"))
+    # Where a chunk begins: lines whose number is not that of the line before.
+    starts = F.filter(F.transform("parts", lambda p, i: F.when((i == 0) | (p != F.element_at("parts", F.greatest(i, F.lit(1)))), i + 1)), lambda i: i.isNotNull())
+    cut = each.select(key, "lines", starts.alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("lines") + 1))
+    texts = F.transform(F.arrays_zip("starts", ends.alias("ends")), lambda x: _stripped(F.array_join(F.slice("lines", x["starts"], x["ends"] - x["starts"]), "\n")))
+    packed = cut.select(key, F.posexplode(F.filter(texts, lambda t: t != "")).alias("ordinal", "text"))
+    return packed.select(key, F.col("ordinal").cast("long"), T.token_count(F.col("text")).alias("tokens"), "text")
 
 
 def sliding(text: Column, size: int, overlap: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graniq.config import LEGS, SearchConfig
 from graniq.functions import text as T
+from graniq.sources import store
 
 
 def fuse(legs: dict[str, DataFrame], cfg: SearchConfig, by: tuple[str, ...] = ()) -> DataFrame:
@@ -90,5 +91,5 @@ def context_block(passages: DataFrame, heading: str = "[검색된 문서 발췌]
 def citations(found: DataFrame) -> DataFrame:
     """Numbers of passages over several searches (search, place, node_id, ordinals): each passage keeps that of its first appearance."""
     once = found.groupBy("node_id", "ordinals").agg(F.min(F.struct("search", "place")).alias("at"))
-    numbered = once.withColumn("number", F.row_number().over(Window.orderBy("at", "node_id")).cast("long"))
-    return numbered.select("number", "node_id", "ordinals", F.col("at.search").alias("search"), F.col("at.place").alias("place"))
+    numbered = store.numbered(once.select("at.search", "at.place", "node_id", "ordinals"), ["search", "place", "node_id"])
+    return numbered.select("number", "node_id", "ordinals", "search", "place")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +14,8 @@ from graniq.operators import browse, cells, chunking, fusion, index, legs, match
 from graniq.plans import many, providers
 from graniq.plans import search as plans
 from graniq.plans import stored
-from graniq.sources import corpus, files, sinks
-from graniq.streaming import handlers, ingest, queue
+from graniq.sources import corpus, files, sinks, store
+from graniq.streaming import handlers, ingest, leases, queue
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -244,8 +242,13 @@ _TOKENS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-@query(rf"""WITH RECURSIVE l AS (
-  SELECT doc_id, pos, rtrim(CASE WHEN doc_id % 3 <> 0 AND pos % 17 = 3 THEN repeat('#', (1 + (pos * 7) % 4)::INT) || ' Part ' || pos WHEN pos % 23 = 11 THEN '[page ' || pos || ']' ELSE x END, {_WS}) AS line
+_MARKED = "CASE WHEN doc_id % 3 <> 0 AND pos % 17 = 3 THEN repeat('#', (1 + (pos * 7) % 4)::INT) || ' Part ' || pos WHEN pos % 23 = 11 THEN '[page ' || pos || ']' ELSE x END"
+
+
+def _structure_sql(mark: str) -> str:
+    """SQL of the sections and chunks of all documents, their lines as ``mark`` makes them of x at pos."""
+    return rf"""WITH RECURSIVE l AS (
+  SELECT doc_id, pos, rtrim({mark}, {_WS}) AS line
   FROM (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))
 ), a AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\[page \d+\]$') THEN regexp_extract(line, '\[page (\d+)\]', 1)::INT END AS number FROM l),
 b AS (SELECT *, last_value(number IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS page,
@@ -274,28 +277,33 @@ paths AS (
     SELECT *, unnest(range(0, ceil((len(x) - 200) / 180)::INT * 180 + 1, 180)) AS i FROM (SELECT *, regexp_extract_all(raw, '([\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}])\s*') AS x FROM g WHERE long))
 ), ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, i) - 1 AS ordinal, {_TOKENS.format('text')} AS tokens FROM t WHERE text <> ''),
 s AS (
-  SELECT *, count(*) OVER (PARTITION BY doc_id) AS kept FROM (SELECT doc_id, section, min(ordinal) AS first FROM ch GROUP BY 1, 2)
+  SELECT *, count(*) OVER (PARTITION BY doc_id) AS kept FROM (SELECT doc_id, section, min(ordinal) AS first, max(ordinal) AS last FROM ch GROUP BY 1, 2)
   JOIN (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS text, any_value(path) AS path FROM n GROUP BY 1, 2) USING (doc_id, section)
   JOIN (SELECT doc_id, section, page AS page FROM d WHERE head OR lead) USING (doc_id, section)
-), single AS (SELECT ch.*, max(page) OVER (PARTITION BY doc_id) AS paged FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE kept > 1)),
+), opened AS (SELECT doc_id, section, level, CASE WHEN head THEN regexp_extract(line, '^#+\s+(.*)$', 1) ELSE '본문' END AS title FROM d WHERE head OR lead),
+o AS (SELECT *, (SELECT max(u.section) FROM opened u WHERE u.doc_id = x.doc_id AND u.section < x.section AND u.level < x.level) AS parent FROM opened x),
+single AS (SELECT ch.*, max(page) OVER (PARTITION BY doc_id) AS paged FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE kept > 1)),
 runs AS (
   SELECT doc_id, ordinal, page, 0 AS run, 1 AS size FROM single WHERE ordinal = 0
   UNION ALL
   SELECT c.doc_id, c.ordinal, c.page, CASE WHEN c.paged IS NULL THEN c.ordinal // 6 WHEN r.size >= 2 AND c.page IS DISTINCT FROM r.page THEN r.run + 1 ELSE r.run END, CASE WHEN r.size >= 2 AND c.page IS DISTINCT FROM r.page THEN 1 ELSE r.size + 1 END
   FROM runs r JOIN single c ON c.doc_id = r.doc_id AND c.ordinal = r.ordinal + 1
 ), made AS (
-  SELECT doc_id, run, first(page ORDER BY ordinal) FILTER (page > 0) AS p, last(page ORDER BY ordinal) FILTER (page > 0) AS q, sum(tokens)::BIGINT AS tokens, string_agg(text, chr(10) ORDER BY ordinal) AS text FROM single JOIN (SELECT doc_id, ordinal, run FROM runs) USING (doc_id, ordinal) GROUP BY 1, 2
+  SELECT doc_id, run, first(page ORDER BY ordinal) FILTER (page > 0) AS p, last(page ORDER BY ordinal) FILTER (page > 0) AS q, min(ordinal) AS first, max(ordinal) AS last, sum(tokens)::BIGINT AS tokens, string_agg(text, chr(10) ORDER BY ordinal) AS text FROM single JOIN (SELECT doc_id, ordinal, run FROM runs) USING (doc_id, ordinal) GROUP BY 1, 2
 ), named AS (SELECT *, CASE WHEN p IS NULL THEN '본문 ' || (run + 1) WHEN p = q THEN 'p.' || p ELSE 'p.' || p || '–' || q END AS title FROM made)
-SELECT doc_id AS node_id, 'section' AS kind, section::BIGINT AS ordinal, section::BIGINT AS section, page, path AS heading_path, {_TOKENS.format('text')} AS tokens, md5(text) AS text_md5 FROM s WHERE kept > 1
-UNION ALL SELECT doc_id, 'chunk', ordinal, section::BIGINT, page, path, tokens, md5(text) FROM ch WHERE doc_id IN (SELECT doc_id FROM s WHERE kept > 1)
-UNION ALL SELECT doc_id, 'section', run, run, p, title, tokens, md5(text) FROM named
-UNION ALL SELECT doc_id, 'chunk', ordinal, run, page, CASE WHEN path <> '' THEN path ELSE title END, single.tokens, md5(single.text) FROM single JOIN (SELECT doc_id, ordinal, run FROM runs) USING (doc_id, ordinal) JOIN named USING (doc_id, run)""")
+SELECT s.doc_id AS node_id, 'section' AS kind, s.section::BIGINT AS ordinal, s.section::BIGINT AS section, page, path AS heading_path, {_TOKENS.format('text')} AS tokens, md5(text) AS text_md5, o.level::INT AS level, o.title, o.parent::BIGINT AS parent, first, last FROM s JOIN o USING (doc_id, section) WHERE kept > 1
+UNION ALL SELECT doc_id, 'chunk', ordinal, section::BIGINT, page, path, tokens, md5(text), NULL, NULL, NULL, NULL, NULL FROM ch WHERE doc_id IN (SELECT doc_id FROM s WHERE kept > 1)
+UNION ALL SELECT doc_id, 'section', run, run, p, title, tokens, md5(text), 1, title, NULL, first, last FROM named
+UNION ALL SELECT doc_id, 'chunk', ordinal, run, page, CASE WHEN path <> '' THEN path ELSE title END, single.tokens, md5(single.text), NULL, NULL, NULL, NULL, NULL FROM single JOIN (SELECT doc_id, ordinal, run FROM runs) USING (doc_id, ordinal) JOIN named USING (doc_id, run)"""
+
+
+@query(_structure_sql(_MARKED))
 def chunk_structure(spark, d):
     """Sections and chunks of all documents, with headings and page marks in place of some lines."""
     mark = lambda x, i: F.when((F.col("doc_id") % 3 != 0) & (i % 17 == 3), F.concat(F.repeat(F.lit("#"), 1 + (i * 7) % 4), F.lit(" Part "), i.cast("string"))).when(i % 23 == 11, F.concat(F.lit("[page "), i.cast("string"), F.lit("]"))).otherwise(x)
     docs = _t(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n").alias("text"))
     parts = chunking.structure(docs, "doc_id", target=120, most=200, overlap=20)
-    return parts.select(F.col("doc_id").alias("node_id"), "kind", "ordinal", "section", "page", "heading_path", "tokens", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return parts.select(F.col("doc_id").alias("node_id"), "kind", "ordinal", "section", "page", "heading_path", "tokens", F.md5(F.col("text").cast("binary")).alias("text_md5"), "level", "title", "parent", "first", "last")
 
 
 @query(rf"""WITH RECURSIVE l AS (
@@ -913,12 +921,49 @@ def model_classify(spark, d):
     return providers.classify(rows, "record_id", TAXONOMY, model).select("record_id", F.array_join("labels", " | ").alias("labels"))
 
 
-@query(f"WITH {Q.CHUNKS} SELECT node_id, count(*) AS n_chunks FROM c GROUP BY 1")
+@query(f"SELECT node_id, ordinal, section, tokens, text_md5 FROM ({_structure_sql('x')}) WHERE kind = 'chunk'")
 def stream_ingest(spark, d):
-    """All documents through the file stream, a chunk per line: the table that it leaves."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
-    own = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """All documents through the file stream: the chunks that it leaves."""
+    own = store.folder(spark, "stream")
     docs = _t(spark, d, "documents")
-    to_nodes = lambda batch: batch.select(F.col("doc_id").alias("node_id"), F.array_join(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(r"\S"))), lambda x, i: F.concat(F.lit("# h"), i.cast("string"), F.lit("\nx"))), "\n").alias("text"))
-    ingest.ingest(spark, d, docs.schema, own, f"{own}-checkpoint", to_nodes, files="documents.parquet").awaitTermination()
-    return ingest.latest(spark, own).groupBy("node_id").agg(F.count("*").alias("n_chunks"))
+    to_nodes = lambda batch: batch.select(F.col("doc_id").alias("node_id"), "text")
+    ingest.ingest(spark, d, docs.schema, own, f"{own}-checkpoint", to_nodes, files="documents.parquet", sizes={"target": 120, "most": 200, "overlap": 20}).awaitTermination()
+    return ingest.latest(spark, own).select("node_id", "ordinal", "section", "tokens", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_STREAM_EVENTS = """e AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY moment, job_id) AS k FROM (
+    SELECT event_id AS job_id, CASE WHEN event_id % 11 = 0 THEN 'job:' || event_id ELSE 'key:' || event_type || '-' || user_id END AS key,
+      ['enqueue', 'enqueue', 'claim', 'finish', 'fail', 'claim', 'enqueue'][(event_id % 7 + 1)::INT] AS action, make_timestamp(1704067200000000 + (epoch_us(ts) - 1704067200000000) // 200) AS moment, (event_id % 4) * 60 AS delay_s FROM events)
+)"""
+
+
+@query(f"""WITH RECURSIVE {_STREAM_EVENTS},
+fold AS (
+  SELECT key, 0::BIGINT AS k, NULL::BIGINT AS was, NULL::VARCHAR AS ws, 0 AS wa, NULL::BIGINT AS job, NULL::VARCHAR AS s, 0 AS a, NULL::TIMESTAMP AS run_at, NULL::TIMESTAMP AS locked FROM e WHERE k = 1
+  UNION ALL
+  SELECT key, k, job, x, a,
+    CASE WHEN opens THEN job_id ELSE job END,
+    CASE WHEN opens THEN 'queued' WHEN takes THEN 'running' WHEN ends THEN 'done' WHEN fails THEN (CASE WHEN a >= 2 THEN 'dead' ELSE 'queued' END) ELSE x END,
+    CASE WHEN opens THEN 0 WHEN takes THEN a + 1 ELSE a END,
+    CASE WHEN opens THEN moment + to_seconds(delay_s) WHEN fails AND a < 2 THEN moment + to_seconds(least(600, 5 * pow(2, a))::BIGINT) ELSE run_at END,
+    CASE WHEN takes THEN moment WHEN opens OR ends OR fails THEN NULL ELSE locked END
+  FROM (
+    SELECT *, action = 'enqueue' AND (x IS NULL OR x IN ('done', 'dead')) AS opens, coalesce(action = 'claim' AND x = 'queued' AND run_at <= moment, false) AS takes, coalesce(action = 'finish' AND x = 'running', false) AS ends, coalesce(action = 'fail' AND x = 'running', false) AS fails FROM (
+      SELECT e.key, e.k, e.job_id, e.action, e.moment, e.delay_s, f.job, f.a, f.run_at, f.locked, CASE WHEN f.s = 'running' AND f.locked + INTERVAL 20 MINUTES < e.moment THEN (CASE WHEN f.a >= 2 THEN 'dead' ELSE 'queued' END) ELSE f.s END AS x FROM fold f JOIN e ON e.key = f.key AND e.k = f.k + 1))
+), told AS (
+  SELECT was AS job_id, 2 * k AS n, ws AS status, wa AS attempts, NULL::TIMESTAMP AS locked FROM fold WHERE was IS NOT NULL UNION ALL SELECT job, 2 * k + 1, s, a, locked FROM fold WHERE job IS NOT NULL
+), last AS (SELECT job_id, arg_max(status, n) AS status, arg_max(attempts, n) AS attempts, max_by(coalesce(locked, TIMESTAMP '2100-01-01'), n) AS locked FROM told GROUP BY 1)
+SELECT job_id, CASE WHEN status = 'running' AND locked + INTERVAL 20 MINUTES < (SELECT max(moment) - INTERVAL 10 MINUTES FROM e) THEN (CASE WHEN attempts >= 2 THEN 'dead' ELSE 'queued' END) ELSE status END AS status, attempts::INT AS attempts FROM last""")
+def job_stream(spark, d):
+    """The queue as a stream with leases by timers, over all events as changes of jobs: the last state of each job."""
+    n = F.col("event_id")
+    action = F.element_at(F.array(*[F.lit(a) for a in ("enqueue", "enqueue", "claim", "finish", "fail", "claim", "enqueue")]), (n % 7 + 1).cast("int"))
+    begin = 1_704_067_200_000_000
+    at = F.timestamp_micros(F.lit(begin) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - begin) / 200))
+    key = F.when(n % 11 > 0, F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")))
+    source = spark.readStream.schema(_t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = source.select(n.alias("job_id"), key.alias("dedupe_key"), action.alias("action"), at.alias("at"), n.alias("seq"), F.lit(2).alias("max_attempts"), (n % 4 * 60).alias("delay_s"))
+    own = store.folder(spark, "queue")
+    leases.changes(events, own, f"{own}-checkpoint").awaitTermination()
+    return leases.current(spark, own).select("job_id", "status", "attempts")

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -30,3 +31,17 @@ def written(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     out = df.write.option("compression", "zstd")
     (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "number", first: int = 1) -> DataFrame:
+    """Rows with their number in a total order.
+
+    Rows are ranged and sorted, and written with their place in their range; the counts of the ranges, a row for
+    each, give the numbers that come before. So no task sees all rows, as a window over all of them would.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(placed, folder(rows.sparkSession, "numbered")).withColumn("__range", F.shiftright("__at", 33))
+    ranges = placed.groupBy("__range").agg(F.min("__at").alias("__from"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = ranges.select("__range", (before - F.col("__from") + first).alias("__shift"))
+    return placed.join(shift, "__range").withColumn(name, F.col("__at") + F.col("__shift")).drop("__at", "__range", "__shift")
