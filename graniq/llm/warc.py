@@ -7,6 +7,11 @@ into the shared folder and return a manifest row for each; only archives in the
 Resolution reads the headers, shuffles them by payload digest, takes the original of each
 digest, and joins the others to it. Each archive is then rewritten by one streaming task
 that knows the revisits of that archive: payloads are never shuffled.
+
+Archives may come from elsewhere. Revisits in them stay revisits: they are joined to the original of
+the digest that they name, and keep what they say of it where no such payload is in the input.
+Records that are neither responses nor revisits are handed on as they are. So resolving twice
+gives what resolving once does.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from pyspark.sql import functions as F
 from graniq.llm.storage import bounded_batches, materialize, open_fs, shared_dir
 
 MANIFEST = "path string, records long, bytes long"
-HEADERS = "path string, offset long, page_id long, url string, date string, record_type string, refers_to long, payload_bytes long, payload_digest string"
-_HEADERS = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+HEADERS = "path string, offset long, page_id long, url string, date string, record_type string, refers_to long, payload_bytes long, payload_digest string, name string"
+_HEADERS = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("name", pa.string())])
 _MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL = 96 << 20
@@ -42,21 +47,30 @@ def _plain(text: str | None) -> str | None:
 
 
 class Original(NamedTuple):
-    """What a revisit says of the record that it refers to."""
+    """What a revisit says of the record that it refers to; null where it says nothing."""
 
-    page_id: int | None
+    name: str | None
     url: str | None
-    date: str
+    date: str | None
+
+
+#: Names of the fields that are read, whatever their case in the archive.
+_FIELDS = {n.lower(): n for n in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Refers-To-Date", "WARC-Refers-To-Target-URI", "WARC-Profile", "Content-Length")}
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
 def _now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _member(lines: list[str], block: bytes) -> bytes:
+def _packed(raw: bytes) -> bytes:
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(raw) + packer.flush()
+
+
+def _member(lines: list[str], block: bytes) -> bytes:
     head = "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""])
-    return packer.compress(head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n") + packer.flush()
+    return _packed(head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n")
 
 
 def info(name: str) -> bytes:
@@ -65,19 +79,35 @@ def info(name: str) -> bytes:
     return _member(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {_now()}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], block)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, date: str, refers_to: Original | None = None) -> bytes:
-    """A record as a gzip member; a revisit, which refers to an original, has the HTTP header of its payload and no payload. date: of the capture."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    name = lambda i: f"<urn:page:{'null' if i is None else i}>"
-    lines = [f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
+def page_name(page_id: int | None) -> str:
+    """The id of a page's record; rows with the same page_id have the same."""
+    return f"<urn:page:{'null' if page_id is None else page_id}>"
+
+
+def record(name: str, url: str | None, head: bytes, payload: bytes, digest: str | None, date: str, refers_to: Original | None = None, profile: str = PROFILE) -> bytes:
+    """A record as a gzip member; a revisit, which refers to an original, has the HTTP header and no payload. digest: as the field has it; date: of the capture."""
+    lines = [f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_uri(url)}")
-    lines.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}")
+    if digest is not None:
+        lines.append(f"WARC-Payload-Digest: {digest}")
     if refers_to:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to.page_id)}", f"WARC-Refers-To-Date: {refers_to.date}"]
-        if refers_to.url is not None:
-            lines.append(f"WARC-Refers-To-Target-URI: {_uri(refers_to.url)}")
-    return _member([*lines, "Content-Type: application/http;msgtype=response"], http if refers_to else http + payload)
+        lines.append(f"WARC-Profile: {profile}")
+        told = [("WARC-Refers-To", refers_to.name), ("WARC-Refers-To-Date", refers_to.date), ("WARC-Refers-To-Target-URI", _uri(refers_to.url))]
+        lines += [f"{field}: {value}" for field, value in told if value is not None]
+    return _member([*lines, "Content-Type: application/http;msgtype=response"], head if refers_to else head + payload)
+
+
+def sha1_field(payload: bytes) -> str:
+    return f"sha1:{base64.b32encode(hashlib.sha1(payload).digest()).decode()}"
+
+
+def _digest(text: str | None) -> str | None:
+    """A payload's digest as bare hex where it is a SHA-1, in base 32 or 16; of another kind as it is."""
+    kind, _, value = (text or "").partition(":")
+    if kind.lower() != "sha1":
+        return text
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -86,10 +116,24 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     version, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(line.split(": ", 1) for line in lines)
+    fields: dict[str, str] = {}
+    last = ""
+    for line in lines:
+        if line[:1] in " \t" and last:  # a value goes on in the next line
+            fields[last] += " " + line.strip()
+            continue
+        field, _, value = line.partition(":")
+        last = _FIELDS.get(field.strip().lower(), field.strip())
+        fields[last] = value.strip()
     return fields, rest[: int(fields["Content-Length"])]
 
 
+def _parted(block: bytes) -> tuple[bytes, bytes]:
+    """HTTP header, with the blank line after it, and payload of a response's block."""
+    head, mark, payload = block.partition(b"\r\n\r\n")
+    return (head + mark, payload) if mark else (b"", block)
+
+
 def members(path: str) -> Iterator[tuple[int, bytes]]:
     """Offset and content of every gzip member, one at a time."""
     fs, where = open_fs(path)
@@ -109,9 +153,10 @@ def members(path: str) -> Iterator[tuple[int, bytes]]:
             data = unpack.unused_data or file.read(1 << 20)
 
 
-def _id(text: str | None) -> int | None:
-    inner = (text or "null")[len("<urn:page:") : -1] if text else "null"
-    return None if inner == "null" else int(inner)
+def _id(name: str | None) -> int | None:
+    """The page_id that a record's id names; none in archives from elsewhere."""
+    inner = name[len("<urn:page:") : -1] if name and name.startswith("<urn:page:") else "null"
+    return int(inner) if inner.lstrip("-").isdigit() else None
 
 
 def read_headers(paths: Iterator[str]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +167,13 @@ def read_headers(paths: Iterator[str]) -> Iterator[pa.RecordBatch]:
             fields, block = parse(raw)
             if fields["WARC-Type"] not in ("response", "revisit"):
                 continue
-            payload = block.partition(b"\r\n\r\n")[2]
             if fields["WARC-Type"] == "revisit":
-                size, digest = None, base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
+                size, digest = None, _digest(fields.get("WARC-Payload-Digest"))
             else:
+                payload = _parted(block)[1]
                 size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-            rows.append((path, offset, _id(fields["WARC-Record-ID"]), _plain(fields.get("WARC-Target-URI")), fields["WARC-Date"], fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), size, digest))
+            name = fields["WARC-Record-ID"]
+            rows.append((path, offset, _id(name), _plain(fields.get("WARC-Target-URI")), fields["WARC-Date"], fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), size, digest, name))
             if len(rows) == 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _HEADERS)], schema=_HEADERS)
                 rows = []
@@ -176,7 +222,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         for batch in batches:
             for key, link, text in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = (text or "").encode("utf-8", "surrogatepass")
-                out.add(record(key, link, payload, hashlib.sha1(payload).digest(), _now()))
+                out.add(record(page_name(key), link, HTTP % len(payload), payload, sha1_field(payload), _now()))
         yield from out.manifest()
 
     rows = pages.select(F.col(page_id).cast("long"), F.col(url), F.col(html))
@@ -199,24 +245,32 @@ def headers(manifest: DataFrame) -> DataFrame:
 
 
 def resolve(heads: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """Revisits: path, offset, refers_to (page_id, url and date of the original). Of records with equal payloads of at least min_bytes, that with the largest page_id stays (nulls are least; of these, the first by path and offset).
+    """What becomes of records: path, offset, refers_to (name, url and date of the original).
+
+    Of responses with equal payloads of at least min_bytes, that with the largest page_id stays
+    (nulls are least; of these, the first by path and offset), and the others become revisits of it.
+    Revisits of the input refer to the response, of any size, that stays of the digest which they name;
+    those whose digest no response has are not in the table.
 
     Only digests that occur twice meet the join; counting them is combined before the
     shuffle, and a digest that many records share is split by the adaptive skew join.
     """
-    own = heads.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes))
     place = F.struct((-F.hash("path").cast("long")).alias("h"), F.col("path"), (-F.col("offset")).alias("o"))
-    best = own.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", place.alias("p"), "url", "date")).alias("best"), F.count("*").alias("n")).filter("n > 1")
-    both = own.join(best, ["payload_digest", "payload_bytes"])
+    response = F.col("record_type") == "response"
+    best = heads.filter(F.col("payload_digest").isNotNull()).groupBy("payload_digest").agg(F.max(F.when(response, F.struct("page_id", place.alias("p"), "name", "url", "date"))).alias("best"), F.count("*").alias("n"))
+    best = best.filter("n > 1 AND best IS NOT NULL").select("payload_digest", "best")
+    own = heads.filter(~response | (F.col("payload_bytes") >= min_bytes)).select("path", "offset", "payload_digest")
+    both = own.join(best, "payload_digest")
     again = both.filter(~((F.col("path") == F.col("best.p.path")) & (F.col("offset") == -F.col("best.p.o"))))
-    return again.select("path", "offset", F.struct(F.col("best.page_id").alias("page_id"), F.col("best.url").alias("url"), F.col("best.date").alias("date")).alias("refers_to"))
+    return again.select("path", "offset", F.struct("best.name", "best.url", "best.date").alias("refers_to"))
 
 
 def deduplicate(manifest: DataFrame, heads: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """Write the archives anew, revisits without payload, all with fresh headers; their manifest.
 
     A header is made from the record's id, uri and capture date, its payload's digest computed anew,
-    and of a revisit what its original says. A task gets an archive's path and its revisits, at most
+    and of a revisit what its original says. Revisits of the input keep their digest and profile, and what they say of an
+    original that isn't in the input. Records of other types are copied. A task gets an archive's path and its revisits, at most
     as many as the archive has records.
     """
     spark = manifest.sparkSession
@@ -224,17 +278,27 @@ def deduplicate(manifest: DataFrame, heads: DataFrame, min_bytes: int = 1000) ->
     revisits = resolve(heads, min_bytes).groupBy("path").agg(F.collect_list(F.struct("offset", "refers_to")).alias("revisits"))
     plan = manifest.select("path").join(revisits, "path", "left")
 
+    def fresh(raw: bytes, original: Original | None) -> bytes | None:
+        fields, block = parse(raw)
+        if fields["WARC-Type"] == "warcinfo":  # each archive has its own
+            return None
+        if fields["WARC-Type"] not in ("response", "revisit"):
+            return _packed(raw)
+        head, payload = _parted(block)
+        told = fields["WARC-Record-ID"], _plain(fields.get("WARC-Target-URI")), head, payload
+        if fields["WARC-Type"] == "response":
+            return record(*told, sha1_field(payload), fields["WARC-Date"], original)
+        said = Original(fields.get("WARC-Refers-To"), _plain(fields.get("WARC-Refers-To-Target-URI")), fields.get("WARC-Refers-To-Date"))
+        return record(*told, fields.get("WARC-Payload-Digest"), fields["WARC-Date"], original or said, fields.get("WARC-Profile", PROFILE))
+
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Archive(folder)
         for batch in batches:
             for path, revisits in zip(*(c.to_pylist() for c in batch.columns)):
                 target = {r["offset"]: Original(**r["refers_to"]) for r in revisits or []}
                 for offset, raw in members(path):
-                    fields, block = parse(raw)
-                    if fields["WARC-Type"] == "warcinfo":
-                        continue
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    out.add(record(_id(fields["WARC-Record-ID"]), _plain(fields.get("WARC-Target-URI")), payload, hashlib.sha1(payload).digest(), fields["WARC-Date"], target.get(offset)))
+                    if (member := fresh(raw, target.get(offset))) is not None:
+                        out.add(member)
         yield from out.manifest()
 
     return materialize(_spread(spark, plan.select("path", "revisits"), manifest.count()).mapInArrow(rewrite, MANIFEST), "warc-dedup-manifest")
