@@ -14,8 +14,8 @@ from graniq.operators import browse, cells, chunking, fusion, index, legs, match
 from graniq.plans import many, providers
 from graniq.plans import search as plans
 from graniq.plans import stored
-from graniq.sources import corpus, files, sinks, store
-from graniq.streaming import handlers, ingest, leases, queue
+from graniq.sources import corpus, files, sinks, store, versions
+from graniq.streaming import handlers, ingest, joins, leases, queue
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -960,10 +960,50 @@ def job_stream(spark, d):
     n = F.col("event_id")
     action = F.element_at(F.array(*[F.lit(a) for a in ("enqueue", "enqueue", "claim", "finish", "fail", "claim", "enqueue")]), (n % 7 + 1).cast("int"))
     begin = 1_704_067_200_000_000
-    at = F.timestamp_micros(F.lit(begin) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - begin) / 200))
+    at = F.timestamp_micros(F.lit(begin) + F.floor((F.unix_micros("ts") - begin) / 200))
     key = F.when(n % 11 > 0, F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")))
-    source = spark.readStream.schema(_t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    events = source.select(n.alias("job_id"), key.alias("dedupe_key"), action.alias("action"), at.alias("at"), n.alias("seq"), F.lit(2).alias("max_attempts"), (n % 4 * 60).alias("delay_s"))
+    events = _event_stream(spark, d).select(n.alias("job_id"), key.alias("dedupe_key"), action.alias("action"), at.alias("at"), n.alias("seq"), F.lit(2).alias("max_attempts"), (n % 4 * 60).alias("delay_s"))
     own = store.folder(spark, "queue")
     leases.changes(events, own, f"{own}-checkpoint").awaitTermination()
     return leases.current(spark, own).select("job_id", "status", "attempts")
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    source = spark.readStream.schema(_t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return source.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM e),
+g AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 6 HOURS AS b, count(*) AS n, round(sum(value), 3) AS total FROM s GROUP BY user_id, s.n)
+SELECT user_id, epoch_us(a)::BIGINT AS begin_us, epoch_us(b)::BIGINT AS end_us, n, total FROM g WHERE b <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""")
+def session_windows(spark, d):
+    """An extension: sessions of users as a stream gives them, those that the last watermark has closed."""
+    own = store.folder(spark, "sessions")
+    found = joins.sessions(_event_stream(spark, d), "user_id", "6 hours")
+    joins.batches(found, own, f"{own}-checkpoint").awaitTermination()
+    return joins.given(spark, own, found).select("user_id", F.unix_micros("begin").alias("begin_us"), F.unix_micros("end").alias("end_us"), "n", F.round("total", 3).alias("total"))
+
+
+@query("""WITH l AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view'), r AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click'),
+j AS (SELECT l.user_id, l.event_id AS left_id, r.event_id AS right_id FROM l LEFT JOIN r ON r.user_id = l.user_id AND r.ts BETWEEN l.ts AND l.ts + INTERVAL 12 HOURS),
+m AS (SELECT least((SELECT max(ts) FROM l), (SELECT max(ts) FROM r)) - INTERVAL 10 MINUTES AS mark)
+SELECT j.* FROM j JOIN l ON event_id = left_id, m WHERE right_id IS NOT NULL OR l.ts + INTERVAL 12 HOURS < mark""")
+def stream_interval_join(spark, d):
+    """An extension: views with the clicks of their user within twelve hours, as two streams joined; views without one once none can come."""
+    own = store.folder(spark, "interval")
+    side = lambda kind, name: _event_stream(spark, d).filter(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name))
+    found = joins.within(side("view", "left_id"), side("click", "right_id"), "user_id", "12 HOURS", how="left_outer")
+    joins.batches(found, own, f"{own}-checkpoint").awaitTermination()
+    return joins.given(spark, own, found).select("user_id", "left_id", "right_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN upper(source) ELSE source END AS source, md5(text) AS text_md5, version FROM documents, (SELECT unnest([1, 2]) AS version) WHERE version = 2 AND doc_id % 10 <> 7 OR version = 2 AND doc_id % 10 = 7 UNION ALL SELECT doc_id, source, md5(text), 1 FROM documents WHERE doc_id % 10 <> 7")
+def upload_versions(spark, d):
+    """Uploads that replace in place: most documents, then those of two endings, one of them new; both versions read back."""
+    docs, own = _t(spark, d, "documents").select("doc_id", "source", "text"), store.folder(spark, "uploads")
+    versions.overwrite(docs.filter("doc_id % 10 <> 7"), own, ["doc_id"], 16)
+    again = docs.filter("doc_id % 10 IN (3, 7)").withColumn("source", F.when(F.col("doc_id") % 10 == 3, F.upper("source")).otherwise(F.col("source")))
+    versions.replace(again, own, ["doc_id"], 16)
+    both = [versions.read(spark, own, n).select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.lit(n).alias("version")) for n in (1, 2)]
+    return both[0].unionByName(both[1])
