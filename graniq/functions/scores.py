@@ -27,6 +27,34 @@ def clamp(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(value.try_cast("double"), F.lit(0.0))))
 
 
+#: 2 to the power of 52: the steps between 1 and 2 of a double.
+STEPS = 1 << 52
+
+
+def round_even(value: Column, digits: int = 1) -> Column:
+    """A double rounded to at most three decimals by its exact value, ties to the even digit: 2.25 gives 2.2, and 0.15, which is a little less, 0.1.
+
+    The fraction in steps of 2^-52 is a whole number but for a rest (of numbers below 1), so that what is cut off is compared with a half
+    without an error.
+    """
+    scale = 10**digits
+
+    def near(v: Column) -> Column:
+        size = F.abs(v)
+        whole = F.floor(size).cast("long")
+        steps = (size - whole) * float(STEPS)
+        n = F.floor(steps).cast("long")
+        shifted = n * F.lit(scale).cast("long")
+        kept = whole * scale + F.shiftright(shifted, 52)
+        excess = (shifted.bitwiseAND(F.lit(STEPS - 1)) - (STEPS >> 1)).cast("double") + (steps - n) * float(scale)
+        up = (excess > 0) | ((excess == 0) & (kept % 2 == 1))
+        found = (kept + F.when(up, 1).otherwise(0)).cast("double") / float(scale)
+        return F.when(size >= float(STEPS), v).otherwise(F.when(v < 0, -found).otherwise(found))
+
+    # The value is an array's only element, so that it is made once for all that asks for it.
+    return F.element_at(F.transform(F.array(value.cast("double")), near), 1)
+
+
 def tier(total: Column, core: float = CORE, short: float = SHORT) -> Column:
     return F.when(total >= core, "core").when(total >= short, "short").otherwise("long")
 

@@ -103,12 +103,12 @@ def classify(records: DataFrame, taxonomy: DataFrame, key: str, haystack: Column
 
 
 def weighted_scores(values: DataFrame, key: str, card: list[tuple[str, float]]) -> DataFrame:
-    """Totals of records (key and a column from 0 to 100 for each dimension): key, total (one decimal), tier."""
+    """Totals of records (key and a column from 0 to 100 for each dimension): key, total (one decimal, by the sum's exact value), tier."""
     weights = [max(0.0, float(w)) for _, w in card]
     all_of = sum(weights)
     weights = [w / all_of if all_of > 0 else 1 / len(card) for w in weights]
     total = reduce(lambda a, b: a + b, [S.clamp(F.col(name)) * F.lit(w) for (name, _), w in zip(card, weights)])
-    return values.select(key, F.round(F.round(total, 6), 1).alias("total")).withColumn("tier", S.tier(F.col("total")))
+    return values.select(key, S.round_even(total).alias("total")).withColumn("tier", S.tier(F.col("total")))
 
 
 def unscored(records: DataFrame, scores: DataFrame, key: str) -> DataFrame:

@@ -37,9 +37,18 @@ class HashEmbedder:
 
     dim: int = 256
 
+    @property
+    def name(self) -> str:
+        return f"hash/{self.dim}"
+
     def embed(self, text: Column) -> Column:
+        """The vector of single texts, such as a query."""
         return V.hash_embedding(text, self.dim)
 
+    def embed_table(self, texts: DataFrame, key: str) -> DataFrame:
+        """key, embedding of a table of texts (key, text): words are counted by an aggregation."""
+        return V.hash_embeddings(texts, key, self.dim)
+
 
 @dataclass(frozen=True)
 class Scripted:

@@ -11,7 +11,7 @@ from graniq.functions import scores as S
 from graniq.functions import text as T
 from graniq.functions import vectors as V
 from graniq.operators import browse, cells, chunking, fusion, index, legs, matching, ops, records
-from graniq.plans import many, providers
+from graniq.plans import indexing, many, providers
 from graniq.plans import search as plans
 from graniq.plans import stored
 from graniq.sources import corpus, files, sinks, store, versions
@@ -501,8 +501,8 @@ def taxonomy_keyword(spark, d):
 
 
 _CARD = [("size", 25), ("price", 50), ("demand", 25)]
-_METRICS = """m AS (SELECT p_partkey AS record_id, p_size * 2.0::DOUBLE AS size, p_retailprice / 20 AS price, coalesce(q, 0) AS demand FROM part LEFT JOIN (SELECT l_partkey, count(*)::DOUBLE AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
-scored AS (SELECT record_id, round(round(0 + least(100, greatest(0, size)) * 0.25::DOUBLE + least(100, greatest(0, price)) * 0.5::DOUBLE + least(100, greatest(0, demand)) * 0.25::DOUBLE, 6), 1) AS total FROM m)"""
+_METRICS = f"""m AS (SELECT p_partkey AS record_id, p_size * 2.0::DOUBLE AS size, p_retailprice / 20 AS price, coalesce(q, 0) AS demand FROM part LEFT JOIN (SELECT l_partkey, count(*)::DOUBLE AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
+scored AS (SELECT record_id, {Q.round_even("(0 + least(100, greatest(0, size)) * 0.25::DOUBLE + least(100, greatest(0, price)) * 0.5::DOUBLE + least(100, greatest(0, demand)) * 0.25::DOUBLE)")} AS total FROM m)"""
 _TIER = "CASE WHEN total >= 78 THEN 'core' WHEN total >= 60 THEN 'short' ELSE 'long' END AS tier"
 
 
@@ -1007,3 +1007,38 @@ def upload_versions(spark, d):
     versions.replace(again, own, ["doc_id"], 16)
     both = [versions.read(spark, own, n).select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.lit(n).alias("version")) for n in (1, 2)]
     return both[0].unionByName(both[1])
+
+
+_SECTIONED = _structure_sql(_MARKED).replace("md5(text)", "text").replace("md5(single.text)", "single.text").replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 13 <> 5)")
+_SUMMED = rf"""sec AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ordinal) AS nth, CASE WHEN heading_path <> '' THEN heading_path ELSE title END AS lead, left(trim(regexp_replace(text_md5, '\s+', ' ', 'g')), 400) AS body FROM parts WHERE kind = 'section'),
+summed AS (SELECT *, left(CASE WHEN body <> '' THEN lead || ': ' || body ELSE lead END, 4000) AS summary FROM sec)"""
+
+
+def _indexed(spark: SparkSession, d: str) -> indexing.Indexed:
+    """All documents as files, some headings in place of lines; every 13th can't be read, every 17th has no text."""
+    n = F.col("doc_id")
+    mark = lambda x, i: F.when((n % 3 != 0) & (i % 17 == 3), F.concat(F.repeat(F.lit("#"), 1 + (i * 7) % 4), F.lit(" Part "), i.cast("string"))).when(i % 23 == 11, F.concat(F.lit("[page "), i.cast("string"), F.lit("]"))).otherwise(x)
+    text = F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n")
+    docs = _t(spark, d, "documents")
+    rows = docs.select(n.alias("node_id"), F.col("lang").alias("repository"), corpus.node_path().alias("path"), F.concat("lang", F.lit("-"), n.cast("string")).alias("name"), F.when(n % 17 != 9, text).otherwise("  \n").alias("text"), F.when(n % 13 == 5, "parser_error").alias("error"))
+    return indexing.index_nodes(rows, providers.HashEmbedder(64), dim=64, sizes={"target": 120, "most": 200, "overlap": 20})
+
+
+@query(f"""WITH parts AS ({_SECTIONED}), {_SUMMED},
+ch AS (SELECT node_id, count(*) AS chunk_count, sum(tokens)::BIGINT AS tokens FROM parts WHERE kind = 'chunk' AND node_id % 17 <> 9 GROUP BY 1),
+se AS (SELECT node_id, count(*) AS section_count, arg_min(summary, nth) AS summary FROM summed WHERE node_id % 17 <> 9 GROUP BY 1)
+SELECT doc_id AS node_id, CASE WHEN chunk_count IS NULL THEN 'failed' ELSE 'ready' END AS status, CASE WHEN doc_id % 13 = 5 THEN 'parser_error' WHEN chunk_count IS NULL THEN 'no_text' ELSE '' END AS error,
+  coalesce(chunk_count, 0) AS chunk_count, coalesce(section_count, 0) AS section_count, coalesce(tokens, 0) AS tokens, md5(left(coalesce(summary, ''), 2000)) AS summary_md5 FROM documents d LEFT JOIN ch ON ch.node_id = doc_id LEFT JOIN se ON se.node_id = doc_id""")
+def index_files(spark, d):
+    """Files to nodes in one call: what has become of each."""
+    return _indexed(spark, d).nodes.select("node_id", "status", "error", "chunk_count", "section_count", "tokens", F.md5(F.col("summary").cast("binary")).alias("summary_md5"))
+
+
+@query(rf"""WITH parts AS ({_SECTIONED}), {_SUMMED},
+w AS (SELECT node_id * 1000000 + ordinal AS section_id, unnest(list_filter(regexp_split_to_array(lower(CASE WHEN heading_path <> '' THEN left(heading_path, 2000) || chr(10) || summary ELSE summary END), '\s+'), lambda x: x <> '')) AS w FROM summed WHERE node_id % 17 <> 9),
+b AS (SELECT section_id, ('0x' || left(md5(w), 7))::BIGINT % 64 AS bucket, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT section_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY section_id)), 6) AS weight FROM b""")
+def index_section_vectors(spark, d):
+    """The vectors of all sections, of their heading and summary, as far as they are not 0."""
+    each = _indexed(spark, d).sections.select("section_id", F.posexplode("embedding").alias("bucket", "weight")).filter("weight <> 0")
+    return each.select("section_id", F.col("bucket").cast("long"), F.round("weight", 6).alias("weight"))

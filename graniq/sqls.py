@@ -37,6 +37,14 @@ WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lamb
 
 
 
+def round_even(x: str) -> str:
+    """SQL of a number of at least 0 rounded to one decimal by its exact value, ties to even: in whole steps of 2^-60."""
+    units = "((v - floor(v)) * 1152921504606846976)::HUGEINT * 10"
+    kept = f"(floor(v)::HUGEINT * 10 + ({units}) // 1152921504606846976)"
+    rest = f"({units}) % 1152921504606846976 - 576460752303423488"
+    return f"list_transform([{x}], lambda v: ({kept} + CASE WHEN {rest} > 0 OR {rest} = 0 AND {kept} % 2 = 1 THEN 1 ELSE 0 END)::DOUBLE / 10)[1]"
+
+
 def places(words: str, token: str) -> str:
     """SQL of the places of a token in a list of words, from 1, as the rank keeps them."""
     return f"list_slice(list_sort(list_distinct(list_transform(list_filter(range(1, len({words}) + 1), lambda i: {words}[i] = {token}), lambda i: least(i, 16383)))), 1, 255)"

@@ -1,11 +1,14 @@
 import math
+import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from graniq.config import SearchConfig, overlay
 from graniq.functions import scores as S
 from graniq.functions import text as T
 from graniq.functions import vectors as V
+from graniq.sqls import round_even
 
 
 def one(spark, column):
@@ -71,3 +74,15 @@ def test_weights(spark):
 def test_config():
     c = overlay({"top_k": 3, "nope": 1}, {"top_k": None, "rrf_k": 0})
     assert c.top_k == 3 and c.resolved().rrf_k == 60 and SearchConfig(weight_path=0).resolved().weight_path == 0
+
+
+def test_round_even_is_pythons(spark):
+    rng = random.Random(8)
+    values = [2.25, 0.15, 0.05, 0.25, 0.35, 99.95, 1e-9, 0.0, -0.15, -2.25, 77.95, 59.95, 100.0, 0.049999999999999996, 5e-324, 2.0**60] + [round(rng.uniform(0, 100), 2) for _ in range(500)] + [rng.randrange(4001) / 40 for _ in range(500)] + [rng.uniform(0, 1) for _ in range(100)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 3):
+        got = [r[0] for r in df.select(S.round_even(F.col("v"), digits)).collect()]
+        assert got == [round(v, digits) for v in values]
+    assert spark.range(1).select(S.round_even(F.lit(None).cast("double"))).first()[0] is None
+    con = duckdb.connect()
+    assert [con.execute(f"SELECT {round_even('?::DOUBLE')}", [abs(v)]).fetchone()[0] for v in values[:15] + values[16:300]] == [round(abs(v), 1) for v in values[:15] + values[16:300]]
