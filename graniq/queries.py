@@ -11,9 +11,10 @@ from graniq.functions import scores as S
 from graniq.functions import text as T
 from graniq.functions import vectors as V
 from graniq.operators import browse, cells, chunking, fusion, index, legs, matching, ops, records
-from graniq.plans import indexing, many, providers
+from graniq.plans import indexing, many, providers, runs
 from graniq.plans import search as plans
 from graniq.plans import stored
+from graniq.plans.plugins import Plugin, Registry
 from graniq.sources import corpus, files, sinks, store, versions
 from graniq.streaming import handlers, ingest, joins, leases, queue
 
@@ -1042,3 +1043,18 @@ def index_section_vectors(spark, d):
     """The vectors of all sections, of their heading and summary, as far as they are not 0."""
     each = _indexed(spark, d).sections.select("section_id", F.posexplode("embedding").alias("bucket", "weight")).filter("weight <> 0")
     return each.select("section_id", F.col("bucket").cast("long"), F.round("weight", 6).alias("weight"))
+
+
+@query(f"""WITH {_METRICS}, t AS (SELECT {_TIER} FROM scored)
+SELECT 'score' AS step, 'done' AS status, count(*) AS rows, count_if(tier = 'core') AS core, count_if(tier = 'short') AS short, count_if(tier = 'long') AS long FROM t
+UNION ALL SELECT 'broken', 'failed', 0, 0, 0, 0""")
+def step_runs(spark, d):
+    """Two runs of pipeline steps over all parts: what was counted as each was written, and what became of it."""
+    registry, own = Registry(), store.folder(spark, "runs")
+    registry.register(Plugin("score", "score", "Weighted scorecard", lambda df, _: records.weighted_scores(df, "record_id", _CARD)))
+    registry.register(Plugin("broken", "score", "A step that fails", lambda df, _: df.withColumn("x", F.raise_error(F.lit("no")).cast("int"))))
+    for name in ("score", "broken"):
+        run = runs.queue_run(spark, own, name, name)
+        runs.execute(spark, own, run, registry, {}, _metrics(spark, d), lambda df, name=name: df.write.parquet(store.folder(spark, name)))
+    n = lambda key: F.coalesce(F.try_element_at("counts", F.lit(key)), F.lit(0)).alias(key)
+    return runs.current(spark, own).select("step", "status", n("rows"), n("core"), n("short"), n("long"))
