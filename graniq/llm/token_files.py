@@ -256,7 +256,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, kind: str = "
     """Write all documents; the manifest of the files: position, part, path, n_ids, n_docs.
 
     docs: doc_id, text; other columns are ignored. A null text is empty and has the end id
-    alone. Rows are in ascending doc_id order, nulls first; rows with equal doc_id by text.
+    alone. Rows are in ascending doc_id order, nulls first. Rows with equal doc_id stand by a hash
+    of their text from one file to the next, and by the text within a file.
     ``position`` orders the files of the corpus.
     """
     spark = docs.sparkSession
