@@ -13,7 +13,7 @@ from graniq.functions import vectors as V
 from graniq.operators import browse, cells, chunking, fusion, index, legs, matching, ops, records
 from graniq.plans import indexing, many, providers, runs
 from graniq.plans import search as plans
-from graniq.plans import stored
+from graniq.plans import stored, tools
 from graniq.plans.plugins import Plugin, Registry
 from graniq.sources import corpus, files, sinks, store, versions
 from graniq.streaming import handlers, ingest, joins, leases, queue
@@ -1058,3 +1058,26 @@ def step_runs(spark, d):
         runs.execute(spark, own, run, registry, {}, _metrics(spark, d), lambda df, name=name: df.write.parquet(store.folder(spark, name)))
     n = lambda key: F.coalesce(F.try_element_at("counts", F.lit(key)), F.lit(0)).alias(key)
     return runs.current(spark, own).select("step", "status", n("rows"), n("core"), n("short"), n("long"))
+
+
+def _turn(spark: SparkSession, d: str) -> tools.Turn:
+    c = corpus.chunks(spark, d)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n")
+    own = c.groupBy("node_id", "section_id").agg(F.floor(F.min("ordinal") / corpus.SECTION_CHUNKS).alias("ordinal"), body.alias("summary"))
+    sections = own.withColumns({"level": F.lit(1), "title": F.concat(F.lit(f"{chunking.BODY} "), (F.col("ordinal") + 1).cast("string"))})
+    return tools.Turn(stored.of_tables(spark, d), corpus.nodes(spark, d), sections, ["en", "fr"])
+
+
+@query(rf"""WITH {Q.CHUNKS}, o AS (SELECT min(ordinal) // 6 AS ordinal, string_agg(text, chr(10) ORDER BY ordinal) AS body FROM c WHERE node_id = (SELECT min(doc_id) FROM documents WHERE lang = 'en') GROUP BY section_id),
+b AS (SELECT text, row_number() OVER w AS nth, coalesce(sum(length(text) + 1) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, ordinal FROM c WHERE node_id = (SELECT min(doc_id) FROM documents WHERE lang = 'en') WINDOW w AS (ORDER BY ordinal))
+SELECT * FROM (SELECT 'rag_browse' AS tool, name AS first, source_size AS second FROM (SELECT lang, source AS name, sum(n_chars)::VARCHAR AS source_size FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1, 2) ORDER BY name, lang LIMIT 200)
+UNION ALL SELECT 'rag_outline', '본문 ' || (ordinal + 1), md5(CASE WHEN length(t) > 180 THEN left(t, 180) || '…' ELSE t END) FROM (SELECT ordinal, trim(regexp_replace(body, '\s+', ' ', 'g')) AS t FROM o) WHERE ordinal < 300
+UNION ALL SELECT 'rag_read', count(*)::VARCHAR, md5(string_agg(left(text, (900 - before)::INT), chr(10) ORDER BY ordinal)) FROM b WHERE nth <= 80 AND before < 900""")
+def tool_calls(spark, d):
+    """What three of the tools give of the corpus' English and French files, of the first English one."""
+    turn = _turn(spark, d)
+    path = corpus.nodes(spark, d).filter("repository = 'en'").orderBy("node_id").first()["path"]
+    one = turn.call("rag_browse").select(F.lit("rag_browse").alias("tool"), F.col("name").alias("first"), F.col("size_bytes").cast("string").alias("second"))
+    two = turn.call("rag_outline", path=path).select(F.lit("rag_outline"), "line", F.md5(F.col("summary").cast("binary")))
+    three = turn.call("rag_read", path=path, max_chars="900").select(F.lit("rag_read"), F.col("n_chunks").cast("string"), F.md5(F.col("text").cast("binary")))
+    return one.union(two).union(three)
