@@ -88,7 +88,7 @@ def clean_name(name: Column) -> Column:
 
 def safe_stem(name: Column, default: str = "card") -> Column:
     """A file stem of letters, digits, blanks and -_() only, at most 80 characters."""
-    stem = F.trim(F.substr(F.trim(F.regexp_replace(name, r"[^\p{L}\p{N} \-_()]", "")), F.lit(1), F.lit(80)))
+    stem = F.substr(F.trim(F.regexp_replace(name, r"[^\p{L}\p{N} \-_()]", "")), F.lit(1), F.lit(80))
     return F.when(stem == "", default).otherwise(F.coalesce(stem, F.lit(default)))
 
 

@@ -86,3 +86,9 @@ def test_round_even_is_pythons(spark):
     assert spark.range(1).select(S.round_even(F.lit(None).cast("double"))).first()[0] is None
     con = duckdb.connect()
     assert [con.execute(f"SELECT {round_even('?::DOUBLE')}", [abs(v)]).fetchone()[0] for v in values[:15] + values[16:300]] == [round(abs(v), 1) for v in values[:15] + values[16:300]]
+
+
+def test_safe_stem_is_cut_last(spark):
+    """Blanks go before the cut, so that one may stay at its end."""
+    assert one(spark, T.safe_stem(F.lit("  " + "a" * 79 + " b/c  "))) == "a" * 79 + " "
+    assert one(spark, T.safe_stem(F.lit("?*"))) == one(spark, T.safe_stem(F.lit(None).cast("string"))) == "card"
