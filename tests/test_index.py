@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -118,6 +119,24 @@ def test_search_reads_no_chunks_but_its_own(built):
     assert "PartitionFilters: [isnotnull(shard" in plan and "PushedFilters: [IsNotNull(word), EqualTo(word,alpha)]" in plan
 
 
+def test_lists_are_a_row_for_each_word_and_block(tables, built):
+    """Postings and trigrams are stored as lists by block, not as a row for each word and chunk."""
+    texts = {r["chunk_id"]: r["text"].lower() for r in tables[0].filter("status = 'ready'").collect()}
+    words = {i: [w for w in re.split(r"[\W_]+", t) if w] for i, t in texts.items()}
+    keys = {r["block"]: r["keys"] for r in built.index.table("members").collect()}
+    assert sorted(k for x in keys.values() for k in x) == sorted(texts)
+    rows = built.index.table("postings").collect()
+    assert len({(r["word"], r["block"]) for r in rows}) == len(rows) < sum(len(set(w)) for w in words.values())
+    got = {(r["word"], keys[r["block"]][a]): r["place"][b:e] for r in rows for a, b, e in zip(r["at"], r["start"], [*r["start"][1:], len(r["place"])])}
+    want = {}
+    for i, own in words.items():
+        for at, w in enumerate(own, 1):
+            want.setdefault((w, i), []).append(at)
+    assert got == want
+    grams = {(r["word"], keys[r["block"]][a]) for r in built.index.table("grams").collect() for a in r["at"]}
+    assert grams == {(f"  {w} "[j : j + 3], i) for i, own in words.items() for w in own for j in range(len(w) + 1)}
+
+
 def test_search_takes_models(spark, built):
     class Down:
         dim = 8
