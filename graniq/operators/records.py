@@ -85,17 +85,16 @@ def classify(records: DataFrame, taxonomy: DataFrame, key: str, haystack: Column
 
     taxonomy: pos, label. Terms and records meet by equality, on a term's first three characters (or
     two, of a term that has no more), which are held against the distinct runs of three and two
-    characters of a record's text; where a term is longer, the text is then looked up and asked for
-    all of it. Keys are distinct.
+    characters of a record's text; where a term is longer, the text is then asked for all of it.
+    The taxonomy, a list that people keep, is broadcast: runs and texts stay where they are, and
+    what travels are the hits. Keys are distinct.
     """
     terms = F.filter(T.label_terms(F.col("label")), lambda t: F.length(t) >= 2)
     asked = taxonomy.select("pos", "label", F.explode(F.array_distinct(terms)).alias("__term")).withColumn("__gram", F.substr("__term", F.lit(1), F.lit(3)))
     text = records.select(F.col(key), F.lower(haystack).alias("__text"))
     runs = lambda n: F.when(F.length("__text") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("__text") - n + 1, F.lit(1))), lambda i: F.substr("__text", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    grams = text.select(key, F.explode(F.array_distinct(F.concat(runs(3), runs(2)))).alias("__gram"))
-    met = grams.join(asked, "__gram").select(key, "pos", "label", "__term")
-    long = F.length("__term") > 3
-    sure = met.filter(~long).unionByName(met.filter(long).join(text, key).filter(F.contains("__text", "__term")).select(key, "pos", "label", "__term"))
+    grams = text.select(key, "__text", F.explode(F.array_distinct(F.concat(runs(3), runs(2)))).alias("__gram"))
+    sure = grams.join(F.broadcast(asked), "__gram").filter((F.length("__term") <= 3) | F.contains("__text", "__term"))
     hits = sure.groupBy(key, "pos", "label").agg(F.count("*").alias("n"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "label"))), 1, cap)
     labels = hits.groupBy(key).agg(F.transform(best, lambda x: x["label"]).alias("labels"))

@@ -2,12 +2,32 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from graniq import queries
+from graniq.operators import records
 from graniq.sources import corpus
 
 SF = "/root/testdata/sf0.001"
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_taxonomy_moves_hits_alone(spark):
+    """Runs of characters meet the taxonomy without a shuffle, however large Spark takes it to be."""
+    texts = spark.createDataFrame([(1, "large brass case"), (2, "aa bras"), (3, "")], "id long, t string")
+    taxonomy = spark.createDataFrame([(0, "Metal > Brass"), (1, "Large/aa")], "pos int, label string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = records.classify(texts, taxonomy, "id", F.col("t"))
+        assert "BroadcastHashJoin [__gram" in plan(got)
+        assert {r["id"]: r["labels"] for r in got.collect()} == {1: ["Metal > Brass", "Large/aa"], 2: ["Large/aa"], 3: []}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_streams_read_tables_that_are_folders(spark, tmp_path):
     """Documents and events as folders of files, as Spark writes them."""
     for name in os.listdir(SF):
