@@ -213,14 +213,18 @@ def record_reviews(records: DataFrame, links: DataFrame, scores: DataFrame, revi
     links: link_id, from_id, to_id, score. scores: score_id, record_id. reviews: target_type,
     target_id, verdict, at, review_id.
     """
-    both = links.select(F.col("from_id").alias("record_id"), "link_id", "score").unionByName(links.select(F.col("to_id").alias("record_id"), "link_id", "score"))
+    known = records.select("record_id")
+    both = links.select(F.col("from_id").alias("record_id"), "link_id", "score").unionByName(links.select(F.col("to_id").alias("record_id"), "link_id", "score")).join(known, "record_id", "left_semi")
     best = F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("score").desc(), "link_id"))
     both = both.withColumn("n", best).filter(F.col("n") <= link_limit)
     one = scores.groupBy("record_id").agg(F.min("score_id").alias("target_id"))
     target = lambda rows, kind, key: rows.select("record_id", F.lit(kind).alias("target_type"), F.col(key).alias("target_id"))
-    targets = target(records, "record", "record_id").unionByName(target(both, "link", "link_id")).unionByName(target(one, "score", "target_id")).join(records.select("record_id"), "record_id", "left_semi").distinct()
-    newest = F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("at").desc(), F.col("review_id").desc()))
-    found = targets.join(reviews, ["target_type", "target_id"]).withColumn("nth", newest).filter(F.col("nth") <= limit)
+    targets = target(records, "record", "record_id").unionByName(target(both, "link", "link_id")).unionByName(target(one, "score", "target_id")).join(known, "record_id", "left_semi").distinct()
+    # No record shows more than the newest of a target's reviews, so only these meet the records.
+    order = F.col("at").desc(), F.col("review_id").desc()
+    few = reviews.withColumn("__n", F.row_number().over(Window.partitionBy("target_type", "target_id").orderBy(*order))).filter(F.col("__n") <= limit).drop("__n")
+    newest = F.row_number().over(Window.partitionBy("record_id").orderBy(*order))
+    found = targets.join(few, ["target_type", "target_id"]).withColumn("nth", newest).filter(F.col("nth") <= limit)
     return found.select("record_id", "nth", "target_type", "target_id", "verdict")
 
 

@@ -28,6 +28,18 @@ def test_taxonomy_moves_hits_alone(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_reviews_of_a_target_are_cut_before_they_meet_records(spark):
+    """Many records of one target: its older reviews meet none of them."""
+    own = spark.range(20).select(F.col("id").alias("record_id"))
+    links = spark.range(20).select(F.lit(7).cast("long").alias("link_id"), F.col("id").alias("from_id"), (F.col("id") + 100).alias("to_id"), F.lit(1.0).alias("score"))
+    scores = own.withColumn("score_id", F.lit(3).cast("long"))
+    reviews = spark.range(400).select(F.element_at(F.array(F.lit("link"), F.lit("score")), (F.col("id") % 2 + 1).cast("int")).alias("target_type"), F.when(F.col("id") % 2 == 0, 7).otherwise(3).cast("long").alias("target_id"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("verdict"), F.lit(0).alias("at"), F.col("id").alias("review_id"))
+    got = records.record_reviews(own, links, scores, reviews, limit=5)
+    assert "windowspecdefinition(target_type" in plan(got)
+    rows = got.collect()
+    assert len(rows) == 100 and all(r["verdict"] == f"v{400 - r['nth']}" for r in rows)
+
+
 def test_streams_read_tables_that_are_folders(spark, tmp_path):
     """Documents and events as folders of files, as Spark writes them."""
     for name in os.listdir(SF):
