@@ -14,7 +14,10 @@ Tasks write the counted tokens of their sets in chunks to the shared folder. A c
 owner of each hash range for the frequencies of its tokens, each token once a chunk, so that a
 token of a third of all sets costs one entry a chunk.
 
-Equal sets are one vertex. Sets that keys connect are a family; similar sets are of one. A
+Equal sets are one vertex. Sets that keys connect are a family; similar sets are of one. As the
+corpus grows, chance keys chain unrelated sets, so a key connects those alone whose sketches
+let them be similar: a sketch counts a set's tokens by some of their bits, and the sum of the
+lesser counts is an upper bound of what two sets share. A
 family of at most a block is verified in one task by the lists of sets that share a token. A
 larger one is cut into blocks by hash, each verified by itself together with some common pivots,
 which joins most near copies; then, where keys have sets of several components still, those
@@ -47,6 +50,8 @@ CHUNK, RANGE = 400_000, 1_000_000
 BLOCK, SETS, PIVOTS = 500_000, 1_000, 8
 #: Blocks beyond which a family's verification goes by keys.
 HUGE = 32
+#: Sets of a key up to which all pairs are looked at at once, rows of keys that a task takes, and bytes of sketches that meet at once.
+FEW, ROWS, PART = 128, 20_000, 1 << 24
 #: Sets that share a token from which it is frequent, and tokens of a group in a prefix.
 FREQUENT, GROUP = 16, 6
 
@@ -98,7 +103,49 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
         return int(mix(tokens ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)), int(mix(tokens * U64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-_OWN = "doc_id long, a long, b long, n long, k1 long, k2 long, idx long, able boolean, chunk long, file string, at long, size long"
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens have each value of their lowest bits: 4 to 8 tokens a value, so that it is small beside the set. Empty (it tells nothing) where a count exceeds a byte."""
+    counts = np.bincount((tokens & U64(_values(len(tokens)) - 1)).astype(np.int64), minlength=_values(len(tokens)))
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _values(n: int) -> int:
+    return 1 << max(4, (max(1, n) - 1).bit_length() - 3)
+
+
+class Sketches:
+    """Sketches of sets of n tokens, laid out by their length, and folded to that of a shorter one where they meet it."""
+
+    def __init__(self, n: np.ndarray, sketches: list[bytes], rule: Rule):
+        self.n, self.rule, self.width = n, rule, np.array([len(x) for x in sketches])
+        self.at, self.folded = np.zeros(len(n), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.at[own] = np.arange(len(own))
+            self.folded[w, w] = np.frombuffer(b"".join(sketches[i] for i in own.tolist()), np.uint8).reshape(len(own), w)
+
+    def _rows(self, width: int, to: int, at: np.ndarray) -> np.ndarray:
+        rows = self.folded[width, width][at].astype(np.uint16)
+        while width > to:  # the lower bits stay
+            width //= 2
+            rows = rows[:, :width] + rows[:, width:]
+        return rows
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sets a[i] and b[i] can be similar, by their sizes and sketches."""
+        n, m, rule = self.n[a], self.n[b], self.rule
+        out = rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m)
+        open_ = np.flatnonzero(out & (self.width[a] > 0) & (self.width[b] > 0))
+        kinds = self.width[a[open_]] << 32 | self.width[b[open_]]
+        for kind in np.unique(kinds).tolist():
+            u, v, own = kind >> 32, kind & 0xFFFFFFFF, open_[kinds == kind]
+            for part in np.array_split(own, 1 + len(own) * max(u, v) // PART):
+                same = np.minimum(self._rows(u, min(u, v), self.at[a[part]]), self._rows(v, min(u, v), self.at[b[part]])).sum(axis=1, dtype=np.int64)
+                out[part] = rule.similar(same, n[part], m[part])
+        return out
+
+
+_OWN = "doc_id long, a long, b long, n long, k1 long, k2 long, idx long, able boolean, chunk long, file string, at long, size long, sketch binary"
 
 
 def _sets(docs: DataFrame, w: int, rule: Rule, folder: str) -> DataFrame:
@@ -110,10 +157,10 @@ def _sets(docs: DataFrame, w: int, rule: Rule, folder: str) -> DataFrame:
     names = [x.split()[0] for x in _OWN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, rows, parts, size, sink, path, at = TaskContext.get().partitionId() << 36, [], [], 0, None, "", 0
+        first, rows, parts, drawn, size, sink, path, at = TaskContext.get().partitionId() << 36, [], [], [], 0, None, "", 0
 
         def chunk() -> pa.RecordBatch:
-            nonlocal sink, path, at, first, rows, parts, size
+            nonlocal sink, path, at, first, rows, parts, drawn, size
             if sink is None:
                 fs, where = open_fs(folder)
                 fs.create_dir(where, recursive=True)
@@ -121,9 +168,9 @@ def _sets(docs: DataFrame, w: int, rule: Rule, folder: str) -> DataFrame:
                 sink = fs.open_output_stream(open_fs(path)[1])
             data = np.array([len(rows), *(r[3] for r in rows), *(len(p) for p in parts)], dtype=np.int64).tobytes() + b"".join(p.tobytes() for p in parts)
             sink.write(data)
-            own = [(*r, first + i, len(p) > 0, first, path, at, len(data)) for i, (r, p) in enumerate(zip(rows, parts))]
-            at, first, rows, parts, size = at + len(data), first + len(rows), [], [], 0
-            kinds = [pa.int64()] * 7 + [pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            own = [(*r, first + i, len(p) > 0, first, path, at, len(data), x) for i, (r, p, x) in enumerate(zip(rows, parts, drawn))]
+            at, first, rows, parts, drawn, size = at + len(data), first + len(rows), [], [], [], 0
+            kinds = [pa.int64()] * 7 + [pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own), kinds)], names=names)
 
         for batch in batches:
@@ -134,6 +181,7 @@ def _sets(docs: DataFrame, w: int, rule: Rule, folder: str) -> DataFrame:
                     some = (counted if len(counted) >= rule.need(n) else tokens).copy()
                 rows.append((*key, n, *fingerprint(tokens)))
                 parts.append(some)
+                drawn.append(sketch(tokens) if len(some) else None)
                 size += len(some) + 16
                 if size >= CHUNK:
                     yield chunk()
@@ -279,10 +327,54 @@ def _members(keys: DataFrame) -> DataFrame:
     return materialize(keys.join(kept.select("key", "least"), "key").select("key", "least", "idx", "n"), "join-members")
 
 
-def _families(members: DataFrame) -> DataFrame:
-    """idx, n, family: sets that keys connect, be they similar or not; one edge for each row of the index."""
-    ties = connect(members.filter("idx <> least").select(F.col("least").alias("a"), F.col("idx").alias("b")).distinct())
-    return ties.select(F.col("v").alias("idx"), F.col("label").alias("family")).join(members.groupBy("idx").agg(F.max("n").alias("n")), "idx")
+def chained(keys: np.ndarray, sets: np.ndarray, sketches: Sketches) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that connect all those of a key that can be similar; rows (key, set) sorted by key, each pair of a key and a set once."""
+    begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    size = np.diff(np.r_[begin, len(keys)])
+    left, right = [], []
+    for m in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
+        i, j = np.triu_indices(m, 1)
+        rows = sets[begin[size == m][:, None] + np.arange(m)]
+        left.append(rows[:, i].reshape(-1))
+        right.append(rows[:, j].reshape(-1))
+    if left:
+        pairs = np.unique(np.stack([np.minimum(a, b) << 32 | np.maximum(a, b) for a, b in [(np.concatenate(left), np.concatenate(right))]]))
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        met = sketches.possible(a, b)
+        left, right = [a[met]], [b[met]]
+    for k in np.flatnonzero(size > FEW).tolist():
+        rest, reached = sets[begin[k] : begin[k] + size[k]], []
+        while len(rest):
+            at = reached.pop() if reached else None
+            if at is None:
+                at, rest = rest[0], rest[1:]
+            met = sketches.possible(np.full(len(rest), at), rest)
+            own, rest = rest[met], rest[~met]
+            left.append(np.full(len(own), at))
+            right.append(own)
+            reached += own.tolist()
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _families(members: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
+    """idx, n, family: sets that keys connect and that can be similar, be they so or not. Sets that are left alone are in none."""
+
+    def run(table: pa.Table) -> pa.Table:
+        idx, first, sets = np.unique(table["idx"].to_numpy(), return_index=True, return_inverse=True)
+        sketches = Sketches(table["n"].to_numpy()[first], table["sketch"].take(pa.array(first)).to_pylist(), rule)
+        order = np.lexsort((sets, table["key"].to_numpy()))
+        a, b = chained(table["key"].to_numpy()[order], sets[order], sketches)
+        return pa.table([pa.array(idx[a]), pa.array(idx[b])], names=["a", "b"])
+
+    # A key of more sets than a block connects them all.
+    many = materialize(members.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SETS).select("key"), "join-many")
+    stars = members.join(many, "key", "left_semi").filter("idx <> least").select(F.col("least").alias("a"), F.col("idx").alias("b"))
+    asked = members.join(many, "key", "left_anti").select("key", "idx").join(own.filter("able").select("idx", "n", "sketch"), "idx")
+    buckets = max(_tasks(own.sparkSession), -(-members.count() // ROWS))
+    near = asked.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(run, "a long, b long")
+    ties = connect(near.unionByName(stars)).select(F.col("v").alias("idx"), F.col("label").alias("family"))
+    return ties.join(own.select("idx", "n"), "idx").select("idx", "n", "family")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, w: int) -> DataFrame:
@@ -395,7 +487,7 @@ def _link(families: DataFrame, members: DataFrame, own: DataFrame, docs: DataFra
     held = families.join(large, "family").join(labels.withColumnRenamed("v", "idx"), "idx", "left").select("family", "blocks", "idx", "n", F.coalesce("label", "idx").alias("label"))
     held = materialize(held, "join-held")
     whole, cut = held.filter(F.col("blocks") <= HUGE).withColumn("group", F.col("family")), held.filter(F.col("blocks") > HUGE)
-    rows = whole if cut.isEmpty() else whole.unionByName(members.select(F.col("key").alias("group"), "idx").join(cut, "idx"))
+    rows = whole if cut.isEmpty() else whole.unionByName(members.select("key", "idx").join(cut, "idx").select(F.xxhash64("key", "family").alias("group"), "family", "blocks", "idx", "n", "label"))
     many = lambda n, m: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(m / SETS)).cast("long")
     parts = rows.groupBy("group", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     most = parts.groupBy("group").agg(F.max(F.struct("m", "label", "n")).alias("most"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
@@ -424,7 +516,7 @@ def _classes(docs: DataFrame, w: int, rule: Rule) -> tuple[DataFrame, DataFrame]
     remove(folder)
     members = _members(keys)
     forget(keys)
-    families = materialize(_families(members), "join-families")
+    families = materialize(_families(members, own, rule), "join-families")
     labels = _link(families, members, own, docs, w, rule)
 
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("best")

@@ -182,6 +182,37 @@ def test_jaccard_of_large_families_equals_brute_force(spark, monkeypatch, block,
     assert got == components(texts, 3, 8, 10)
 
 
+def test_keys_alone_make_no_large_family(spark, monkeypatch):
+    """Unrelated sets that keys chain are no family of many blocks, in which each would meet all others."""
+    monkeypatch.setattr(join, "SETS", 20)
+    seen = []
+    link = join._link
+    monkeypatch.setattr(join, "_link", lambda families, *rest: (seen.append(families.groupBy("family").count().agg(F.max("count")).first()[0]), link(families, *rest))[1])
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, 30, replace=False)) for _ in range(120)]
+    texts += [f"{t} more" for t in texts[:9]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs_of(spark, texts), 1, 8, 10).collect()}
+    assert got == components(texts, 1, 8, 10) and sum(c != d for d, (_, c) in got.items()) == 9
+    assert seen[0] <= 20
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (8, 10), (1, 2)])
+def test_sketches_leave_out_no_similar_pair(num, den):
+    rng, rule, sets = np.random.default_rng(den), Rule(num, den), []
+    for n in (12, 16, 17, 60, 64, 65, 300):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for k in (0, 1, n // 20, n // 9, n // 4, n // 2, n):
+            sets.append(np.unique(np.concatenate([base[k:], rng.integers(0, 2**63, k // 2).astype(np.uint64)])))
+    sets.append(np.arange(3000, dtype=np.uint64) << np.uint64(20))  # all of one value: a count above a byte
+    sets = [x for x in sets if len(x)]
+    sketches = join.Sketches(np.array([len(x) for x in sets]), [join.sketch(x) for x in sets], rule)
+    a, b = np.triu_indices(len(sets), 1)
+    possible = sketches.possible(a, b)
+    similar = np.array([den * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    assert similar.any() and possible[similar].all() and possible.mean() < 0.5 and join.sketch(sets[-1]) == b""
+
+
 def test_keep_one_judges_rows(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(7, base, "a"), (3, base + " more", "b"), (7, "another text of this number", "c"), (9, "z y x", "d"), (9, "z y x", "d"), (None, base, "e"), (None, "nobody's own words here", "f"), (5, None, "g"), (5, "", "h"), (None, None, "i"), (None, "q r s", "j"), (None, "q r s", "j")]
