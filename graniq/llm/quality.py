@@ -98,8 +98,15 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0.0], np.cumsum(values)])[offsets])
+def _sums(weights: np.ndarray, v: Views) -> np.ndarray:
+    """The sum of each row's weights, as doubles, by some rows at a time: a row's sum depends on no other row."""
+    out = np.zeros(len(v.offsets) - 1)
+    for first in range(0, len(out), BLOCK // 4):
+        at = v.offsets[first : first + BLOCK // 4 + 1]
+        full = np.flatnonzero(np.diff(at))
+        if len(full):
+            out[first + full] = np.add.reduceat(weights[v.slots[at[0] : at[-1]]].astype(np.float64), at[full] - at[0])
+    return out
 
 
 class _Ranges:
@@ -143,17 +150,24 @@ class Rows:
 
     def __init__(self, v: Views, rows: np.ndarray, y: np.ndarray):
         sizes = np.diff(v.offsets)[rows]
-        slots = np.concatenate([v.slots[v.offsets[r] : v.offsets[r + 1]] for r in rows])
         self.y, self.by_row = y, _Ranges(sizes)
-        own = np.repeat(y > 0.5, sizes)
-        self.counts = np.array([np.bincount(slots[own == c], minlength=1 << TEXT_BITS) for c in (False, True)], dtype=np.int32)
-        del own
+        self.counts = np.zeros((2, 1 << TEXT_BITS), dtype=np.int32)
+        for r, good in zip(rows, y > 0.5):  # a row has a slot once
+            self.counts[int(good), v.slots[v.offsets[r] : v.offsets[r + 1]]] += 1
         present = self.counts.any(axis=0)
-        self.known = np.flatnonzero(present)
-        self.slots = (np.cumsum(present, dtype=np.int32) - 1)[slots]
-        del slots
-        self.by_slot = _Ranges(self.counts.sum(axis=0)[self.known])
-        self.of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[np.argsort(self.slots, kind="stable")]
+        self.known, number = np.flatnonzero(present), np.cumsum(present, dtype=np.int32) - 1
+        ends = np.cumsum(sizes)
+        self.slots = np.empty(sizes.sum(), dtype=np.int32)
+        for r, a, b in zip(rows, ends - sizes, ends):
+            self.slots[a:b] = number[v.slots[v.offsets[r] : v.offsets[r + 1]]]
+        many = self.counts.sum(axis=0)[self.known]
+        self.by_slot = _Ranges(many)
+        # The rows of each slot, one slot after the other, sorted for a part of the slots at a time.
+        self.of, starts, cuts = np.empty(len(self.slots), dtype=np.int32), np.concatenate([[0], np.cumsum(many)]), np.linspace(0, len(many), 4 * RANGES + 1).astype(np.int64)
+        for low, high in zip(cuts, cuts[1:]):
+            at = np.flatnonzero((self.slots >= low) & (self.slots < high))
+            at = at[np.argsort(self.slots[at], kind="stable")]
+            self.of[starts[low] : starts[high]] = np.searchsorted(ends, at, side="right")
 
 
 def fit_text(rows: Rows, sums: Sums, steps: int = 120, penalty: float = 2e-4, least: int = 3) -> tuple[np.ndarray, float]:
@@ -224,7 +238,7 @@ class Model(NamedTuple):
     prior: float | None = None
 
     def logits(self, v: Views) -> tuple[np.ndarray, np.ndarray]:
-        return _sums(self.words[v.slots], v.offsets) + self.bias, v.pages @ self.page[:-1] + self.page[-1]
+        return _sums(self.words, v) + self.bias, v.pages @ self.page[:-1] + self.page[-1]
 
     def scores(self, v: Views) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of each view, and of both, that a row is good."""
@@ -360,7 +374,7 @@ def _learn_from(blocks: DataFrame, models: list[Model], sure: float) -> Sums:
         return table([(part, sum(_from_planes(x, "<i8" if part >= 0 else "<f8") for x in rows.column("sums").to_pylist()))], pa.Table)
 
     found = {r["part"]: r["sums"] for r in blocks.mapInArrow(run, _PARTS).groupBy("part").applyInArrow(add, _PARTS).collect()}
-    shared.unpersist()
+    shared.destroy()
     if not found:
         return no_sums()
     rest, d = _from_planes(found[-1], "<f8"), PAGE_SIZE + 1

@@ -6,6 +6,7 @@ import hashlib
 import io
 import math
 import re
+import tracemalloc
 import zipfile
 import zlib
 from pathlib import Path
@@ -213,6 +214,32 @@ def test_sketches_leave_out_no_similar_pair(num, den):
     assert similar.any() and possible[similar].all() and possible.mean() < 0.5 and join.sketch(sets[-1]) == b""
 
 
+def test_text_score_depends_on_its_own_row():
+    """A row's sum of weights is the same beside any other rows, however large their sums."""
+    weights = np.zeros(1 << quality.TEXT_BITS, np.float32)
+    weights[:3], weights[3:2000] = [0.1, 0.2, -0.3], 1e4
+    one = quality.Views(np.array([0, 1, 2], np.int32), np.array([0, 3]), np.zeros((1, quality.PAGE_SIZE)))
+    many = quality.Views(np.concatenate([np.arange(3, 2000), [0, 1, 2]]).astype(np.int32), np.array([0, 1997, 1997, 2000]), np.zeros((3, quality.PAGE_SIZE)))
+    assert quality._sums(weights, many)[1:].tolist() == [0.0, *quality._sums(weights, one)]
+
+
+def test_labelled_rows_are_laid_out_with_little_memory():
+    rng = np.random.default_rng(1)
+    parts = [np.unique(rng.integers(0, 1 << quality.TEXT_BITS, 6000)).astype(np.int32) for _ in range(1500)]
+    parts[3] = parts[3][:0]
+    v = quality.Views(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), np.zeros((1500, 1)))
+    rows, y = np.arange(0, 1500, 2)[::-1], (np.arange(750) % 3 == 0).astype(float)
+    tracemalloc.start()
+    got = quality.Rows(v, rows, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    slots = np.concatenate([parts[r] for r in rows])
+    owner = np.repeat(np.arange(750), [len(parts[r]) for r in rows])
+    assert np.array_equal(got.known[got.slots], slots) and np.array_equal(got.of, owner[np.argsort(slots, kind="stable")])
+    assert np.array_equal(got.counts[1], np.bincount(slots[y[owner] > 0.5], minlength=1 << quality.TEXT_BITS))
+    assert peak < 110 << 20
+
+
 def test_keep_one_judges_rows(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(7, base, "a"), (3, base + " more", "b"), (7, "another text of this number", "c"), (9, "z y x", "d"), (9, "z y x", "d"), (None, base, "e"), (None, "nobody's own words here", "f"), (5, None, "g"), (5, "", "h"), (None, None, "i"), (None, "q r s", "j"), (None, "q r s", "j")]
