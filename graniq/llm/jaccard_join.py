@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniq.llm.components import connect
+from graniq.llm.components import connect, labels_of
 from graniq.llm.rows import possible, row_key, without
 from graniq.llm.storage import bounded_batches, forget, materialize, open_fs, remove, shared_dir
 from graniq.llm.words import U64, gram_hashes, mix, word_hashes
@@ -364,7 +364,9 @@ def _families(members: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
         idx, first, sets = np.unique(table["idx"].to_numpy(), return_index=True, return_inverse=True)
         sketches = Sketches(table["n"].to_numpy()[first], table["sketch"].take(pa.array(first)).to_pylist(), rule)
         order = np.lexsort((sets, table["key"].to_numpy()))
-        a, b = chained(table["key"].to_numpy()[order], sets[order], sketches)
+        # Pairs of a key grow with the square of its sets; what leaves the task is less than a row for each set.
+        sets, first = labels_of(*chained(table["key"].to_numpy()[order], sets[order], sketches))
+        a, b = first[first != sets], sets[first != sets]
         return pa.table([pa.array(idx[a]), pa.array(idx[b])], names=["a", "b"])
 
     # A key of more sets than a block connects them all.

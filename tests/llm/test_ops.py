@@ -249,6 +249,17 @@ def test_keep_one_judges_rows(spark):
     assert keep_one(docs.limit(0)).count() == 0
 
 
+def test_jaccard_families_send_less_than_a_row_for_each_set(spark, monkeypatch):
+    sent, connect_ = [], join.connect
+    monkeypatch.setattr(join, "connect", lambda edges: sent.append(edges.count()) or connect_(edges))
+    tokens = np.arange(40, dtype=np.uint64)
+    own = spark.createDataFrame([(i, True, len(tokens), bytearray(join.sketch(tokens))) for i in range(60)], "idx long, able boolean, n long, sketch binary")
+    members = spark.createDataFrame([(k, 0, i, len(tokens)) for k in range(3) for i in range(60)], "key long, least long, idx long, n long").coalesce(1)
+    found = join._families(members, own, Rule(9, 10)).collect()
+    assert {(r["idx"], r["family"]) for r in found} == {(i, 0) for i in range(60)}
+    assert sent[0] <= 3 * 59  # all pairs of a key are 1,770
+
+
 def test_jaccard_edges(spark):
     assert jaccard_components(docs_of(spark, ["a"]).limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None)], "doc_id long, text string")
