@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from graniq.functions import scores as S
 from graniq.functions import text as T
 
-
+#: Pairs that a task makes.
+PAIRS = 500_000
 
 
 def merge_maps(old: Column, new: Column) -> Column:
@@ -122,6 +123,22 @@ def ranked_records(records: DataFrame, scores: DataFrame, limit: int, tier: str
     return page if tier is None else page.filter(F.col("tier") == tier)
 
 
+def pairs(left: DataFrame, right: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """The join of two tables on keys of which each has many rows on both sides, in tasks of some ``most`` pairs (PAIRS) whatever the number of pairs.
+
+    Rows are few and pairs many, so Spark, which goes by bytes, would make a handful of tasks. A key of
+    more pairs is cut into blocks of the right rows, which its left rows meet one by one.
+    """
+    most = most or PAIRS
+    met = left.groupBy(*keys).agg(F.count("*").alias("__l")).join(right.groupBy(*keys).agg(F.count("*").alias("__r")), keys).select((F.col("__l") * F.col("__r")).alias("n"))
+    largest, total = met.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks, tasks = max(1, -(-largest // most)), max(1, -(-total // most))
+    each = left.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    cut = right.withColumn("__block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
+    on = [*keys, "__block"]
+    return each.repartition(tasks, *on).join(cut.repartition(tasks, *on), on).drop("__block")
+
+
 def links_of(links: DataFrame, records: DataFrame) -> DataFrame:
     """Each record's links from either side, with the other record's title: record_id, other_id, title, score.
 
