@@ -37,3 +37,10 @@ def test_files_of_too_many_parts_fail(spark, monkeypatch):
     assert indexed(spark, "\n".join(f"w{i} x" for i in range(20))).nodes.first()["chunk_count"] == 20
     with pytest.raises(Exception, match="more than 20 parts"):
         indexed(spark, "\n".join(f"w{i} x" for i in range(21)))
+
+
+def test_vectors_of_all_sections(spark):
+    """The last section of a long file has its own words and a vector, as all before it."""
+    got = indexed(spark, "\n".join(f"# H{i}" if i % 9 == 0 else f"w{i} x" for i in range(4602)), embedder=providers.HashEmbedder(16), dim=16)
+    last = got.sections.orderBy(F.desc("ordinal")).first()
+    assert got.sections.filter("embedding IS NOT NULL").count() == 512 and last["summary"] == "H4599: w4600 x w4601 x" and sum(x * x for x in last["embedding"]) > 0.99
