@@ -5,8 +5,13 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from graniq.config import SearchConfig
 from graniq.functions import text as T
-from graniq.plans import many
+from graniq.operators import index
+from graniq.plans import many, stored
+from graniq.sources import corpus, store
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_a_block_sends_the_best_of_its_slices(spark, monkeypatch):
@@ -31,3 +36,50 @@ def test_a_block_sends_the_best_of_its_slices(spark, monkeypatch):
             got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 9)))
         assert got == {i: x[:5] for i, x in want.items()} and len(got) == 4
     assert many._most_similar(q, t.slice(0, 0), 5).num_rows == 0 and isinstance(q, pa.Table)
+
+
+def test_other_words_are_looked_up_for_few(spark, monkeypatch):
+    """Of the chunks of a query's rarest word only those that have the next rarest too are looked at for its other words."""
+    texts = [f"common word rare{i % 2} seldom{i % 3} n{i}" for i in range(600)]
+    chunks = spark.createDataFrame([(i, i, i, 0, x, "r", f"/{i}", "ready") for i, x in enumerate(texts)], "chunk_id long, node_id long, section_id long, ordinal long, text string, repository string, path string, status string")
+    nodes = chunks.select("node_id", "path", "repository", F.lit("file").alias("kind"), "status")
+    own = stored.Stored(index.build(chunks, nodes))
+    kept, write = {}, store.written
+
+    def written(df, path, by=None):
+        out = write(df, path, by)
+        kept[path.rsplit("/", 1)[1].split("-")[0]] = out
+        return out
+
+    monkeypatch.setattr(store, "written", written)
+    queries = spark.createDataFrame([(1, "common word rare1 seldom2"), (2, "rare1"), (3, "common nowhere"), (4, "word rare0")], "query_id long, text string")
+    got = {}
+    for r in many.lexical(own, queries, 10**6).collect():
+        got.setdefault(r["query_id"], set()).add(r["chunk_id"])
+    assert got == {1: {i for i in range(600) if i % 6 == 5}, 2: set(range(1, 600, 2)), 4: set(range(0, 600, 2))}
+    assert kept["asked"].count() == 100 * 2
+
+
+def test_lists_give_wanted_chunks(spark):
+    """Few wanted chunks are looked up in a list; for many the list is gone through."""
+    rows = [("w", list(range(0, 200, 2)), [2 * i for i in range(100)], [v for i in range(100) for v in (i, i + 7)], [4, 5, 198]), ("v", [3], [0], [9, 9, 9], [3])]
+    postings = spark.createDataFrame(rows, "word string, at array<int>, start array<int>, place array<int>, wanted array<int>")
+    every = {(r["word"], r["at"]): r["places"] for r in index.each(postings, "word").collect()}
+    assert len(every) == 101 and every["w", 198] == [99, 106] and every["v", 3] == [9, 9, 9]
+    got = {(r["word"], r["at"]): r["places"] for r in index.each(postings, "word", wanted="wanted").collect()}
+    assert got == {k: every[k] for k in (("w", 4), ("w", 198), ("v", 3))}
+
+
+def test_few_passages_go_to_the_texts(spark):
+    """Where the table of chunks is larger than what is sent to all tasks, hits and passages are sent instead."""
+    own = stored.of_tables(spark, SF)
+    queries = corpus.table(spark, SF, "benchmark").select(F.col("item_id").alias("query_id"), "text").limit(5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40k")
+    try:
+        found = many.search(own, queries, SearchConfig(top_k=4))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, plan
+        assert found.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
